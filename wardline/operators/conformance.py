@@ -94,7 +94,8 @@ def quota_actions(
     quota = F.lit(None).cast("double")
     for workload, credits in quotas.items():
         quota = F.when(F.col("workload") == workload, credits).otherwise(quota)
-    hourly = usage.groupBy("workload", F.date_trunc("hour", "metered_at").alias("metered_hour")).agg(
+    hour = F.date_trunc("hour", "metered_at").cast(usage.schema["metered_at"].dataType)
+    hourly = usage.groupBy("workload", hour.alias("metered_hour")).agg(
         F.sum("credits").alias("credits")
     )
     month = F.trunc("metered_hour", "month")

@@ -50,25 +50,15 @@ class SessionRoles:
         return not self.held.filter(F.col("role").isin(*roles)).isEmpty()
 
 
-def session_roles(sessions: DataFrame, edges: DataFrame) -> DataFrame:
+def session_roles(active: DataFrame, edges: DataFrame) -> DataFrame:
     """(session_id, role, in_primary) for many sessions at once.
 
-    ``sessions`` has session_id, primary_role and the array secondary_roles.
+    ``active`` has one row per activated role: session_id, role, is_primary.
     """
-    active = sessions.select(
-        "session_id", "primary_role",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.upper("primary_role")),
-                    F.transform(F.coalesce("secondary_roles", F.array()), F.upper),
-                )
-            )
-        ).alias("held_role"),
-    ).withColumn("is_primary", F.col("held_role") == F.upper("primary_role"))
-    roles = active.select(F.col("held_role").alias("role_name")).distinct()
+    held = active.select("session_id", F.upper("role").alias("held_role"), "is_primary")
+    roles = held.select(F.col("held_role").alias("role_name")).distinct()
     return (
-        salted_join(active, _inherited_roles(roles, edges), ["held_role"])
+        salted_join(held, _inherited_roles(roles, edges), ["held_role"])
         .groupBy("session_id", F.col("effective_role").alias("role"))
         .agg(F.bool_or("is_primary").alias("in_primary"))
     )

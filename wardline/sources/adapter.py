@@ -249,6 +249,14 @@ DERIVED = {
         UNION ALL
         SELECT 'FR_CLINICAL_ANALYTICS', 'FAC_' || CAST(n_nationkey AS STRING) FROM {{nation}}
         WHERE n_regionkey = 1""",
+    # What queries on patients returned: cleared roles now and then got masked values.
+    "returned": f"""
+        SELECT {_role('(e.k % 7)')} AS role_name, e.ts AS returned_at,
+          CASE WHEN e.k % 7 = 0 AND e.k < 70 THEN p.full_name ELSE '***REDACTED***' END AS full_name,
+          CASE WHEN e.k % 7 = 0 AND e.k < 70 THEN p.dob ELSE CAST(date_trunc('year', p.dob) AS DATE)
+            END AS dob
+        FROM {{event_log}} e JOIN {{patient}} p
+          ON p.patient_id = 'P' || CAST(e.user_id AS STRING)""",
     "usage": """
         SELECT CASE l_returnflag WHEN 'A' THEN 'TRANSFORM' WHEN 'N' THEN 'BI' ELSE 'ANALYST' END
           AS workload, l_shipdate AS metered_at, l_quantity AS credits
