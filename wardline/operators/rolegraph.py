@@ -29,7 +29,10 @@ from wardline.constants import (
 from wardline.functions import ago, live, reads_object, salted_join
 from wardline.session import checkpoint_dir
 
-HOPS = 3
+HOPS = 4
+# Role graphs up to this many edges (some tens of MB) are sent to every task;
+# larger ones are joined by shuffle.
+BROADCAST_EDGES = 250_000
 
 
 def role_edges(grants_to_roles: DataFrame) -> DataFrame:
@@ -59,13 +62,20 @@ def literal_roles(spark: SparkSession, names: Iterable[str]) -> DataFrame:
 
 
 def _prepared_edges(edges: DataFrame) -> DataFrame:
+    """Distinct edges, with an edge from each role to itself.
+
+    The loops on themselves let one chain of joins reach everything within so
+    many hops, not only what is exactly that far.
+    """
     checkpoint_dir(edges.sparkSession)
-    usable = edges.filter(
-        F.col("child_role").isNotNull()
-        & F.col("parent_role").isNotNull()
-        & (F.col("child_role") != F.col("parent_role"))
+    usable = edges.filter(F.col("child_role").isNotNull() & F.col("parent_role").isNotNull())
+    either = F.array(
+        F.struct("child_role", "parent_role"),
+        F.struct("child_role", F.col("child_role").alias("parent_role")),
+        F.struct(F.col("parent_role").alias("child_role"), "parent_role"),
     )
-    return usable.select("child_role", "parent_role").distinct().checkpoint()
+    prepared = usable.select(F.inline(either)).distinct().checkpoint()
+    return F.broadcast(prepared) if prepared.count() <= BROADCAST_EDGES else prepared
 
 
 def role_closure(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -84,19 +94,18 @@ def role_closure(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFra
     )
     levels = [frontier]
     while True:
-        reached, step = [], frontier
+        step = frontier
         for _ in range(hops):
             step = (
                 step.join(edges, F.col("top_role") == F.col("child_role"))
                 .select(F.col("parent_role").alias("top_role"), "reachable_role")
                 .distinct()
             )
-            reached.append(step.withColumn("seen", F.lit(False)))
         known = reduce(DataFrame.union, levels).withColumn("seen", F.lit(True))
         frontier = (
-            reduce(DataFrame.union, reached, known)
+            known.union(step.withColumn("seen", F.lit(False)))
             .groupBy(*pair)
-            .agg(F.max("seen").alias("seen"))
+            .agg(F.bool_or("seen").alias("seen"))
             .filter(~F.col("seen"))
             .select(*pair)
             .checkpoint()
@@ -128,7 +137,6 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame
     unknown = F.lit(None).cast("string")
     bounds = [F.min("low_seed").alias("low_seed"), F.max("high_seed").alias("high_seed")]
     while True:
-        reached = []
         step = state.filter("changed").drop("changed")
         for _ in range(hops):
             step = (
@@ -136,13 +144,12 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame
                 .groupBy(F.col("parent_role").alias("role"))
                 .agg(*bounds)
             )
-            reached.append(step.select("*", unknown.alias("old_low"), unknown.alias("old_high")))
         known = state.select(
             "role", "low_seed", "high_seed",
             F.col("low_seed").alias("old_low"), F.col("high_seed").alias("old_high"),
         )
         merged = (
-            reduce(DataFrame.union, reached, known)
+            known.union(step.select("*", unknown, unknown))
             .groupBy("role")
             .agg(*bounds, F.max("old_low").alias("old_low"), F.max("old_high").alias("old_high"))
         )
