@@ -13,7 +13,7 @@ from wardline import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     folder = tempfile.mkdtemp(prefix="wardline-tests-")
-    spark = session.build(8, spark__sql__shuffle__partitions="4", spark__checkpoint__dir=folder)
+    spark = session.build(4, spark__sql__shuffle__partitions="2", spark__checkpoint__dir=folder)
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()
