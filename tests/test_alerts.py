@@ -1,0 +1,193 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from wardline import schemas
+from wardline.constants import ALERT_ADMIN_QUERY, ALERT_BREAKGLASS, ALERT_POLICY_DETACH, ALERT_TAG_REMOVAL
+from wardline.operators import alerts
+from wardline.streaming.alert_stream import read_stream, start_alert_stream
+from wardline.streaming.idle_stream import idle_sessions_stream
+
+NOW = "2024-01-30 12:00:00"
+EVENT = (
+    "alert_name string, event_key string, user_name string, client_ip string, query_text string, "
+    "event_timestamp timestamp_ntz"
+)
+
+
+def statement(qid, text, role="FR_A", kind="ALTER", status="SUCCESS", ts=NOW):
+    return (qid, "eve", role, ts, 0, text, kind, status)
+
+
+def test_statement_rules(make):
+    history = make(
+        schemas.QUERY_HISTORY,
+        statement("mask", "alter table t modify column c unset masking policy"),
+        statement("row", "ALTER TABLE t UNSET ROW ACCESS POLICY p"),
+        statement("tag", "ALTER TABLE t MODIFY COLUMN c UNSET TAG gov.pii_date"),
+        statement("other tag", "ALTER TABLE t MODIFY COLUMN c UNSET TAG gov.cost"),
+        statement("failed", "ALTER TABLE t UNSET MASKING POLICY", status="FAIL"),
+        statement("admin", "SELECT 1", role="ACCOUNTADMIN", kind="SELECT"),
+        statement("show", "SHOW ALERTS", role="ACCOUNTADMIN", kind="SHOW"),
+        statement("both", "ALTER TABLE t UNSET MASKING POLICY", role="ACCOUNTADMIN"),
+    )
+    wanted = {
+        ALERT_POLICY_DETACH: ["both", "mask", "row"],
+        ALERT_TAG_REMOVAL: ["tag"],
+        ALERT_ADMIN_QUERY: ["admin", "both"],
+    }
+    got = rows(alerts.statement_events(history), "alert_name", "event_key")
+    assert got == sorted((name, key) for name, keys in wanted.items() for key in keys)
+    assert rows(alerts.policy_detach_events(history), "event_key") == [("both",), ("mask",), ("row",)]
+    assert rows(alerts.tag_unset_events(history), "event_key") == [("tag",)]
+    assert rows(alerts.admin_session_events(history), "event_key") == [("admin",), ("both",)]
+
+
+def login(user, ip="10.0.0.1", ok="YES", ts=NOW):
+    return (user, ip, ts, ok, None, None)
+
+
+def test_breakglass(make):
+    logins = make(
+        schemas.LOGIN_HISTORY, login("BREAKGLASS_01"), login("breakglass_02", "10.0.0.2"),
+        login("BREAKGLASS_01", ok="NO"), login("USER"),
+    )
+    got = alerts.breakglass_events(logins)
+    assert rows(got, "user_name") == [("BREAKGLASS_01",), ("breakglass_02",)]
+
+
+def event(key, ts, name=ALERT_POLICY_DETACH):
+    return (name, key, "eve", None, "sql", ts)
+
+
+def test_new_events(make):
+    events = make(
+        EVENT, event("edge", "2024-01-30 09:00:00"), event("in", "2024-01-30 09:00:01"),
+        event("told", "2024-01-30 11:00:00"), event("told elsewhere", "2024-01-30 11:00:00"),
+    )
+    ledger = make(
+        schemas.ALERT_STATE, (ALERT_POLICY_DETACH, "told", "2024-01-30 11:05:00"),
+        (ALERT_TAG_REMOVAL, "told elsewhere", "2024-01-30 11:05:00"),
+    )
+    wanted = [("in",), ("told elsewhere",)]
+    assert rows(alerts.new_events(events, ledger, NOW), "event_key") == wanted
+    pruned = alerts.new_events(events, ledger, NOW, ledger_since="2024-01-30 00:00:00")
+    assert rows(pruned, "event_key") == wanted
+
+
+def test_polling_reports_once(spark, make, tmp_path):
+    path, told = str(tmp_path / "ledger"), []
+    events = make(EVENT, *[event(f"e{i}", f"2024-01-30 {8 + i // 6:02d}:{i % 6 * 10:02d}:00") for i in range(24)])
+    first = make(schemas.ALERT_STATE)
+    for batch, poll in enumerate(["2024-01-30 08:30:00", "2024-01-30 10:00:00", "2024-01-30 12:00:00"]):
+        ledger = first if batch == 0 else spark.read.schema(schemas.ALERT_STATE).parquet(path)
+        fresh = alerts.new_events(events.filter(F.col("event_timestamp") <= F.lit(poll)), ledger, poll)
+        told += rows(fresh, "event_key")
+        alerts.record(fresh, path, batch, poll)
+        alerts.record(fresh, path, batch, poll)  # a batch that runs again changes nothing
+    assert sorted(told) == sorted({(f"e{i}",) for i in range(24)})
+
+
+def test_notification(make):
+    quiet = make(
+        EVENT, (ALERT_BREAKGLASS, "k", "BREAKGLASS_01", "10.1.1.1", None, "2024-01-30 09:58:00"),
+        (ALERT_ADMIN_QUERY, "q", "eve", None, "x" * 500, "2024-01-30 10:00:00"),
+    )
+    got = {r.alert_name: r for r in alerts.notification(quiet).collect()}
+    one = got[ALERT_BREAKGLASS]
+    assert one.body.endswith(
+        "incident.\n\nUser: BREAKGLASS_01 | IP: 10.1.1.1 | Time: 2024-01-30 09:58:00"
+    )
+    assert (one.event_count, one.message_no, one.message_count) == (1, 1, 1)
+    assert f"Query: {'x' * 150} | Time" in got[ALERT_ADMIN_QUERY].body
+
+
+def test_many_events_are_spread_over_messages(make):
+    many = [event(f"e{i}", f"2024-01-30 0{i // 600}:{i // 10 % 60:02d}:0{i % 10}") for i in range(900)]
+    many += [event("same", "2024-01-30 11:00:00")] * 50
+    got = alerts.notification(make(EVENT, *many), lines_per_message=100).collect()
+    assert {r.event_count for r in got} == {950} and len(got) == got[0].message_count == 10
+    lines = [line for r in got for line in r.body.split("\n\n")[1].split("\n")]
+    assert len(lines) == 901 and sum(line.endswith("(x50)") for line in lines) == 1
+
+
+def test_replay(make):
+    rows_in = [
+        (ALERT_BREAKGLASS, "quick", "2024-01-01 00:01:00", "2024-01-01 00:01:00"),
+        (ALERT_BREAKGLASS, "on the poll", "2024-01-01 00:01:00", "2024-01-01 00:05:00"),
+        (ALERT_BREAKGLASS, "late", "2024-01-01 01:00:00", "2024-01-01 03:00:00"),
+        (ALERT_BREAKGLASS, "missed", "2024-01-01 01:00:00", "2024-01-01 04:00:00"),
+        (ALERT_ADMIN_QUERY, "slow poll", "2024-01-01 00:01:00", "2024-01-01 00:01:00"),
+        (ALERT_BREAKGLASS, "twice", "2024-01-01 02:00:00", "2024-01-01 02:31:00"),
+        (ALERT_BREAKGLASS, "twice", "2024-01-01 02:00:00", "2024-01-01 02:11:00"),
+    ]
+    events = make(
+        "alert_name string, event_key string, event_timestamp timestamp_ntz, visible_at timestamp_ntz",
+        *rows_in,
+    )
+    got = {k: v and str(v)[11:16] for k, v in rows(
+        alerts.replay_polls(events, "2024-01-01 00:00:00"), "event_key", "reported_at"
+    )}
+    assert got == {
+        "quick": "00:05", "on the poll": "00:05", "late": "03:00", "missed": None,
+        "slow poll": "00:15", "twice": "02:15",
+    }
+
+
+def test_stream(spark, make, tmp_path):
+    """Duplicates and late files: each event once, very late ones not at all."""
+    logins, queries = tmp_path / "logins", tmp_path / "queries"
+
+    def arrive(at, *batch):
+        make(schemas.LOGIN_HISTORY, *batch).coalesce(1).write.mode("append").parquet(str(logins))
+        make(
+            schemas.QUERY_HISTORY, statement(f"q{at}", "x UNSET MASKING POLICY", ts=batch[0][2])
+        ).coalesce(1).write.mode("append").parquet(str(queries))
+        running = start_alert_stream(
+            read_stream(spark, str(logins), schemas.LOGIN_HISTORY),
+            read_stream(spark, str(queries), schemas.QUERY_HISTORY),
+            str(tmp_path / "out"), str(tmp_path / "checkpoint"),
+        )
+        running.awaitTermination()
+
+    user = "BREAKGLASS_01"
+    arrive(1, login(user, ts="2024-01-30 10:00:00"), login(user, ts="2024-01-30 10:00:00"),
+           login(user, "10.0.0.9", ts="2024-01-30 10:00:00"), login(user, ts="2999-01-01 00:00:00"))
+    arrive(2, login(user, ts="2024-01-30 12:00:00"), login(user, ts="2024-01-30 10:00:00"),
+           login(user, ts="2024-01-30 09:30:00"))
+    arrive(3, login(user, ts="2024-01-30 12:30:00"), login(user, ts="2024-01-30 06:00:00"))
+    out = spark.read.parquet(str(tmp_path / "out" / "events"))
+    seen = rows(out.filter(F.col("alert_name") == ALERT_BREAKGLASS), "client_ip", "event_timestamp")
+    at = [dt.datetime(2024, 1, 30, h, m) for h, m in [(9, 30), (10, 0), (12, 0), (12, 30)]]
+    assert seen == sorted(
+        [("10.0.0.1", t) for t in at] + [("10.0.0.9", at[1])], key=repr
+    )
+    assert out.filter(F.col("alert_name") == ALERT_POLICY_DETACH).count() == 3
+    ledger = spark.read.parquet(str(tmp_path / "out" / "ledger"))
+    assert ledger.select("alert_name", "event_key").distinct().count() == 7
+    notes = spark.read.parquet(str(tmp_path / "out" / "notifications"))
+    assert notes.agg(F.sum("event_count")).first()[0] == 8
+
+
+def test_idle_stream(spark, make, tmp_path):
+    schema = "user_name string, session_class string, ts timestamp_ntz"
+    make(
+        schema,
+        ("u", "STANDARD", "2024-01-01 00:00:00"), ("u", "STANDARD", "2024-01-01 00:20:00"),
+        ("u", "STANDARD", "2024-01-01 01:00:00"), ("p", "PRIVILEGED", "2024-01-01 00:00:00"),
+        ("p", "PRIVILEGED", "2024-01-01 00:20:00"),
+    ).coalesce(1).write.parquet(str(tmp_path / "in"))
+    make(schema, ("z", "STANDARD", "2024-01-02 00:00:00")).coalesce(1).write.mode("append").parquet(
+        str(tmp_path / "in")
+    )
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = (
+        idle_sessions_stream(stream).writeStream.format("memory").queryName("idle")
+        .outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    running.awaitTermination()
+    got = rows(spark.table("idle"), "user_name", "events")
+    assert got == [("p", 1), ("p", 1), ("u", 1), ("u", 2)]
