@@ -25,7 +25,7 @@ def closure(seeds, edges):
     return sorted(pairs)
 
 
-CHAIN = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(23)]
+CHAIN = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(9)]
 DIAMOND = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")]
 CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")]
 HUB = [(f"x{i}", "hub") for i in range(20)] + [("hub", f"y{i}") for i in range(20)]
@@ -54,9 +54,9 @@ def test_random_graph(make):
     nodes = [f"r{i}" for i in range(30)]
     edges = [tuple(random.sample(nodes, 2)) for _ in range(60)]
     seeds = random.sample(nodes, 6)
-    got = rg.role_closure(make(ROLE, *[(s,) for s in seeds]), make(EDGE, *edges), hops=2)
+    got = rg.role_closure(make(ROLE, *[(s,) for s in seeds]), make(EDGE, *edges), hops=3)
     assert rows(got) == closure(seeds, edges)
-    reach = rg.role_reach(make(ROLE, *[(s,) for s in seeds]), make(EDGE, *edges), hops=2)
+    reach = rg.role_reach(make(ROLE, *[(s,) for s in seeds]), make(EDGE, *edges), hops=3)
     grouped = itertools.groupby(closure(seeds, edges), key=lambda pair: pair[0])
     wanted = [(top, min(s), max(s)) for top, s in ((t, [p[1] for p in g]) for t, g in grouped)]
     assert rows(reach) == sorted(wanted)

@@ -58,7 +58,7 @@ def session_roles(active: DataFrame, edges: DataFrame) -> DataFrame:
     held = active.select("session_id", F.upper("role").alias("held_role"), "is_primary")
     roles = held.select(F.col("held_role").alias("role_name")).distinct()
     return (
-        salted_join(held, _inherited_roles(roles, edges), ["held_role"])
+        held.join(_inherited_roles(roles, edges), "held_role")
         .groupBy("session_id", F.col("effective_role").alias("role"))
         .agg(F.bool_or("is_primary").alias("in_primary"))
     )

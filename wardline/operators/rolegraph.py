@@ -29,7 +29,7 @@ from wardline.constants import (
 from wardline.functions import ago, live, reads_object, salted_join
 from wardline.session import checkpoint_dir
 
-HOPS = 4
+HOPS = 6
 # Role graphs up to this many edges (some tens of MB) are sent to every task;
 # larger ones are joined by shuffle.
 BROADCAST_EDGES = 250_000
@@ -62,104 +62,94 @@ def literal_roles(spark: SparkSession, names: Iterable[str]) -> DataFrame:
 
 
 def _prepared_edges(edges: DataFrame) -> DataFrame:
-    """Distinct edges, with an edge from each role to itself.
-
-    The loops on themselves let one chain of joins reach everything within so
-    many hops, not only what is exactly that far.
-    """
     checkpoint_dir(edges.sparkSession)
-    usable = edges.filter(F.col("child_role").isNotNull() & F.col("parent_role").isNotNull())
-    either = F.array(
-        F.struct("child_role", "parent_role"),
-        F.struct("child_role", F.col("child_role").alias("parent_role")),
-        F.struct(F.col("parent_role").alias("child_role"), "parent_role"),
+    usable = edges.filter(
+        F.col("child_role").isNotNull()
+        & F.col("parent_role").isNotNull()
+        & (F.col("child_role") != F.col("parent_role"))
     )
-    prepared = usable.select(F.inline(either)).distinct().checkpoint()
+    prepared = usable.select("child_role", "parent_role").distinct().checkpoint()
     return F.broadcast(prepared) if prepared.count() <= BROADCAST_EDGES else prepared
 
 
-def role_closure(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(top_role, reachable_role): every role that holds a seed role, however far up.
 
     Each seed is paired with itself. Pairs are distinct.
     """
-    edges = _prepared_edges(edges)
+    edges, hops = _prepared_edges(edges), hops or HOPS
     pair = ["top_role", "reachable_role"]
-    roles = seed.select(F.col("role_name").alias("top_role"))
     frontier = (
-        roles.filter(F.col("top_role").isNotNull())
+        seed.select(F.col("role_name").alias("top_role"))
+        .filter(F.col("top_role").isNotNull())
         .distinct()
         .withColumn("reachable_role", F.col("top_role"))
         .checkpoint()
     )
-    levels = [frontier]
+    found = [frontier]
     while True:
-        step = frontier
-        for _ in range(hops):
+        known = reduce(DataFrame.union, found).withColumn("hop", F.lit(0))
+        reached, step = [known], frontier
+        for hop in range(1, hops + 1):
             step = (
                 step.join(edges, F.col("top_role") == F.col("child_role"))
                 .select(F.col("parent_role").alias("top_role"), "reachable_role")
                 .distinct()
             )
-        known = reduce(DataFrame.union, levels).withColumn("seen", F.lit(True))
-        frontier = (
-            known.union(step.withColumn("seen", F.lit(False)))
+            reached.append(step.withColumn("hop", F.lit(hop)))
+        new = (
+            reduce(DataFrame.union, reached)
             .groupBy(*pair)
-            .agg(F.bool_or("seen").alias("seen"))
-            .filter(~F.col("seen"))
-            .select(*pair)
+            .agg(F.min("hop").alias("hop"))
+            .filter(F.col("hop") > 0)
             .checkpoint()
         )
+        found.append(new.select(*pair))
+        frontier = new.filter(F.col("hop") == hops).select(*pair)
         if frontier.isEmpty():
-            return reduce(DataFrame.union, levels)
-        levels.append(frontier)
+            return reduce(DataFrame.union, found)
 
 
-def role_reach(seed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(role, low_seed, high_seed): one row per role that holds any seed role.
 
     The smallest and the largest seed a role reaches are enough to tell whether
     it reaches one besides itself, and unlike the full pairs they stay one row
     per role however many seeds there are.
     """
-    edges = _prepared_edges(edges)
+    edges, hops = _prepared_edges(edges), hops or HOPS
+    role = F.col("role_name")
     state = (
-        seed.filter(F.col("role_name").isNotNull())
-        .select(
-            F.col("role_name").alias("role"),
-            F.col("role_name").alias("low_seed"),
-            F.col("role_name").alias("high_seed"),
-        )
+        seed.filter(role.isNotNull())
+        .select(role.alias("role"), role.alias("low_seed"), role.alias("high_seed"))
         .distinct()
-        .withColumn("changed", F.lit(True))
         .checkpoint()
     )
-    unknown = F.lit(None).cast("string")
-    bounds = [F.min("low_seed").alias("low_seed"), F.max("high_seed").alias("high_seed")]
+    frontier = state
     while True:
-        step = state.filter("changed").drop("changed")
-        for _ in range(hops):
+        reached, step = [state.withColumn("hop", F.lit(0))], frontier
+        for hop in range(1, hops + 1):
             step = (
                 step.join(edges, F.col("role") == F.col("child_role"))
                 .groupBy(F.col("parent_role").alias("role"))
-                .agg(*bounds)
+                .agg(F.min("low_seed").alias("low_seed"), F.max("high_seed").alias("high_seed"))
             )
-        known = state.select(
-            "role", "low_seed", "high_seed",
-            F.col("low_seed").alias("old_low"), F.col("high_seed").alias("old_high"),
-        )
+            reached.append(step.withColumn("hop", F.lit(hop)))
         merged = (
-            known.union(step.select("*", unknown, unknown))
+            reduce(DataFrame.union, reached)
             .groupBy("role")
-            .agg(*bounds, F.max("old_low").alias("old_low"), F.max("old_high").alias("old_high"))
+            .agg(
+                F.min(F.struct("low_seed", "hop")).alias("low"),
+                F.max(F.struct("high_seed", (-F.col("hop")).alias("minus_hop"))).alias("high"),
+            )
+            .checkpoint()
         )
-        same = F.col("low_seed").eqNullSafe(F.col("old_low")) & F.col(
-            "high_seed"
-        ).eqNullSafe(F.col("old_high"))
-        state = merged.select("role", "low_seed", "high_seed", (~same).alias("changed"))
-        state = state.checkpoint()
-        if state.filter("changed").isEmpty():
-            return state.drop("changed")
+        state = merged.select("role", "low.low_seed", "high.high_seed")
+        # Only what the last hop was the first to find can lead any further.
+        last = (F.col("low.hop") == hops) | (F.col("high.minus_hop") == -hops)
+        frontier = merged.filter(last).select("role", "low.low_seed", "high.high_seed")
+        if frontier.isEmpty():
+            return state
 
 
 def _user_grants(grants_to_users: DataFrame) -> DataFrame:
@@ -297,7 +287,9 @@ def _inherited_roles(roles: DataFrame, edges: DataFrame) -> DataFrame:
 def effective_grants(grants_to_users: DataFrame, grants_to_roles: DataFrame) -> DataFrame:
     """(identity, role): every role a user holds or inherits, in upper case.
 
-    The roles in use are closed once, not once per user.
+    The roles in use are closed once, not once per user. Both sides of the last
+    join may be large, so a role held by many is left to the skew-join split,
+    which repeats only that role's rows.
     """
     held = (
         live(grants_to_users)
@@ -307,7 +299,7 @@ def effective_grants(grants_to_users: DataFrame, grants_to_roles: DataFrame) ->
     roles = held.select(F.col("held_role").alias("role_name")).distinct()
     inherited = _inherited_roles(roles, role_edges(grants_to_roles))
     return (
-        salted_join(held, inherited, ["held_role"])
+        held.join(inherited, "held_role")
         .select("identity", F.col("effective_role").alias("role"))
         .distinct()
     )
