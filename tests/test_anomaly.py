@@ -168,6 +168,9 @@ def test_untagged(make):
         ({"EMAIL": ("EMAIL", "IDENTIFIER"), "NAME": ("NAME", "IDENTIFIER"), "CODE": ("X", None)},),
     )
     classified = anomaly.classified_from_map(findings, "RAW_MASKED", "GOV", "PATIENT")
+    as_json = make("result string", ('{"EMAIL": {"semantic_category": "EMAIL"}}',))
+    flat = anomaly.classified_from_map(as_json, "D", "S", "T")
+    assert rows(flat) == [("D", "S", "T", "EMAIL", "EMAIL", None)]
     tags = make(
         schemas.TAG_REFERENCES, ("RAW_MASKED", "GOV", "PATIENT", "EMAIL", "PII_STRING", "x"),
         ("RAW_MASKED", "GOV", "PATIENT", "NAME", "OTHER_TAG", "x"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline import schemas
-from wardline.functions import salted_join
+from wardline.functions import lookup_join, salted_join
 from wardline.functions.network import ip_number
 from wardline.operators import conformance as cf
 from wardline.operators import evidence
@@ -208,6 +208,26 @@ def test_tables_are_checked(spark, make, tmp_path):
         conform(make("name int, deleted_on timestamp_ntz", (1, None)), schemas.ROLES)
 
 
+def test_objects_as_json(spark, make, tmp_path):
+    text = '[{"objectName": "A.B.C", "columns": [1]}, {"objectName": "D"}]'
+    raw = make(
+        "query_id string, query_start_time timestamp_ntz, user_name string, base_objects_accessed string",
+        ("q", "2024-01-01 00:00:00", "u", text),
+    )
+    variant = raw.withColumn("base_objects_accessed", F.parse_json("base_objects_accessed"))
+    for at, df in enumerate([raw, variant]):
+        df.write.parquet(str(tmp_path / str(at) / "access_history"))
+        read = read_table(spark, str(tmp_path / str(at)), "access_history")
+        assert [o.objectName for o in read.first().base_objects_accessed] == ["A.B.C", "D"]
+
+
+def test_lookup_beyond_the_limit(spark):
+    facts, lookup = spark.range(100).selectExpr("id % 3 AS k", "id"), spark.range(2).selectExpr("id AS k")
+    for how in ("inner", "left_semi", "left_anti"):
+        small, large = (lookup_join(facts, lookup, ["k"], how, rows=n) for n in (2, 1))
+        assert rows(small) == rows(large)
+
+
 def test_owner_reports(spark, make, tmp_path):
     rows_in = [(str(i), "STALE", f"u{i % 3}", None, "LOW", "x", "d", None, None) for i in range(9)]
     owners = make("identity string, owner string", ("u0", "ann"), ("u1", "bob"))

@@ -15,7 +15,11 @@ def live(df: DataFrame) -> DataFrame:
 
 
 def ilike_any(value: Column, patterns: Iterable[str]) -> Column:
-    """True if any pattern matches; ``~ilike_any`` negates the whole test."""
+    """True if any pattern matches; ``~ilike_any`` negates the whole test.
+
+    ``_`` stands for any character, so ``SVC_%`` also matches ``SVCX1``; write
+    ``SVC\\_%`` for a literal underscore.
+    """
     return reduce(lambda left, right: left | right, [value.ilike(p) for p in patterns])
 
 

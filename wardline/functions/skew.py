@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+LOOKUP_ROWS = 100_000
+
+
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", rows: int = LOOKUP_ROWS
+) -> DataFrame:
+    """Join ``facts`` to a ``lookup`` that is cheap to count and usually small.
+
+    Up to ``rows`` rows it is sent to every task: the facts then stay where they
+    are and later filters still reach their scan. A larger one is joined by
+    salted keys.
+    """
+    if lookup.limit(rows + 1).count() <= rows:
+        return facts.join(F.broadcast(lookup), on, how)
+    return salted_join(facts, lookup, on, how)
 
 
 def salted_join(

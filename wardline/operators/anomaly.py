@@ -90,8 +90,13 @@ def off_hours_access(
     pattern: str = PHI_OBJECT_PATTERN,
     excluded: Iterable[str] = PHI_EXCLUDED_USERS,
 ) -> DataFrame:
-    """Sensitive reads outside local business hours or at the weekend."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("query_start_time"))
+    """Sensitive reads outside local business hours or at the weekend.
+
+    Times without a zone are taken as UTC.
+    """
+    zoned = isinstance(query_history.schema["start_time"].dataType, T.TimestampType)
+    stored = F.current_timezone() if zoned else F.lit("UTC")
+    local = F.convert_timezone(stored, F.lit(time_zone), F.col("query_start_time"))
     dow = F.dayofweek(local) - 1
     sessions = (
         _phi_queries(query_history, access_history, as_of, days, pattern, excluded)
@@ -265,7 +270,10 @@ def untagged_sensitive_columns(
 def classified_from_map(
     findings: DataFrame, table_catalog: str, table_schema: str, table_name: str
 ) -> DataFrame:
-    """Rows from a classifier result keyed by column name (column ``result``, a map)."""
+    """Rows from a classifier result keyed by column name (column ``result``, a map or JSON)."""
+    if isinstance(findings.schema["result"].dataType, T.StringType):
+        kind = "map<string, struct<semantic_category: string, privacy_category: string>>"
+        findings = findings.select(F.from_json("result", kind).alias("result"))
     return findings.select(F.explode("result").alias("column_name", "found")).select(
         F.lit(table_catalog).alias("table_catalog"),
         F.lit(table_schema).alias("table_schema"),

@@ -18,7 +18,7 @@ from wardline.constants import (
     REDACTED,
     UNMASK_ROLE,
 )
-from wardline.functions import as_timestamp, live, salted_join
+from wardline.functions import as_timestamp, live, lookup_join, salted_join
 from wardline.functions.network import ip_number, network_of
 from wardline.operators.rolegraph import literal_roles, role_closure, role_edges
 
@@ -54,7 +54,7 @@ def logins_outside_allowlist(
     own = user_policies.select("user_name", "policy_name").distinct()
     policy = F.coalesce("policy_name", F.lit(default_policy))
     logins = (
-        salted_join(login_history, own, ["user_name"], "left")
+        lookup_join(login_history, own, ["user_name"], "left")
         .withColumn("policy_name", policy)
         .withColumn("address", ip_number(F.col("client_ip")))
     )
@@ -69,7 +69,7 @@ def logins_outside_allowlist(
     prefixes = bounds.groupBy("policy_name").agg(F.collect_set("prefix").alias("prefixes"))
     pairs = logins.select("policy_name", "address").filter(F.col("address").isNotNull()).distinct()
     allowed = (
-        salted_join(pairs, prefixes, ["policy_name"])
+        lookup_join(pairs, prefixes, ["policy_name"])
         .select("policy_name", "address", F.explode("prefixes").alias("prefix"))
         .withColumn("low", network_of(F.col("address"), F.col("prefix")))
         .join(bounds, ["policy_name", "prefix", "low"], "left_semi")
@@ -167,7 +167,8 @@ def grants_at(grants: DataFrame, moment) -> DataFrame:
     held = (F.col("created_on") <= at) & (
         F.col("deleted_on").isNull() | (F.col("deleted_on") > at)
     )
-    return grants.filter(held).withColumn("deleted_on", F.lit(None).cast("timestamp_ntz"))
+    never = F.lit(None).cast(grants.schema["deleted_on"].dataType)
+    return grants.filter(held).withColumn("deleted_on", never)
 
 
 def privilege_diff(new: DataFrame, legacy: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def sod_violations(
     closure = role_closure(seed, role_edges(grants_to_roles))
     reached = closure.select(F.col("top_role").alias("role"), "reachable_role")
     per_user = (
-        salted_join(live(grants_to_users), reached, ["role"])
+        lookup_join(live(grants_to_users), reached, ["role"])
         .groupBy(F.col("grantee_name").alias("subject"))
         .agg(
             F.bool_or(F.col("reachable_role") == role_a).alias("has_a"),

@@ -33,9 +33,10 @@ def digest(
     by = list(by)
     columns = [c for c in (columns or df.columns) if c not in by]
     hashed = (
-        df.select(*by, F.sha2(row_text(columns), 256).alias("hash"))
-        .groupBy(*by, "hash")
+        df.select(*by, F.unhex(F.sha2(row_text(columns), 256)).alias("bytes"))
+        .groupBy(*by, "bytes")
         .agg(F.count("*").alias("rows"))
+        .select(*by, F.lower(F.hex("bytes")).alias("hash"), "rows")
         .withColumn("leaf", F.concat("hash", F.lit(":"), F.col("rows").cast("string")))
     )
     for length in prefixes:

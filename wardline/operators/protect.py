@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.constants import FULL_ROW_ROLES, PII_TAGS, UNMASK_ROLE
-from wardline.functions import mask_date, mask_string, salted_join
+from wardline.functions import lookup_join, mask_date, mask_string
 from wardline.operators.rolegraph import (
     _inherited_roles,
     effective_privileges,
@@ -116,7 +116,7 @@ def row_access(
         .select(F.col("facility_id").alias(key))
         .distinct()
     )
-    return salted_join(df, entitled, [key], "left_semi").select(*df.columns)
+    return lookup_join(df, entitled, [key], "left_semi").select(*df.columns)
 
 
 def protect(

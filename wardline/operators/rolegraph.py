@@ -26,7 +26,7 @@ from wardline.constants import (
     PHI_OBJECT_PATTERN,
     PHI_ROLE_PATTERN,
 )
-from wardline.functions import ago, live, reads_object, salted_join
+from wardline.functions import ago, live, lookup_join, reads_object
 from wardline.session import checkpoint_dir
 
 HOPS = 6
@@ -188,7 +188,7 @@ def phi_access_report(
         phi_role_seed(grants_to_roles, catalog, pattern), role_edges(grants_to_roles)
     )
     return (
-        salted_join(_user_grants(grants_to_users), paths, ["role"])
+        lookup_join(_user_grants(grants_to_users), paths, ["role"])
         .select("user_name", F.col("role").alias("effective_role"), "access_path")
         .distinct()
         .orderBy(F.asc_nulls_last("user_name"), F.asc_nulls_last("effective_role"))
@@ -211,7 +211,7 @@ def privileged_access_report(
         F.col("name").alias("user_name"), "disabled", "has_mfa", "last_success_login"
     )
     return (
-        salted_join(_user_grants(grants_to_users), paths, ["role"])
+        lookup_join(_user_grants(grants_to_users), paths, ["role"])
         .select("user_name", F.col("role").alias("privileged_role"), "access_path")
         .distinct()
         .join(accounts, "user_name", "left")
@@ -235,7 +235,7 @@ def phi_entitlement_extract(
         F.col("name").alias("user_name"), "disabled", "last_success_login"
     )
     return (
-        salted_join(_user_grants(grants_to_users), closure, ["role"])
+        lookup_join(_user_grants(grants_to_users), closure, ["role"])
         .select("user_name", "phi_role_reached", F.col("role").alias("granted_via_role"))
         .distinct()
         .join(accounts, "user_name")
@@ -257,7 +257,7 @@ def phi_granted_never_read(
     seed = literal_roles(grants_to_roles.sparkSession, seeds)
     reach = role_reach(seed, role_edges(grants_to_roles)).select("role")
     members = (
-        salted_join(_user_grants(grants_to_users), reach, ["role"], "left_semi")
+        lookup_join(_user_grants(grants_to_users), reach, ["role"], "left_semi")
         .select("user_name")
         .distinct()
     )

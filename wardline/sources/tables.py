@@ -27,9 +27,24 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[f.name for f in schema.fields])
 
 
+def parse_objects(access_history: DataFrame) -> DataFrame:
+    """Access history whose objects arrive as JSON text or variant, with them as an array."""
+    kind = access_history.schema["base_objects_accessed"].dataType
+    wanted = schemas.ACCESS_HISTORY["base_objects_accessed"].dataType
+    column = F.col("base_objects_accessed")
+    if isinstance(kind, T.StringType):
+        column = F.from_json(column, wanted)
+    elif isinstance(kind, T.VariantType):
+        column = F.variant_get(column, "$", wanted.simpleString())
+    return access_history.withColumn("base_objects_accessed", column)
+
+
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One governance table below ``root``."""
-    return conform(spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}"), schemas.TABLES[name])
+    df = spark.read.format(fmt).load(f"{root.rstrip('/')}/{name}")
+    if name == "access_history":
+        df = parse_objects(df)
+    return conform(df, schemas.TABLES[name])
 
 
 def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
