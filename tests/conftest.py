@@ -11,7 +11,7 @@ from wardline import session  # noqa: E402
 from wardline.operators import rolegraph  # noqa: E402
 
 # Test graphs are shallow; fewer hops per round also means more rounds to test.
-rolegraph.HOPS = 2
+rolegraph.HOPS = 3
 
 
 @pytest.fixture(scope="session")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -285,32 +286,35 @@ def review_metrics(history: DataFrame, latest_run: str, sla_days: int = 31) -> D
 # What a text must not carry outside, and what is put in its place. In this
 # order: a secret may itself hold digits that look like something else. Every
 # repeat ahead of a literal is bounded, so long runs of letters cost no more.
+# The last field lists signs of which a text must hold one to match at all.
 SCRUB_RULES = (
-    (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]"),
-    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
-    (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]"),
-    (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
-    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]"),
-    (r"MRN-?[0-9]+", "[MRN]"),
-    (r"[0-9]{12,19}", "[NUMBER]"),
+    (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]", "=:"),
+    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", "@"),
+    (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]", "."),
+    (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]", "+"),
+    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]", "-"),
+    (r"MRN-?[0-9]+", "[MRN]", "M"),
+    (r"[0-9]{12,19}", "[NUMBER]", ""),
 )
 
 
-def scrubbed(text: Column, rules: Iterable[tuple[str, str]] = SCRUB_RULES) -> Column:
-    for pattern, marker in rules:
-        text = F.regexp_replace(text, pattern, marker)
-    return text
-
-
-def scrub_text(df: DataFrame, column: str = "text") -> DataFrame:
+def scrub_text(
+    df: DataFrame, column: str = "text", rules: Iterable[tuple[str, str, str]] = SCRUB_RULES
+) -> DataFrame:
     """The table with secrets and identifiers in ``column`` replaced by markers.
 
-    ``scrubbed`` tells which rows were changed.
+    ``scrubbed`` tells which rows were changed. Markers hold none of the signs,
+    so the original text tells which patterns are worth running.
     """
-    clean = df.withColumn("_clean", scrubbed(F.col(column)))
-    return clean.withColumn("scrubbed", ~F.col("_clean").eqNullSafe(F.col(column))).withColumn(
-        column, F.col("_clean")
-    ).drop("_clean")
+    clean = df.withColumn("_clean", F.col(column))
+    for pattern, marker, signs in rules:
+        replaced = F.regexp_replace("_clean", pattern, marker)
+        if signs:
+            holds = reduce(lambda a, b: a | b, [F.contains(column, F.lit(s)) for s in signs])
+            replaced = F.when(holds, replaced).otherwise(F.col("_clean"))
+        clean = clean.withColumn("_clean", replaced)
+    changed = ~F.col("_clean").eqNullSafe(F.col(column))
+    return clean.withColumn("scrubbed", changed).withColumn(column, F.col("_clean")).drop("_clean")
 
 
 def small_cohorts(df: DataFrame, quasi_ids: Iterable[str], k: int) -> DataFrame:

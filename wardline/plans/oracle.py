@@ -88,7 +88,7 @@ _EVENT = "alert_name, event_key, user_name, client_ip, query_text, event_timesta
 
 def _scrub(column: str) -> str:
     text = column
-    for pattern, marker in SCRUB_RULES:
+    for pattern, marker, _ in SCRUB_RULES:
         text = f"regexp_replace({text}, '{pattern}', '{marker}', 'g')"
     return text
 

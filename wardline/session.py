@@ -26,6 +26,8 @@ def build(cores: str | int = "*", memory: str = "16g", **conf: str) -> SparkSess
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # Small data: keep all cores busy rather than merging into 1 MB tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
