@@ -111,7 +111,7 @@ def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) ->
 
 
 def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
-    """(role, low_seed, high_seed): one row per role that holds any seed role.
+    """(role, low_seed, high_seed, is_seed): one row per role that holds any seed role.
 
     The smallest and the largest seed a role reaches are enough to tell whether
     it reaches one besides itself, and unlike the full pairs they stay one row
@@ -121,7 +121,10 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
     role = F.col("role_name")
     state = (
         seed.filter(role.isNotNull())
-        .select(role.alias("role"), role.alias("low_seed"), role.alias("high_seed"))
+        .select(
+            role.alias("role"), role.alias("low_seed"), role.alias("high_seed"),
+            F.lit(True).alias("is_seed"),
+        )
         .distinct()
         .checkpoint()
     )
@@ -132,7 +135,11 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
             step = (
                 step.join(edges, F.col("role") == F.col("child_role"))
                 .groupBy(F.col("parent_role").alias("role"))
-                .agg(F.min("low_seed").alias("low_seed"), F.max("high_seed").alias("high_seed"))
+                .agg(
+                    F.min("low_seed").alias("low_seed"),
+                    F.max("high_seed").alias("high_seed"),
+                    F.lit(False).alias("is_seed"),
+                )
             )
             reached.append(step.withColumn("hop", F.lit(hop)))
         merged = (
@@ -141,10 +148,11 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
             .agg(
                 F.min(F.struct("low_seed", "hop")).alias("low"),
                 F.max(F.struct("high_seed", (-F.col("hop")).alias("minus_hop"))).alias("high"),
+                F.bool_or("is_seed").alias("is_seed"),
             )
             .checkpoint()
         )
-        state = merged.select("role", "low.low_seed", "high.high_seed")
+        state = merged.select("role", "low.low_seed", "high.high_seed", "is_seed")
         # Only what the last hop was the first to find can lead any further.
         last = (F.col("low.hop") == hops) | (F.col("high.minus_hop") == -hops)
         frontier = merged.filter(last).select("role", "low.low_seed", "high.high_seed")
@@ -171,10 +179,7 @@ def _access_paths(reach: DataFrame) -> DataFrame:
 
 
 def _reached_paths(seed: DataFrame, edges: DataFrame) -> DataFrame:
-    reach = role_reach(seed, edges)
-    seeds = seed.select(F.col("role_name").alias("role"), F.lit(True).alias("is_seed")).distinct()
-    marked = reach.join(seeds, "role", "left")
-    return _access_paths(marked.withColumn("is_seed", F.coalesce("is_seed", F.lit(False))))
+    return _access_paths(role_reach(seed, edges))
 
 
 def phi_access_report(
