@@ -47,7 +47,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     executors and the driver would not see the same files.
     """
     context = spark.sparkContext
-    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
