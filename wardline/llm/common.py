@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline import session
 
@@ -51,6 +52,24 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same columns called c0, c1 and so on, so that none clashes with an added one."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)])
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1 and so on of ``rows`` under their names in ``docs``."""
+    return rows.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
+
+
+def extended(docs: DataFrame, **more: str) -> T.StructType:
+    """The schema of ``docs`` and further columns."""
+    added = T.StructType()
+    for name, kind in more.items():
+        added.add(name, kind)
+    return T.StructType([*docs.schema.fields, *added.fields])
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once.
 

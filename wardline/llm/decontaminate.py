@@ -220,9 +220,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, group: int = GROUP) -> DataFram
 
         return run
 
+    rows = common.numbered(docs)
     for shared in indexes(benchmark, group):
-        docs = docs.mapInArrow(without(shared), docs.schema)
-    return docs
+        rows = rows.mapInArrow(without(shared), rows.schema)
+    return common.renamed(rows, docs)
 
 
 def indexes(benchmark: DataFrame, group: int = GROUP) -> Iterator:

@@ -104,16 +104,22 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
         if taken[lang] <= landmarks:
             chosen.append(at)
     presence = Presence()
-    grams = [presence.of(text) for _, text in sample]
-    features = np.unique(np.concatenate([grams[at] for at in chosen]))
-    rows = np.zeros((len(sample), len(features)), np.float32)
-    for row, found in zip(rows, grams):
-        row[np.isin(features, found, assume_unique=True)] = 1 / np.sqrt(len(found))
-    marks = rows[chosen]
+    grams = [presence.of(sample[at][1]) for at in chosen]
+    features = np.unique(np.concatenate(grams))
+
+    def row(text: str) -> np.ndarray:
+        size = len(presence.of(text))
+        return presence.table[features].astype(np.float32) / np.float32(np.sqrt(size))
+
+    marks = np.stack([row(sample[at][1]) for at in chosen])
     own = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    space = (rows @ marks.T) @ root
+    texts = [text for _, text in sample]
+    kernel = [
+        np.stack([row(t) for t in texts[at : at + 64]]) @ marks.T for at in range(0, len(texts), 64)
+    ]
+    space = np.concatenate(kernel) @ root
     truth = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in sample])
     offset, centre = truth.mean(0), space.mean(0)
     moved = space - centre
@@ -124,9 +130,9 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_lang_score`` (the fit to the language, 0 to 1)."""
+    """Columns c0, c1 and so on of ``docs``, lang_pred, and score (0 to 1)."""
     at = docs.columns.index("text")
-    schema = docs.schema.add("_lang_pred", "string").add("_lang_score", "double")
+    rows = common.numbered(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
@@ -146,25 +152,21 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
                     scores[n] = min(1.0, max(0.0, (1 + float(value)) / 2))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores)],
-                [*batch.schema.names, "_lang_pred", "_lang_score"],
+                [*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, common.extended(rows, lang_pred="string", score="double"))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every text."""
     found = annotate(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return found.select(
-        "doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score")
-    )
+    return found.select(F.col("c0").alias("doc_id"), "lang_pred", "score")
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language could be told."""
-    return annotate(docs, model).where(F.col("_lang_pred") != UNKNOWN).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    return common.renamed(annotate(docs, model).where(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def train(docs: DataFrame, labelled: Column) -> Model | None:

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm import common
 from wardline.llm.common import let
 
 MASK = "[SECRET]"
@@ -185,62 +186,63 @@ def _running(values: Column) -> Column:
     return values
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of a rule in a text: array of (start, place in the list, end, kind)."""
-    nothing = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)")
-    pattern = F.lit(rule.pattern)
+def _matches(text: Column, rule: Rule, order: int) -> Column:
+    """What a rule finds in a text: its matches, and the text between them."""
+    return F.when(
+        text.rlike(rule.pattern),
+        F.struct(
+            F.split(text, rule.pattern, -1).alias("between"),
+            F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"),
+            F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("tested"),
+            F.lit(rule.least).alias("least"), F.lit(order).alias("place"),
+            F.lit(rule.kind).alias("kind"),
+        ),
+    )
 
-    def located(parts: Column) -> Column:
-        ends = _running(
-            F.transform(
-                parts["hits"],
-                lambda h, k: F.char_length(h) + F.char_length(F.get(parts["between"], k)),
-            )
+
+def _located(found: Column) -> Column:
+    """Spans (start, place in the list, end, kind) of a rule's matches."""
+    ends = _running(
+        F.transform(
+            found["hits"],
+            lambda h, k: F.char_length(h) + F.char_length(F.get(found["between"], k)),
         )
-        every = F.transform(
-            ends,
-            lambda e, k: F.when(
-                F.char_length(F.get(parts["tested"], k)) >= rule.least,
-                F.struct(
-                    (e - F.char_length(F.get(parts["hits"], k))).alias("start"),
-                    F.lit(order).alias("place"), e.alias("end"), F.lit(rule.kind).alias("kind"),
-                ),
+    )
+    every = F.transform(
+        ends,
+        lambda e, k: F.when(
+            F.char_length(F.get(found["tested"], k)) >= found["least"],
+            F.struct(
+                (e - F.char_length(F.get(found["hits"], k))).alias("start"),
+                found["place"].alias("place"), e.alias("end"), found["kind"].alias("kind"),
             ),
-        )
-        return F.filter(every, lambda s: s.isNotNull())
-
-    found = F.struct(
-        F.split(text, rule.pattern, -1).alias("between"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("tested"),
+        ),
     )
-    return F.when(text.rlike(rule.pattern), let(found, located)).otherwise(nothing)
+    return F.filter(every, lambda s: s.isNotNull())
 
 
-def _searched(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``, sorted."""
-    found = candidates(docs, rules).select(F.col("doc_id").alias("_doc"), F.col("kinds").alias("_kinds"))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    text = F.coalesce("text", F.lit(""))
+def _searched(rows: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
+    """All columns of ``rows`` and ``found``: the spans of its ``text`` column, sorted."""
+    named = rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    asked = candidates(named, rules).select(F.col("doc_id").alias("asked"), "kinds")
+    joined = rows.join(asked, F.col(key).cast("long").eqNullSafe(F.col("asked")), "left")
+    content = F.coalesce(text, F.lit(""))
     each = []
     for order, rule in enumerate(rules):
-        spans = spans_of(text, rule, order)
+        found = _matches(content, rule, order)
         if trigrams(rule.pattern):
-            nothing = F.expr(
-                "cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)"
-            )
-            asked = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
-            spans = F.when(asked, spans).otherwise(nothing)
-        each.append(spans)
-    return joined.select(
-        *[docs[c] for c in docs.columns], F.sort_array(F.flatten(F.array(*each))).alias("_spans")
-    )
+            wanted = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            found = F.when(wanted, found)
+        each.append(found)
+    spans = F.flatten(F.transform(F.array_compact(F.array(*each)), _located))
+    return joined.select(*rows.columns, F.sort_array(spans).alias("found"))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, spans): array of (start, place, end, kind) of every text."""
-    return _searched(docs.select("doc_id", "text"), rules).select(
-        F.col("doc_id").cast("long"), F.col("_spans").alias("spans")
+    rows = docs.select("doc_id", "text")
+    return _searched(rows, "doc_id", "text", rules).select(
+        F.col("doc_id").cast("long"), F.col("found").alias("spans")
     )
 
 
@@ -260,14 +262,15 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
 
     Keeps all columns; ``n_chars``, if there is one, is that of the new text.
     """
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    found = _searched(plain, rules)
+    at = {name: f"c{n}" for n, name in enumerate(docs.columns)}
+    rows = _searched(common.numbered(docs), at["doc_id"], at["text"], rules)
+    text, spans = F.col(at["text"]), F.col("found")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def add(sofar: Column, span: Column) -> Column:
         fresh = span["start"] >= sofar["at"]
         between = F.substring(
-            F.col("text"), sofar["at"] + 1, F.greatest(span["start"] - sofar["at"], F.lit(0))
+            text, sofar["at"] + 1, F.greatest(span["start"] - sofar["at"], F.lit(0))
         )
         return F.struct(
             F.when(fresh, F.concat(sofar["out"], between, F.lit(mask))).otherwise(sofar["out"])
@@ -276,13 +279,12 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
         )
 
     def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text")))
-
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, add, finish)).otherwise(
-        F.col("text")
-    )
-    out = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        length = F.when(F.size("_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
-    return out.drop("_spans")
+        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+
+    some = F.size(spans) > 0
+    masked = F.when(some, F.aggregate(spans, start, add, finish)).otherwise(text)
+    rows = rows.withColumn(at["text"], masked)
+    if "n_chars" in at:
+        size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn(at["n_chars"], F.when(some, size).otherwise(F.col(at["n_chars"])))
+    return common.renamed(rows, docs)

@@ -262,41 +262,32 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows with the same smallest doc_id (or none) the first by their other columns.
     """
-    columns = docs.columns
-    at = columns.index("text")
-    schema = docs.schema.add("_mark", "long")
+    at, key = docs.columns.index("text"), f"c{docs.columns.index('doc_id')}"
+    rows = common.numbered(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             marks = [fingerprint(t) for t in common.raw_texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "_mark"]
+                [*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "mark"]
             )
 
-    marked = common.stored(docs.mapInArrow(run, schema), "marked")
-    roots = roots_of(marked.select(F.col("_mark").alias("fingerprint"))).select(
-        F.col("fingerprint").alias("_mark"), F.col("root").alias("_root")
+    marked = common.stored(rows.mapInArrow(run, common.extended(rows, mark="long")), "marked")
+    roots = roots_of(marked.select(F.col("mark").alias("fingerprint"))).select(
+        F.col("fingerprint").alias("mark"), "root"
     )
     # Which rows stay is settled on ids alone; whole rows are only joined to the answer.
-    keys = marked.select("_mark", F.col("doc_id").alias("_id")).join(roots, "_mark", "left")
-    group = F.coalesce("_root", "_mark")
-    least = keys.groupBy(group.alias("_group")).agg(F.min("_id").alias("_least"))
-    wanted = (
-        keys.select(group.alias("_group"), "_id", "_mark").join(least, "_group")
-        .where(F.col("_id").eqNullSafe(F.col("_least")))
-        .groupBy("_group").agg(F.min("_mark").alias("_mark"), F.first("_least").alias("_least"))
-        .select("_mark", "_least")
-    )
-    kept = marked.join(
-        wanted.withColumnRenamed("_mark", "_wanted"),
-        (F.col("_mark") == F.col("_wanted")) & F.col("doc_id").eqNullSafe(F.col("_least")),
+    # Copies are summed up before anything is joined.
+    keys = marked.groupBy("mark").agg(F.min(key).alias("id")).join(roots, "mark", "left")
+    least = keys.groupBy(F.coalesce("root", "mark").alias("group")).agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("least")
     )
+    wanted = least.select(F.col("least.mark").alias("wanted"), F.col("least.id").alias("id"))
+    kept = marked.join(wanted, (F.col("mark") == F.col("wanted")) & F.col(key).eqNullSafe(F.col("id")))
     # Only repeated rows can still share a group; they meet in map-side minima.
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    return (
-        kept.groupBy("_wanted").agg(F.min(row).alias("_row"))
-        .select(*[F.col("_row").getField(c).alias(c) for c in columns])
-    )
+    row = F.struct(*[f"c{n}" for n in range(len(docs.columns))])
+    first = kept.groupBy("wanted").agg(F.min(row).alias("row")).select("row.*")
+    return common.renamed(first, docs)
 
 
 def hexadecimal(column: str = "fingerprint"):
