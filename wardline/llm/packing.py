@@ -40,7 +40,7 @@ END_ID = 2
 #: below them, each worker has a billion of its own. All fit a double exactly.
 COMPLETED, REST = 1 << 51, 3 << 50
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 PIECES = (
     "part int, bin long, nth int, offset int, doc_id long, start long, length int, "
