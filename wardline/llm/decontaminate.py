@@ -39,8 +39,10 @@ from wardline.llm import common
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
-BLOCK = 8
+BLOCK = 2
 GROUP = 20_000
+#: Bounds (of a passage and a block of items) that are worked out at once.
+CELLS = 2_000_000
 K1, B = 1.2, 0.75
 
 FOUND = (
@@ -159,15 +161,23 @@ def search(index: Index, documents: list[np.ndarray]) -> list[tuple[int, int, fl
     words, segment = words[known], segment[known]
     if not len(words):
         return []
-    at, which = _spans(index.block_start[words], index.block_start[words + 1])
-    held, top, block = segment[which], index.block_top[at], index.block[at]
-    # A passage is a segment and the next one of the document: each word is in up to two.
-    earlier = ~np.isin(held, first[:-1])
-    passage = np.concatenate([held, held[earlier] - 1])
-    keys = passage * index.blocks + np.concatenate([block, block[earlier]])
-    found, where = np.unique(keys, return_inverse=True)
-    bound = np.bincount(where, np.concatenate([top, top[earlier]]), len(found))
-    found = found[bound + index.floor[found % index.blocks] >= THRESHOLD - 1e-9]
+    # A passage is a segment and the next one of the document.
+    total, step = int(first[-1]), max(1, CELLS // index.blocks)
+    follows = np.ones(total, bool)
+    follows[first[1:] - 1] = False
+    found = []
+    for low in range(0, total, step):
+        high = min(low + step + 1, total)
+        part = slice(*np.searchsorted(segment, [low, high]))
+        at, which = _spans(index.block_start[words[part]], index.block_start[words[part] + 1])
+        cell = (segment[part][which] - low) * index.blocks + index.block[at]
+        sums = np.bincount(cell, index.block_top[at], (high - low) * index.blocks)
+        sums = sums.reshape(-1, index.blocks)
+        bound = sums[: min(step, total - low)] + index.floor
+        more = np.flatnonzero(follows[low : low + len(bound)])
+        bound[more] += sums[more + 1]
+        found.append(np.flatnonzero(bound.ravel() >= THRESHOLD - 1e-9) + low * index.blocks)
+    found = np.concatenate(found)
     results = []
     for key in found.tolist():
         number, block = divmod(key, index.blocks)
