@@ -255,7 +255,9 @@ def read(files: DataFrame, split: int = SPLIT, payloads: bool = True) -> DataFra
                 if rows:
                     yield _batch(rows, kinds, names)
 
-    return ranges.repartition("path", "low").mapInArrow(run, RECORDS)
+    # As many tasks as ranges: a range's row is small, but what it stands for is not.
+    count = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0]
+    return ranges.repartition(int(count or 1), "path", "low").mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple], kinds, names) -> pa.RecordBatch:
