@@ -37,6 +37,8 @@ SAMPLE = 192
 LANDMARKS = 48
 LONGEST = 20_000
 RIDGE = 1e-3
+#: Parts of a language that are drawn from before the language is.
+PARTS = 64
 UNKNOWN = "und"
 #: Characters that are hashed at once.
 CHUNK = 1 << 18
@@ -82,9 +84,12 @@ def draw(docs: DataFrame, labelled: Column, sample: int = SAMPLE, longest: int =
     )
     keyed = rows.select("lang", F.xxhash64("text").alias("key"), "text")
     # Copies are one candidate; only as many keys as are drawn leave a task.
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = keyed.select("lang", "key").distinct().withColumn("n", F.row_number().over(order))
-    picked = keys.where(F.col("n") <= sample).select("lang", "key").collect()
+    # The smallest of each of many parts come first, so that no task sees a whole language.
+    keys = keyed.select("lang", "key", F.pmod("key", F.lit(PARTS)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("key")
+        keys = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    picked = keys.select("lang", "key").collect()
     if not picked:
         return []
     wanted = docs.sparkSession.createDataFrame(picked, "lang string, key long")
