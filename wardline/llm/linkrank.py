@@ -34,6 +34,8 @@ RULES = [
 DAMPING = 0.7
 ROUNDS = 12
 THRESHOLD = 0.5
+#: Rows of host tables in a partition.
+ROWS = 200_000
 
 _LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -108,6 +110,8 @@ def propagate(
             F.coalesce("blocked", F.lit(0.0)).alias("blocked"),
         )
     )
+    # Every round writes these tables anew: as many files as their rows are worth.
+    few = 1 + (start.count() + edges.count()) // ROWS
 
     def weighed(source: str, target: str) -> DataFrame:
         total = edges.groupBy(source).agg(F.sum("links").alias("total"))
@@ -120,8 +124,9 @@ def propagate(
         )
         return real.unionByName(alone)
 
-    forward = common.cut_lineage(weighed("src", "dst"))
-    backward = common.cut_lineage(weighed("dst", "src"))
+    forward = common.cut_lineage(weighed("src", "dst").coalesce(few))
+    backward = common.cut_lineage(weighed("dst", "src").coalesce(few))
+    start = start.coalesce(few)
     scores = start.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     for _ in range(rounds):
         ahead = forward.join(scores, "host").select(
@@ -142,7 +147,7 @@ def propagate(
                 .alias("trust"),
                 ((1 - damping) * F.col("blocked") + damping * F.coalesce("d", F.lit(0.0)))
                 .alias("distrust"),
-            )
+            ).coalesce(few)
         )
     return scores
 
