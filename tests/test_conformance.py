@@ -260,3 +260,30 @@ def test_privilege_diff(make):
     schema = "role string, privilege string"
     new, old = make(schema, ("R", "A"), ("R", "A"), ("R", "B")), make(schema, ("R", "B"), ("R", "C"))
     assert rows(cf.privilege_diff(new, old)) == [("R", "A", "GAINED"), ("R", "C", "LOST")]
+
+
+def test_scrub_takes_whole_tokens(make):
+    texts = ["m" * 90 + "@mail.example.org x", "7" * 25, "a" * 1_000_000, "a@b@c.com"]
+    df = make("text string", *[(t,) for t in texts])
+    got = [r["text"] for r in cf.scrub_text(df).collect()]
+    assert got == ["[EMAIL] x", "[NUMBER]", texts[2], "a@[EMAIL]"]
+
+
+def test_unlisted_session_class_gets_the_strictest_limit(make):
+    df = make(
+        "user_name string, session_class string, ts timestamp_ntz",
+        ("A", "OTHER", "2024-01-01 00:00:00"), ("A", "OTHER", "2024-01-01 00:15:00"),
+        ("A", "OTHER", "2024-01-09 00:00:00"),
+    )
+    assert sorted(r["events"] for r in cf.idle_sessions(df).collect()) == [1, 2]
+
+
+def test_drift_with_null_keys(make):
+    schema = (
+        "policy_name string, policy_kind string, ref_database_name string, ref_schema_name string, "
+        "ref_entity_name string, ref_column_name string"
+    )
+    row = ("P", "MASKING_POLICY", "D", None, "T", "C")
+    same = make(schema, row)
+    assert cf.control_drift(same, same).count() == 0
+    assert cf.control_drift(same, same.limit(0)).count() == 1

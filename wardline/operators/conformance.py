@@ -132,7 +132,8 @@ def idle_sessions(activity: DataFrame, idle_minutes: Mapping[str, int] = IDLE_MI
     as long as the limit can never be split, so it is first summed to one row
     per slot. A busy user then has no more rows than slots to put in order.
     """
-    limit = F.lit(None).cast("long")
+    # A class that is not listed gets the strictest limit.
+    limit = F.lit(min(idle_minutes.values()) * 60_000_000).cast("long")
     for name, minutes in idle_minutes.items():
         limit = F.when(F.col("session_class") == name, minutes * 60_000_000).otherwise(limit)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -224,8 +225,8 @@ def control_drift(previous: DataFrame, current: DataFrame) -> DataFrame:
     ]
     masks = F.col("policy_kind") == "MASKING_POLICY"
     return (
-        previous.filter(masks).select(*key).distinct()
-        .join(current.filter(masks).select(*key).distinct(), key, "left_anti")
+        previous.filter(masks).select(*key)
+        .subtract(current.filter(masks).select(*key))  # nulls are equal here
         .withColumn("finding", F.lit("MASKING_POLICY_REMOVED"))
     )
 
@@ -284,17 +285,18 @@ def review_metrics(history: DataFrame, latest_run: str, sla_days: int = 31) -> D
 
 
 # What a text must not carry outside, and what is put in its place. In this
-# order: a secret may itself hold digits that look like something else. Every
-# repeat ahead of a literal is bounded, so long runs of letters cost no more.
+# order: a secret may itself hold digits that look like something else. A repeat
+# ahead of a literal takes its whole run at once and begins only where the run does,
+# so nothing of a long token is left over and long runs of letters cost no more.
 # The last field lists signs of which a text must hold one to match at all.
 SCRUB_RULES = (
     (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]", "=:"),
-    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", "@"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", "@"),
     (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]", "."),
     (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]", "+"),
     (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]", "-"),
     (r"MRN-?[0-9]+", "[MRN]", "M"),
-    (r"[0-9]{12,19}", "[NUMBER]", ""),
+    (r"[0-9]{12,}+", "[NUMBER]", ""),
 )
 
 

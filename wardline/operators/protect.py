@@ -66,11 +66,13 @@ def session_roles(active: DataFrame, edges: DataFrame) -> DataFrame:
 
 def apply_tag_masks(
     df: DataFrame, tag_references: DataFrame, table: str, session: SessionRoles,
-    unmask_role: str = UNMASK_ROLE,
+    unmask_role: str = UNMASK_ROLE, untagged: bool = False,
 ) -> DataFrame:
     """Mask every column of ``table`` (``database.schema.name``) that carries a PII tag.
 
-    Tags are read at call time, so a column tagged later is masked from then on.
+    Tags are read at call time, so a column tagged later is masked from then on. Names
+    are compared without case. A table without any tag is an error, as its name may be
+    wrong, unless the caller states with ``untagged`` that it has none.
     A tag that does not fit its column's type is an error: better than clear text.
     """
     if session.primary_has_role(unmask_role):
@@ -80,18 +82,20 @@ def apply_tag_masks(
     # At most one row per column and tag of this one table.
     tags = (
         tag_references.filter(
-            (F.col("object_database") == database)
-            & (F.col("object_schema") == schema)
-            & (F.col("object_name") == name)
-            & F.col("tag_name").isin(*PII_TAGS)
-            & F.lower("column_name").isin(*by_name)
+            (F.upper("object_database") == database.upper())
+            & (F.upper("object_schema") == schema.upper())
+            & (F.upper("object_name") == name.upper())
         )
-        .select("column_name", "tag_name")
+        .select(F.lower("column_name").alias("column_name"), F.upper("tag_name").alias("tag_name"))
         .distinct()
         .collect()
     )
+    if not tags and not untagged:
+        raise LookupError(f"no tag is known for {table}")
     masks = {}
     for tag in tags:
+        if tag.tag_name not in PII_TAGS or tag.column_name not in by_name:
+            continue
         column = by_name[tag.column_name.lower()]
         kind = df.schema[column].dataType
         if tag.tag_name == "PII_STRING" and isinstance(kind, T.StringType):

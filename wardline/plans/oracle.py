@@ -16,7 +16,6 @@ from wardline.constants import (
     PHI_NEVER_READ_SEED,
     PROTECTED_ROLES,
 )
-from wardline.operators.conformance import SCRUB_RULES
 from wardline.operators.review import (
     DETAIL_ORPHAN,
     DETAIL_OVER,
@@ -86,9 +85,21 @@ _PRIVILEGES = """SELECT DISTINCT c.held AS role, g.privilege, g.granted_on, g.na
 _EVENT = "alert_name, event_key, user_name, client_ip, query_text, event_timestamp"
 
 
+# Written for this engine, apart from the operator's patterns.
+SCRUBBED = [
+    (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]"),
+    (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
+    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]"),
+    (r"MRN-?[0-9]+", "[MRN]"),
+    (r"[0-9]{12}[0-9]*", "[NUMBER]"),
+]
+
+
 def _scrub(column: str) -> str:
     text = column
-    for pattern, marker, _ in SCRUB_RULES:
+    for pattern, marker in SCRUBBED:
         text = f"regexp_replace({text}, '{pattern}', '{marker}', 'g')"
     return text
 

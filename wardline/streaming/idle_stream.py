@@ -14,9 +14,11 @@ def idle_sessions_stream(
     activity: DataFrame, lateness: str = "3 hours", idle_minutes: Mapping[str, int] = IDLE_MINUTES
 ) -> DataFrame:
     """Closed sessions per user and session class, once the watermark passes them."""
-    gap = F.lit(None).cast("string")
+    # As in the batch operator, a class that is not listed gets the strictest limit, and
+    # an idle time equal to the limit does not end a session.
+    gap = F.lit(_gap(min(idle_minutes.values())))
     for name, minutes in idle_minutes.items():
-        gap = F.when(F.col("session_class") == name, f"{minutes} minutes").otherwise(gap)
+        gap = F.when(F.col("session_class") == name, _gap(minutes)).otherwise(gap)
     return (
         activity.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
@@ -28,3 +30,7 @@ def idle_sessions_stream(
         )
         .drop("session")
     )
+
+
+def _gap(minutes: int) -> str:
+    return f"{minutes} minutes 1 microsecond"
