@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from tests.conftest import rows
 from wardline import schemas
 from wardline.constants import ALERT_ADMIN_QUERY, ALERT_BREAKGLASS, ALERT_POLICY_DETACH, ALERT_TAG_REMOVAL
 from wardline.operators import alerts
-from wardline.streaming.alert_stream import read_stream, start_alert_stream
+from wardline.streaming.alert_stream import read_alerts, read_stream, start_alert_stream
 from wardline.streaming.idle_stream import idle_sessions_stream
 
 NOW = "2024-01-30 12:00:00"
@@ -65,6 +66,7 @@ def event(key, ts, name=ALERT_POLICY_DETACH):
 def test_new_events(make):
     events = make(
         EVENT, event("edge", "2024-01-30 09:00:00"), event("in", "2024-01-30 09:00:01"),
+        event("after", "2024-01-30 12:00:01"),
         event("told", "2024-01-30 11:00:00"), event("told elsewhere", "2024-01-30 11:00:00"),
     )
     ledger = make(
@@ -73,8 +75,22 @@ def test_new_events(make):
     )
     wanted = [("in",), ("told elsewhere",)]
     assert rows(alerts.new_events(events, ledger, NOW), "event_key") == wanted
-    pruned = alerts.new_events(events, ledger, NOW, ledger_since="2024-01-30 00:00:00")
-    assert rows(pruned, "event_key") == wanted
+
+
+def test_ledger_by_day(spark, make, tmp_path):
+    """Batches and runs add to the ledger; a poll opens only the days of its look-back."""
+    path = str(tmp_path / "ledger")
+    old = make(EVENT, event("old", "2024-01-20 09:00:00"), event("told", "2024-01-30 11:00:00"))
+    alerts.record(old, path, 0, NOW, "a")
+    alerts.record(make(EVENT, event("other run", "2024-01-30 11:00:00")), path, 0, NOW, "b")
+    alerts.record(old, path, 0, NOW, "a")
+    ledger = alerts.read_ledger(spark, path)
+    assert rows(ledger, "event_key") == [("old",), ("other run",), ("told",)]
+    events = make(EVENT, event("told", "2024-01-30 11:00:00"), event("new", "2024-01-30 11:00:00"))
+    fresh = alerts.new_events(events, ledger, NOW)
+    assert rows(fresh, "event_key") == [("new",)]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "2024-01-30" in plan
 
 
 def test_polling_reports_once(spark, make, tmp_path):
@@ -82,8 +98,8 @@ def test_polling_reports_once(spark, make, tmp_path):
     events = make(EVENT, *[event(f"e{i}", f"2024-01-30 {8 + i // 6:02d}:{i % 6 * 10:02d}:00") for i in range(24)])
     first = make(schemas.ALERT_STATE)
     for batch, poll in enumerate(["2024-01-30 08:30:00", "2024-01-30 10:00:00", "2024-01-30 12:00:00"]):
-        ledger = first if batch == 0 else spark.read.schema(schemas.ALERT_STATE).parquet(path)
-        fresh = alerts.new_events(events.filter(F.col("event_timestamp") <= F.lit(poll)), ledger, poll)
+        ledger = first if batch == 0 else alerts.read_ledger(spark, path)
+        fresh = alerts.new_events(events, ledger, poll)
         told += rows(fresh, "event_key")
         alerts.record(fresh, path, batch, poll)
         alerts.record(fresh, path, batch, poll)  # a batch that runs again changes nothing
@@ -113,29 +129,6 @@ def test_many_events_are_spread_over_messages(make):
     assert len(lines) == 901 and sum(line.endswith("(x50)") for line in lines) == 1
 
 
-def test_replay(make):
-    rows_in = [
-        (ALERT_BREAKGLASS, "quick", "2024-01-01 00:01:00", "2024-01-01 00:01:00"),
-        (ALERT_BREAKGLASS, "on the poll", "2024-01-01 00:01:00", "2024-01-01 00:05:00"),
-        (ALERT_BREAKGLASS, "late", "2024-01-01 01:00:00", "2024-01-01 03:00:00"),
-        (ALERT_BREAKGLASS, "missed", "2024-01-01 01:00:00", "2024-01-01 04:00:00"),
-        (ALERT_ADMIN_QUERY, "slow poll", "2024-01-01 00:01:00", "2024-01-01 00:01:00"),
-        (ALERT_BREAKGLASS, "twice", "2024-01-01 02:00:00", "2024-01-01 02:31:00"),
-        (ALERT_BREAKGLASS, "twice", "2024-01-01 02:00:00", "2024-01-01 02:11:00"),
-    ]
-    events = make(
-        "alert_name string, event_key string, event_timestamp timestamp_ntz, visible_at timestamp_ntz",
-        *rows_in,
-    )
-    got = {k: v and str(v)[11:16] for k, v in rows(
-        alerts.replay_polls(events, "2024-01-01 00:00:00"), "event_key", "reported_at"
-    )}
-    assert got == {
-        "quick": "00:05", "on the poll": "00:05", "late": "03:00", "missed": None,
-        "slow poll": "00:15", "twice": "02:15",
-    }
-
-
 def test_stream(spark, make, tmp_path):
     """Duplicates and late files: each event once, very late ones not at all."""
     logins, queries = tmp_path / "logins", tmp_path / "queries"
@@ -158,17 +151,71 @@ def test_stream(spark, make, tmp_path):
     arrive(2, login(user, ts="2024-01-30 12:00:00"), login(user, ts="2024-01-30 10:00:00"),
            login(user, ts="2024-01-30 09:30:00"))
     arrive(3, login(user, ts="2024-01-30 12:30:00"), login(user, ts="2024-01-30 06:00:00"))
-    out = spark.read.parquet(str(tmp_path / "out" / "events"))
+    path = str(tmp_path / "out")
+    out = read_alerts(spark, path)
     seen = rows(out.filter(F.col("alert_name") == ALERT_BREAKGLASS), "client_ip", "event_timestamp")
     at = [dt.datetime(2024, 1, 30, h, m) for h, m in [(9, 30), (10, 0), (12, 0), (12, 30)]]
     assert seen == sorted(
         [("10.0.0.1", t) for t in at] + [("10.0.0.9", at[1])], key=repr
     )
     assert out.filter(F.col("alert_name") == ALERT_POLICY_DETACH).count() == 3
-    ledger = spark.read.parquet(str(tmp_path / "out" / "ledger"))
+    ledger = alerts.read_ledger(spark, f"{path}/ledger")
     assert ledger.select("alert_name", "event_key").distinct().count() == 7
-    notes = spark.read.parquet(str(tmp_path / "out" / "notifications"))
+    notes = read_alerts(spark, path, "notifications")
     assert notes.agg(F.sum("event_count")).first()[0] == 8
+    assert read_alerts(spark, path, "quarantine").count() == 1
+
+
+@pytest.fixture
+def run(spark, tmp_path):
+    """Run the alerts over the logins that have arrived, under a named checkpoint."""
+    logins, queries, path = (str(tmp_path / name) for name in ("logins", "queries", "out"))
+    spark.createDataFrame([], schemas.QUERY_HISTORY).write.parquet(queries)
+
+    def start(checkpoint, arrived, **options):
+        arrived.coalesce(1).write.mode("append").parquet(logins)
+        start_alert_stream(
+            read_stream(spark, logins, schemas.LOGIN_HISTORY, files_per_batch=1),
+            read_stream(spark, queries, schemas.QUERY_HISTORY), path,
+            str(tmp_path / checkpoint), **options,
+        ).awaitTermination()
+        return path
+
+    return start
+
+
+def test_stream_started_anew(spark, make, run):
+    """A new checkpoint over the same output keeps what was sent and sends nothing twice."""
+    first, second = (login("BREAKGLASS_01", ts=f"2024-01-30 1{hour}:00:00") for hour in (0, 1))
+    run("one", make(schemas.LOGIN_HISTORY, first))
+    run("two", make(schemas.LOGIN_HISTORY, second, first))
+    path = run("two", make(schemas.LOGIN_HISTORY, login("USER")))
+    times = [(dt.datetime(2024, 1, 30, hour),) for hour in (10, 11)]
+    assert rows(read_alerts(spark, path), "event_timestamp") == times
+    assert alerts.read_ledger(spark, f"{path}/ledger").count() == 2
+    assert read_alerts(spark, path, "notifications").count() == 2
+
+
+def test_backfill_in_any_order(spark, make, run):
+    """Without a lateness, files of older days that come in later batches are whole."""
+    days = [login("BREAKGLASS_01", ts=f"2024-01-{day:02d} 10:00:00") for day in (30, 2, 17)]
+    for at, day in enumerate(days):
+        path = run("one" if at < 2 else "two", make(schemas.LOGIN_HISTORY, day), lateness=None)
+    assert read_alerts(spark, path).count() == 3
+
+
+def test_early_rows_wait(spark, make, run):
+    """Rows dated ahead are kept, do not move the watermark, and are sent once due."""
+    due = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) + dt.timedelta(seconds=20)
+    early = login("BREAKGLASS_01", ts=due.isoformat(sep=" "))
+    path = run("one", make(schemas.LOGIN_HISTORY, early), max_ahead="1 second")
+    assert read_alerts(spark, path).count() == 0
+    assert read_alerts(spark, path, "quarantine").count() == 1
+    while dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) < due:
+        time.sleep(0.5)
+    for _ in range(2):
+        run("one", make(schemas.LOGIN_HISTORY, login("BREAKGLASS_02")), max_ahead="1 second")
+    assert rows(read_alerts(spark, path), "user_name") == [("BREAKGLASS_01",), ("BREAKGLASS_02",)]
 
 
 def test_idle_stream(spark, make, tmp_path):

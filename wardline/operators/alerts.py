@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.constants import (
@@ -23,19 +23,30 @@ from wardline.constants import (
     ALERT_BREAKGLASS,
     ALERT_MESSAGES,
     ALERT_POLICY_DETACH,
-    ALERT_POLL_MINUTES,
     ALERT_TAG_REMOVAL,
     BREAKGLASS_PATTERN,
     POLICY_DETACH_PATTERNS,
     TAG_UNSET_PATTERNS,
 )
-from wardline.functions import ago, ilike_any
+from wardline.functions import ago, as_timestamp, ilike_any
 from wardline.functions.clock import parse
 
 LOOKBACK_HOURS = 3
 EVENT_COLUMNS = [
     "alert_name", "event_key", "user_name", "client_ip", "query_text", "event_timestamp",
 ]
+EVENT_SCHEMA = (
+    "alert_name string, event_key string, user_name string, client_ip string, query_text string, "
+    "event_timestamp timestamp"
+)
+MESSAGE_SCHEMA = (
+    "alert_name string, subject string, event_count long, message_no long, message_count long, "
+    "body string"
+)
+LEDGER = (
+    "alert_name string, event_key string, address string, notified_at timestamp_ntz, "
+    "event_date date, run_id string, batch_id long"
+)
 
 
 def breakglass_events(login_history: DataFrame, pattern: str = BREAKGLASS_PATTERN) -> DataFrame:
@@ -122,40 +133,56 @@ def alert_events(login_history: DataFrame, query_history: DataFrame) -> DataFram
 
 
 def new_events(
-    events: DataFrame,
-    ledger: DataFrame,
-    as_of,
-    lookback_hours: float = LOOKBACK_HOURS,
-    ledger_since=None,
+    events: DataFrame, ledger: DataFrame, as_of, lookback_hours: float = LOOKBACK_HOURS
 ) -> DataFrame:
-    """Events inside the look-back that the ledger does not hold yet.
+    """Events inside the look-back, none later than ``as_of``, that the ledger does not hold.
 
-    ``ledger_since`` limits the ledger rows read, for ledgers stored by day. It
-    must not be later than the oldest event that can still be reported.
+    Of a ledger stored by the day of its events (see ``record``) only the days of
+    the look-back are read.
     """
     known = ledger
-    if ledger_since is not None:
-        known = known.filter(F.col("notified_at") >= ago(known, "notified_at", ledger_since))
+    if "event_date" in ledger.columns:
+        first = parse(as_of) - dt.timedelta(hours=lookback_hours)
+        known = ledger.filter(F.col("event_date") >= F.lit(first.date()))
     recent = events.filter(
-        F.col("event_timestamp") > ago(events, "event_timestamp", as_of, hours=lookback_hours)
+        (F.col("event_timestamp") > ago(events, "event_timestamp", as_of, hours=lookback_hours))
+        & (F.col("event_timestamp") <= as_timestamp(events, "event_timestamp", as_of))
     )
     return recent.join(
-        known.select("alert_name", "event_key").distinct(), ["alert_name", "event_key"], "left_anti"
+        known.select("alert_name", "event_key"), ["alert_name", "event_key"], "left_anti"
     )
 
 
-def record(events: DataFrame, ledger_path: str, batch_id: int, notified_at=None) -> None:
-    """Add the events' keys to the ledger. Running a batch again replaces its own keys."""
+def record(
+    events: DataFrame, ledger_path: str, batch_id: int, notified_at=None, run_id: str = "poll"
+) -> None:
+    """Append the events' keys to the ledger, below the day of the event.
+
+    A batch is known by ``run_id`` and ``batch_id``: one that runs again replaces its
+    own keys, and no other run's.
+    """
     stamp = parse(notified_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     (
-        events.select("alert_name", "event_key")
+        events.select(
+            "alert_name", "event_key", F.coalesce("client_ip", F.lit("")).alias("address"),
+            F.to_date("event_timestamp").alias("event_date"),
+        )
         .distinct()
         .withColumn("notified_at", F.lit(stamp.isoformat(sep=" ")).cast("timestamp_ntz"))
+        .withColumn("run_id", F.lit(run_id))
+        .withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
         .write.mode("overwrite")
-        .parquet(f"{ledger_path}/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "run_id", "batch_id")
+        .parquet(ledger_path)
     )
 
 
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """The ledger that ``record`` appends to."""
+    return spark.read.schema(LEDGER).parquet(ledger_path)
+
+
 def _by_alert(values: Mapping[str, Column]) -> Column:
     chosen = F.lit(None).cast("string")
     for name, value in values.items():
@@ -222,32 +249,3 @@ def notification(events: DataFrame, lines_per_message: int = 500) -> DataFrame:
             F.concat(opening, F.col("text")).alias("body"),
         )
     )
-
-
-def replay_polls(
-    events: DataFrame,
-    anchor,
-    every_minutes: Mapping[str, int] = ALERT_POLL_MINUTES,
-    lookback_hours: float = LOOKBACK_HOURS,
-) -> DataFrame:
-    """When a past event was first reported: (alert_name, event_key, reported_at).
-
-    ``events`` has ``visible_at``, the time its row could first be queried.
-    Polls run every few minutes from ``anchor``. The first poll that sees an
-    event follows from arithmetic, so events are never joined to polls.
-    ``reported_at`` is null for a key that left the look-back before any poll
-    saw it.
-    """
-    start = F.lit(parse(anchor).isoformat(sep=" ")).cast("timestamp_ntz")
-    minutes = F.lit(None).cast("int")
-    for name, every in every_minutes.items():
-        minutes = F.when(F.col("alert_name") == name, every).otherwise(minutes)
-    waited = F.timestamp_diff("MICROSECOND", start, F.col("visible_at"))
-    polls = F.ceil(waited / (minutes.cast("double") * 60_000_000)).cast("bigint")
-    poll = F.timestamp_add("MINUTE", (F.greatest(polls, F.lit(0)) * minutes).cast("int"), start)
-    in_window = poll < F.col("event_timestamp") + F.expr(f"INTERVAL {lookback_hours} HOURS")
-    return (
-        events.withColumn("poll", poll)
-        .groupBy("alert_name", "event_key")
-        .agg(F.min(F.when(in_window, F.col("poll"))).alias("reported_at"))
-    )

@@ -31,7 +31,7 @@ from wardline.sources.adapter import (
     TODAY,
     Tables,
 )
-from wardline.streaming.alert_stream import read_stream, start_alert_stream
+from wardline.streaming.alert_stream import read_alerts, read_stream, start_alert_stream
 
 Query = Callable[[Tables], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -42,6 +42,9 @@ ORDERS_AS_OF = "2002-01-01 00:00:00"
 LEGACY_AS_OF = "2023-11-30 00:00:00"
 QUOTAS = {"TRANSFORM": 4000.0, "BI": 3000.0, "ANALYST": 3000.0}
 MANY = 10**12
+POLLS = ("2024-01-10 12:00:00", "2024-01-20 00:00:00", "2024-01-28 18:30:00")
+POLL_LOOKBACK_HOURS = 240
+STREAM_FILES = 8
 
 
 def query(build: Query) -> Query:
@@ -238,7 +241,7 @@ def mass_export(t: Tables) -> DataFrame:
 @query
 def mass_export_orders(t: Tables) -> DataFrame:
     return anomaly.mass_export(
-        t.order_queries, t.order_accesses, ORDERS_AS_OF, days=3650, excluded=("USER_1%",)
+        t.order_queries, t.order_accesses, ORDERS_AS_OF, days=3650
     )
 
 
@@ -312,23 +315,30 @@ def alert_notifications(t: Tables) -> DataFrame:
 
 @query
 def alert_replay(t: Tables) -> DataFrame:
+    """The ledger after the alerts were polled at each of ``POLLS``, each poll reading it anew."""
+    path = session.work_path(t.spark, "alert-ledger")
     events = alerts.alert_events(t.login_history, t.query_history)
-    delay = F.conv(F.substring(F.md5("event_key"), 1, 4), 16, 10).cast("int") % 200
-    seen = F.timestamp_add("MINUTE", delay, F.col("event_timestamp"))
-    return alerts.replay_polls(events.withColumn("visible_at", seen), "2024-01-01 00:00:00")
+    ledger = t.spark.createDataFrame([], alerts.LEDGER)
+    for number, poll in enumerate(POLLS):
+        fresh = alerts.new_events(events, ledger, poll, POLL_LOOKBACK_HOURS)
+        alerts.record(fresh, path, number, poll)
+        ledger = alerts.read_ledger(t.spark, path)
+    return ledger.select("alert_name", "event_key", F.col("notified_at").alias("reported_at"))
 
 
 @query
 def alert_stream(t: Tables) -> DataFrame:
+    """A backfill of several batches, in whatever order the files come."""
     spark = t.spark
     path = session.work_path(spark, "alert-stream")
-    arriving = read_stream(spark, t.root, t.events.schema, glob="events.parquet")
+    t.events.repartition(STREAM_FILES).write.parquet(f"{path}/arriving")
+    arriving = read_stream(spark, f"{path}/arriving", t.events.schema, files_per_batch=2)
     streamed = Tables(spark, t.root, events=arriving)
     running = start_alert_stream(
-        streamed.login_history, streamed.query_history, path, f"{path}/checkpoint"
+        streamed.login_history, streamed.query_history, path, f"{path}/checkpoint", lateness=None
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{path}/events").select(
+    return read_alerts(spark, path).select(
         *alerts.EVENT_COLUMNS[:-1], F.col("event_timestamp").cast("timestamp_ntz")
     )
 

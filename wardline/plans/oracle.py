@@ -9,7 +9,6 @@ from __future__ import annotations
 from wardline.constants import (
     ADMIN_ROLES,
     ALERT_MESSAGES,
-    ALERT_POLL_MINUTES,
     DANGEROUS_PRIVILEGES,
     PHI_ENTITLEMENT_SEED,
     PHI_LOGIN_ROLES,
@@ -26,6 +25,8 @@ from wardline.plans.catalog import (
     LEGACY_AS_OF,
     MATRIX_SHA,
     ORDERS_AS_OF,
+    POLL_LOOKBACK_HOURS,
+    POLLS,
     QUOTAS,
     RUN_ID,
     RUNNER,
@@ -475,7 +476,7 @@ QUERIES = {
           ON a.query_id = q.query_id AND a.query_start_time = q.start_time
         WHERE a.query_start_time >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 3650 DAY
           AND a.object_name ILIKE 'RAW_MASKED.GOV.%' AND q.rows_produced > 10000
-          AND NOT (a.user_name ILIKE 'USER_1%')""",
+          AND NOT (a.user_name ILIKE 'SVC_%' OR a.user_name ILIKE 'BREAKGLASS_%')""",
     "empty_result_probe": """SELECT user_name, query_date, total_queries, zero_row_queries,
           floor(CAST(zero_row_queries AS DOUBLE) / total_queries * 1000 + 0.5) / 10 AS pct_empty,
           'HIGH_EMPTY_RESULT_RATE' AS signal
@@ -524,7 +525,8 @@ QUERIES = {
     "alert_tag_unset": "SELECT * FROM tag_unset",
     "alert_admin_session": "SELECT * FROM admin_session",
     "alert_new_events": f"""SELECT {_EVENT} FROM all_alerts a
-        WHERE event_timestamp > {_ago(30)} AND NOT EXISTS (SELECT 1 FROM alert_state s
+        WHERE event_timestamp > {_ago(30)} AND event_timestamp <= {NOW}
+          AND NOT EXISTS (SELECT 1 FROM alert_state s
           WHERE s.alert_name = a.alert_name AND s.event_key = a.event_key)""",
     "alert_notifications": f"""SELECT alert_name,
           {_case('alert_name', {n: f"'{s}'" for n, (s, _) in ALERT_MESSAGES.items()})} AS subject,
@@ -538,17 +540,13 @@ QUERIES = {
           FROM message_lines l JOIN message_totals t ON l.alert_name = t.alert_name) m
         GROUP BY alert_name, event_count, message_no, message_count""",
     "alert_stream": f"SELECT DISTINCT {_EVENT} FROM all_alerts",
-    "alert_replay": f"""SELECT e.alert_name, e.event_key, min(p.poll) AS reported_at
-        FROM (SELECT *, event_timestamp + to_minutes(
-                CAST('0x' || substr(md5(event_key), 1, 4) AS INTEGER) % 200) AS visible_at,
-                {_case('alert_name', {n: str(m) for n, m in ALERT_POLL_MINUTES.items()})} AS every
+    "alert_replay": f"""SELECT e.alert_name, e.event_key, p.poll AS reported_at
+        FROM (SELECT DISTINCT alert_name, event_key, client_ip, event_timestamp
               FROM all_alerts) e
-        LEFT JOIN (SELECT m AS every, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
-              TIMESTAMP '2024-02-02 00:00:00', to_minutes(m))) AS poll
-              FROM (VALUES (5), (10), (15)) v(m)) p
-          ON p.every = e.every AND p.poll >= e.visible_at
-          AND p.poll < e.event_timestamp + INTERVAL 3 HOUR
-        GROUP BY 1, 2""",
+        JOIN (SELECT unnest([{", ".join(f"TIMESTAMP '{p}'" for p in POLLS)}]) AS poll) p
+          ON e.event_timestamp <= p.poll
+          AND e.event_timestamp > p.poll - INTERVAL {POLL_LOOKBACK_HOURS} HOUR
+        QUALIFY p.poll = min(p.poll) OVER (PARTITION BY e.alert_name, e.event_key)""",
     "mask_patient": "SELECT * FROM staged",
     "row_access": """SELECT * FROM patient WHERE facility_id IN (
           SELECT e.facility_id FROM row_entitlements e WHERE upper(e.role_name) IN

@@ -1,9 +1,13 @@
 """The four polled alerts as one streaming job.
 
-The watermark plays the part of the look-back: an event may come three hours
-late, and its key is remembered for as long. Each micro-batch writes its
-notifications, then its ledger rows, under its batch id, so a batch that runs
-again replaces its own output and nothing is sent twice.
+The ledger decides what is new: each micro-batch is held against it, delivers the
+rest and appends their keys. Events, messages and keys are stored under the id of
+the streaming query and of the batch, so a batch that runs again replaces its own
+output, and a stream started anew over the same output neither replaces nor repeats
+what an earlier one sent. One stream at a time may write to an output folder.
+
+Rows dated ahead of the clock wait in a quarantine and are delivered by the first
+batch after they are due.
 """
 
 from __future__ import annotations
@@ -13,10 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wardline.operators.alerts import EVENT_COLUMNS, alert_events, notification, record
+from wardline.operators.alerts import (
+    EVENT_COLUMNS,
+    EVENT_SCHEMA,
+    LEDGER,
+    MESSAGE_SCHEMA,
+    alert_events,
+    notification,
+    read_ledger,
+    record,
+)
 
 LATENESS = "3 hours"
+MAX_AHEAD = "10 minutes"
 KEY = ["alert_name", "event_key", "client_ip"]
+BATCH = "run_id string, batch_id long"
+TABLES = {"events": EVENT_SCHEMA, "quarantine": EVENT_SCHEMA, "notifications": MESSAGE_SCHEMA}
 
 
 def read_stream(
@@ -33,53 +49,105 @@ def read_stream(
 
 
 def new_alert_events(
-    login_history: DataFrame, query_history: DataFrame, lateness: str = LATENESS,
-    max_ahead: str = "10 minutes",
+    login_history: DataFrame, query_history: DataFrame, lateness: str | None = LATENESS,
+    max_ahead: str = MAX_AHEAD,
 ) -> DataFrame:
-    """Each alert event once, from streams of logins and queries.
+    """Alert events from streams of logins and queries, with ``ahead`` for those not yet due.
 
-    Rows dated further ahead than ``max_ahead`` are left out: one of them would
-    move the watermark past good data. Logins of one instant from two addresses
-    share a key but are both reported.
+    With ``lateness`` an event may come that much later than the newest one and is
+    given out once in that time. Without it no event is too late, and repeats are left
+    to the ledger. Rows dated further ahead than ``max_ahead`` never move the watermark,
+    as one of them would carry it past good data. Logins of one instant from two
+    addresses share a key but are both reported.
     """
     events = alert_events(login_history, query_history).withColumn(
         "event_timestamp", F.col("event_timestamp").cast("timestamp")
     )
     limit = F.current_timestamp() + F.expr(f"INTERVAL {max_ahead}")
-    return (
-        events.filter(F.col("event_timestamp") <= limit)
-        .withWatermark("event_timestamp", lateness)
-        .dropDuplicatesWithinWatermark(KEY)
+    due = events.filter(F.col("event_timestamp") <= limit)
+    if lateness is not None:
+        due = due.withWatermark("event_timestamp", lateness).dropDuplicatesWithinWatermark(KEY)
+    early = events.filter(F.col("event_timestamp") > limit)
+    return due.withColumn("ahead", F.lit(False)).unionByName(early.withColumn("ahead", F.lit(True)))
+
+
+def read_alerts(spark: SparkSession, path: str, table: str = "events") -> DataFrame:
+    """``events``, ``notifications`` or ``quarantine`` of all streams that wrote to ``path``."""
+    return spark.read.schema(f"{TABLES[table]}, {BATCH}").parquet(f"{path}/{table}")
+
+
+def _prepare(spark: SparkSession, path: str) -> None:
+    """Tables without rows, so that the first batch and readers find them."""
+    for table, schema in TABLES.items():
+        empty = spark.createDataFrame([], f"{schema}, {BATCH}")
+        empty.write.mode("append").partitionBy("run_id", "batch_id").parquet(f"{path}/{table}")
+    days = spark.createDataFrame([], LEDGER).write.mode("append")
+    days.partitionBy("event_date", "run_id", "batch_id").parquet(f"{path}/ledger")
+
+
+def _not_sent(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Events of which the ledger has no row. Only the days of the events are read."""
+    first, last = events.agg(
+        F.min(F.to_date("event_timestamp")), F.max(F.to_date("event_timestamp"))
+    ).first()
+    if first is None:
+        return events
+    sent = ledger.filter(F.col("event_date").between(F.lit(first), F.lit(last))).select(
+        "alert_name", "event_key", F.col("address").alias("_address"), "event_date"
     )
+    keyed = events.withColumn("event_date", F.to_date("event_timestamp")).withColumn(
+        "_address", F.coalesce("client_ip", F.lit(""))
+    )
+    on = ["alert_name", "event_key", "_address", "event_date"]
+    return keyed.join(sent, on, "left_anti").select(*EVENT_COLUMNS)
 
 
 def _deliver(path: str):
+    def write(rows: DataFrame, table: str, run_id: str, batch_id: int) -> None:
+        target = f"{path}/{table}/run_id={run_id}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        spark = batch.sparkSession
+        # The id of the streaming query: kept in its checkpoint, new with a new one.
+        run_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
+        ledger = read_ledger(spark, f"{path}/ledger").filter(~own)
+        waiting = read_alerts(spark, path, "quarantine").filter(
+            ~own & (F.col("event_timestamp") <= F.current_timestamp())
+        )
+        batch = batch.persist()
+        due = batch.filter(~F.col("ahead")).select(*EVENT_COLUMNS)
+        due = due.unionByName(waiting.select(*EVENT_COLUMNS)).dropDuplicates(KEY).persist()
+        fresh = _not_sent(due, ledger).persist()
         try:
-            batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(
-                f"{path}/events/batch_id={batch_id}"
-            )
-            notification(batch).write.mode("overwrite").parquet(
-                f"{path}/notifications/batch_id={batch_id}"
-            )
-            record(batch, f"{path}/ledger", batch_id)
+            early = batch.filter("ahead").select(*EVENT_COLUMNS).dropDuplicates(KEY)
+            if not early.isEmpty():
+                write(early, "quarantine", run_id, batch_id)
+            # Most polls find nothing, and leave no files.
+            if not fresh.isEmpty():
+                write(fresh, "events", run_id, batch_id)
+                write(notification(fresh), "notifications", run_id, batch_id)
+                record(fresh, f"{path}/ledger", batch_id, run_id=run_id)
         finally:
-            batch.unpersist()
+            for cached in (fresh, due, batch):
+                cached.unpersist()
 
     return deliver
 
 
 def start_alert_stream(
     login_history: DataFrame, query_history: DataFrame, path: str, checkpoint: str,
-    every: str | None = None, lateness: str = LATENESS,
+    every: str | None = None, lateness: str | None = LATENESS, max_ahead: str = MAX_AHEAD,
 ) -> StreamingQuery:
     """Run the alerts every ``every`` (say "5 minutes"), or once over all that is there.
 
-    Nothing runs until this is called.
+    A backfill over files in any order is run with ``lateness=None``. Nothing runs
+    until this is called.
     """
+    _prepare(login_history.sparkSession, path)
     writer = (
-        new_alert_events(login_history, query_history, lateness)
+        new_alert_events(login_history, query_history, lateness, max_ahead)
         .writeStream.foreachBatch(_deliver(path))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
