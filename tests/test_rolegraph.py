@@ -31,14 +31,14 @@ CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")]
 HUB = [(f"x{i}", "hub") for i in range(20)] + [("hub", f"y{i}") for i in range(20)]
 
 
-@pytest.mark.parametrize("limit", [rg.BROADCAST_EDGES, 0], ids=["broadcast", "shuffle"])
+@pytest.mark.parametrize("limit", [rg.BROADCAST_BYTES, 0], ids=["broadcast", "shuffle"])
 @pytest.mark.parametrize(
     "seeds, edges",
     [(["n00", "n07"], CHAIN), (["a", "c"], DIAMOND), (["a"], CYCLE), (["x1", "x2", "lonely"], HUB)],
     ids=["chain", "diamond", "cycle", "hub"],
 )
 def test_closure(make, monkeypatch, seeds, edges, limit):
-    monkeypatch.setattr(rg, "BROADCAST_EDGES", limit)
+    monkeypatch.setattr(rg, "BROADCAST_BYTES", limit)
     seed, edge = make(ROLE, *[(s,) for s in seeds]), make(EDGE, *edges)
     wanted = closure(seeds, edges)
     assert rows(rg.role_closure(seed, edge)) == wanted

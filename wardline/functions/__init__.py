@@ -1,6 +1,6 @@
 """Column functions and small DataFrame helpers shared by the operators."""
 
-from wardline.functions.clock import ago, as_timestamp
+from wardline.functions.clock import ago, as_timestamp, within
 from wardline.functions.identity import exception_id, quote_ident
 from wardline.functions.masks import mask_date, mask_string
 from wardline.functions.predicates import ilike_any, live, reads_object, touching
@@ -8,5 +8,5 @@ from wardline.functions.skew import lookup_join, salted_join
 
 __all__ = [
     "ago", "as_timestamp", "exception_id", "ilike_any", "live", "lookup_join", "mask_date", "mask_string",
-    "quote_ident", "reads_object", "salted_join", "touching",
+    "quote_ident", "reads_object", "salted_join", "touching", "within",
 ]

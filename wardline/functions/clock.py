@@ -24,5 +24,10 @@ def as_timestamp(df: DataFrame, column: str, moment: Moment) -> Column:
     return F.lit(text).cast(df.schema[column].dataType)
 
 
+def within(df: DataFrame, column: str, as_of: Moment, **delta: float) -> Column:
+    """Whether ``df[column]`` is in the time of length ``delta`` that ends at ``as_of``."""
+    return F.col(column).between(ago(df, column, as_of, **delta), as_timestamp(df, column, as_of))
+
+
 def ago(df: DataFrame, column: str, as_of: Moment, **delta: float) -> Column:
     return as_timestamp(df, column, parse(as_of) - dt.timedelta(**delta))

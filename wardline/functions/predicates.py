@@ -8,10 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.clock import Moment, as_timestamp
 
-def live(df: DataFrame) -> DataFrame:
-    """Rows that were not soft-deleted."""
-    return df.filter(F.col("deleted_on").isNull())
+
+def live(df: DataFrame, as_of: Moment | None = None) -> DataFrame:
+    """Rows that are not soft-deleted, or were not yet at ``as_of``."""
+    kept = F.col("deleted_on").isNull()
+    if as_of is not None:
+        kept |= F.col("deleted_on") > as_timestamp(df, "deleted_on", as_of)
+    return df.filter(kept)
 
 
 def ilike_any(value: Column, patterns: Iterable[str]) -> Column:
@@ -30,15 +35,15 @@ def reads_object(pattern: str) -> Column:
     )
 
 
-def touching(queries: DataFrame, access_history: DataFrame, pattern: str, since) -> DataFrame:
-    """Queries with an access record that touched ``pattern``, one row per query.
+def touching(queries: DataFrame, access_history: DataFrame, pattern: str, window: Column) -> DataFrame:
+    """Queries with an access record in ``window`` that touched ``pattern``, one row per query.
 
     The array is tested in place instead of exploded, so a query that touched
     many objects is never multiplied. Repeated access records collapse before
     the shuffle.
     """
     accessed = (
-        access_history.filter((F.col("query_start_time") >= since) & reads_object(pattern))
+        access_history.filter(window & reads_object(pattern))
         .select("query_id", F.col("query_start_time").alias("start_time"))
         .distinct()
     )

@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-LOOKUP_ROWS = 100_000
-
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", rows: int = LOOKUP_ROWS
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join ``facts`` to a ``lookup`` that is cheap to count and usually small.
+    """Join ``facts`` to a ``lookup`` that is usually small.
 
-    Up to ``rows`` rows it is sent to every task: the facts then stay where they
-    are and later filters still reach their scan. A larger one is joined by
-    salted keys.
+    Nothing is counted ahead: the adaptive plan broadcasts a lookup whose measured
+    size allows it, and otherwise splits the keys that many facts share.
     """
-    if lookup.limit(rows + 1).count() <= rows:
-        return facts.join(F.broadcast(lookup), on, how)
-    return salted_join(facts, lookup, on, how)
+    return facts.join(lookup, on, how)
 
 
 def salted_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to a far smaller ``lookup`` with each key cut into ``salts`` parts.
 
+    There are as many parts as the session's shuffles have, so a hot key is spread
+    over as many tasks as all rows are.
+
     The salt is the input partition of a fact row: it stays the same when a lost
     task runs again, and it spreads identical rows, which a hash of their values
     would not. Every lookup row is repeated once per salt. Only for joins that
@@ -35,6 +33,7 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join would repeat lookup rows")
+    salts = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted_facts = facts.withColumn("_salt", F.spark_partition_id() % salts)
     salted_lookup = lookup.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

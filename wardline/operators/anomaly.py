@@ -20,7 +20,7 @@ from wardline.constants import (
     PII_TAGS,
     SPIKE_EXCLUDED_USERS,
 )
-from wardline.functions import ago, ilike_any, live, touching
+from wardline.functions import ago, ilike_any, live, lookup_join, touching, within
 from wardline.functions.clock import parse
 from wardline.operators.audit import COLUMN_KEY, pii_tagged_columns
 from wardline.operators.rolegraph import literal_roles, role_edges, role_reach
@@ -44,7 +44,7 @@ def volume_spike(
     before = F.col("query_date") < today
     daily = (
         query_history.filter(
-            (F.col("start_time") >= ago(query_history, "start_time", as_of, days=lookback_days))
+            within(query_history, "start_time", as_of, days=lookback_days)
             & ~ilike_any(F.col("user_name"), excluded)
         )
         .groupBy("user_name", F.to_date("start_time").alias("query_date"))
@@ -71,12 +71,12 @@ def volume_spike(
 
 def _phi_queries(query_history, access_history, as_of, days, pattern, excluded=()) -> DataFrame:
     """Distinct queries in the window that touched an object like ``pattern``."""
-    since = ago(query_history, "start_time", as_of, days=days)
-    queries = query_history.filter(F.col("start_time") >= since)
+    queries = query_history.filter(within(query_history, "start_time", as_of, days=days))
     if excluded:
         queries = queries.filter(~ilike_any(F.col("user_name"), excluded))
     queries = queries.select("query_id", "user_name", "start_time", "rows_produced")
-    return touching(queries, access_history, pattern, since).distinct()
+    window = within(access_history, "query_start_time", as_of, days=days)
+    return touching(queries, access_history, pattern, window).distinct()
 
 
 def off_hours_access(
@@ -137,27 +137,36 @@ def novel_client_ip(
     Only direct holders count unless ``grants_to_roles`` is given, which adds
     those who inherit a role. ``first_seen`` is the latest recent login.
 
-    One aggregate per (user, address) answers both "seen recently" and "seen
-    before", and is far smaller than the logins when it meets the role holders.
+    The few recent pairs of role holders come first. Of the history only rows of
+    those pairs are kept, so Spark can send the pairs, or a bloom filter of them, to
+    its scan instead of shuffling all of it. An unknown address never matches an
+    earlier one.
     """
     logins = login_history.filter(F.col("is_success") == "YES")
     cutoff = ago(login_history, "event_timestamp", as_of, days=recent_days)
-    pairs = logins.groupBy("user_name", "client_ip").agg(
-        F.min("event_timestamp").alias("earliest"), F.max("event_timestamp").alias("first_seen")
-    )
-    # An unknown address never matches an earlier one.
-    is_new = (F.col("earliest") >= cutoff) | F.col("client_ip").isNull()
-    grants = live(grants_to_users)
+    grants = live(grants_to_users, as_of)
     if grants_to_roles is None:
         holders = grants.filter(F.col("role").isin(*roles))
     else:
         seed = literal_roles(grants.sparkSession, roles)
         reach = role_reach(seed, role_edges(grants_to_roles)).select("role")
-        holders = grants.join(reach, "role", "left_semi")
+        holders = lookup_join(grants, reach, ["role"], "left_semi")
     holders = holders.select(F.col("grantee_name").alias("user_name")).distinct()
-    return (
-        pairs.filter((F.col("first_seen") >= cutoff) & is_new)
+    pair = ["user_name", "client_ip"]
+    recent = (
+        logins.filter(within(logins, "event_timestamp", as_of, days=recent_days))
+        .groupBy(*pair)
+        .agg(F.max("event_timestamp").alias("first_seen"))
         .join(holders, "user_name", "left_semi")
+    )
+    before = (
+        logins.filter(F.col("event_timestamp") < cutoff)
+        .select(*pair)
+        .join(recent.select(*pair), pair, "left_semi")
+        .distinct()
+    )
+    return (
+        recent.join(before, pair, "left_anti")
         .select(
             "user_name",
             F.col("client_ip").alias("novel_ip"),
@@ -181,10 +190,9 @@ def mass_export(
 
     Access history names the user here, so it carries the user into the join.
     """
-    since = ago(access_history, "query_start_time", as_of, days=days)
     accessed = (
         access_history.filter(
-            (F.col("query_start_time") >= since)
+            within(access_history, "query_start_time", as_of, days=days)
             & F.exists("base_objects_accessed", lambda o: o["objectName"].ilike(pattern))
             & ~ilike_any(F.col("user_name"), excluded)
         )
@@ -192,7 +200,7 @@ def mass_export(
         .distinct()
     )
     large = query_history.filter(
-        (F.col("start_time") >= since) & (F.col("rows_produced") > min_rows)
+        within(query_history, "start_time", as_of, days=days) & (F.col("rows_produced") > min_rows)
     ).select(
         "query_id",
         F.col("start_time").alias("query_start_time"),

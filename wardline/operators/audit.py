@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.constants import DANGEROUS_PRIVILEGES, PII_TAGS, SERVICE_NAME_PATTERNS
-from wardline.functions import ago, as_timestamp, ilike_any, live
+from wardline.functions import ago, as_timestamp, ilike_any, live, within
 from wardline.functions.clock import parse
 
 COLUMN_KEY = ["object_database", "object_schema", "object_name", "column_name"]
@@ -56,7 +56,7 @@ def dormant_users(users: DataFrame, as_of, days: int = 90) -> DataFrame:
     today = F.lit(parse(as_of).date().isoformat()).cast("date")
     idle = last.isNull() | (last < ago(users, "last_success_login", as_of, days=days))
     return (
-        live(users)
+        live(users, as_of)
         .filter(~F.col("disabled") & idle)
         .select(
             F.col("name").alias("user_name"), "type", "disabled", "created_on",
@@ -75,8 +75,9 @@ def grant_changes(
     action = F.when(F.col("deleted_on").isNull(), "ADDED").otherwise("REVOKED")
 
     def changed(grants: DataFrame, scope: str, privilege, object_type, object_name) -> DataFrame:
-        since = ago(grants, "created_on", as_of, days=days)
-        recent = (F.col("created_on") >= since) | (F.col("deleted_on") >= since)
+        recent = within(grants, "created_on", as_of, days=days) | within(
+            grants, "deleted_on", as_of, days=days
+        )
         return grants.filter(recent).select(
             F.lit(scope).alias("change_scope"), "created_on", "deleted_on",
             action.alias("grant_action"), F.col("grantee_name").alias("role_name"),
@@ -102,14 +103,14 @@ def unused_roles(
     """
     used = (
         query_history.filter(
-            (F.col("start_time") >= ago(query_history, "start_time", as_of, days=days))
+            within(query_history, "start_time", as_of, days=days)
             & F.col("role_name").isNotNull()
         )
         .select("role_name")
         .distinct()
     )
     return (
-        live(roles)
+        live(roles, as_of)
         .select(F.col("name").alias("role_name"))
         .filter(~F.startswith("role_name", F.lit(skip)))
         .join(used, "role_name", "left_anti")
@@ -183,9 +184,9 @@ def failed_logins(
     login_history: DataFrame, as_of, days: int = 30, min_failures: int = 5
 ) -> DataFrame:
     """Users with repeated failed logins in the window."""
-    since = ago(login_history, "event_timestamp", as_of, days=days)
+    window = within(login_history, "event_timestamp", as_of, days=days)
     return (
-        login_history.filter((F.col("event_timestamp") >= since) & (F.col("is_success") == "NO"))
+        login_history.filter(window & (F.col("is_success") == "NO"))
         .groupBy("user_name")
         .agg(
             F.count("*").alias("failed_logins"),
@@ -239,9 +240,9 @@ def mfa_posture(users: DataFrame) -> DataFrame:
 
 def recent_failed_logins(login_history: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Failed logins in the window, newest first."""
-    since = ago(login_history, "event_timestamp", as_of, days=days)
+    window = within(login_history, "event_timestamp", as_of, days=days)
     return (
-        login_history.filter((F.col("event_timestamp") >= since) & (F.col("is_success") == "NO"))
+        login_history.filter(window & (F.col("is_success") == "NO"))
         .select("user_name", "error_code", "error_message", "client_ip", "event_timestamp")
         .orderBy(F.desc_nulls_first("event_timestamp"))
     )
@@ -249,8 +250,8 @@ def recent_failed_logins(login_history: DataFrame, as_of, days: int = 7) -> Data
 
 def recent_auth_events(authentication_history: DataFrame, as_of, hours: int = 2) -> DataFrame:
     """Authentication events in the window with all their columns, newest first."""
-    since = ago(authentication_history, "event_timestamp", as_of, hours=hours)
-    return authentication_history.filter(F.col("event_timestamp") >= since).orderBy(
+    window = within(authentication_history, "event_timestamp", as_of, hours=hours)
+    return authentication_history.filter(window).orderBy(
         F.desc_nulls_first("event_timestamp")
     )
 
@@ -260,7 +261,8 @@ def recent_logins(
 ) -> DataFrame:
     """Where logins in the window came from and how they ended."""
     recent = login_history.filter(
-        F.col("event_timestamp") > ago(login_history, "event_timestamp", as_of, hours=hours)
+        (F.col("event_timestamp") > ago(login_history, "event_timestamp", as_of, hours=hours))
+        & (F.col("event_timestamp") <= as_timestamp(login_history, "event_timestamp", as_of))
     )
     if user_name is not None:
         recent = recent.filter(F.col("user_name") == user_name)
@@ -271,9 +273,8 @@ def recent_logins(
 
 def alert_run_history(alert_history: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Alert runs in the window with their state and error."""
-    since = ago(alert_history, "scheduled_time", as_of, days=days)
     return (
-        alert_history.filter(F.col("scheduled_time") >= since)
+        alert_history.filter(within(alert_history, "scheduled_time", as_of, days=days))
         .select(
             F.col("name").alias("alert_name"), "scheduled_time", "completed_time", "state",
             "error_message",

@@ -23,8 +23,6 @@ from wardline.functions import as_timestamp, live, lookup_join, salted_join
 from wardline.functions.network import ip_number, network_of
 from wardline.operators.rolegraph import literal_roles, role_closure, role_edges
 
-BROADCAST_ROWS = 10_000
-
 
 def network_bounds(cidrs: DataFrame) -> DataFrame:
     """(policy_name, prefix, low, high) of each ``a.b.c.d/n`` in ``cidr``."""
@@ -43,14 +41,12 @@ def network_bounds(cidrs: DataFrame) -> DataFrame:
 
 
 def logins_outside_allowlist(
-    login_history: DataFrame, cidrs: DataFrame, user_policies: DataFrame, default_policy: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    login_history: DataFrame, cidrs: DataFrame, user_policies: DataFrame, default_policy: str
 ) -> DataFrame:
     """Logins from outside the networks of the user's own policy, or else the default.
 
-    A short network list is sent to every task. A longer one is met by equality
-    on the network address, one candidate per prefix length in use (33 at most)
-    and distinct address.
+    Networks are met by equality on the network address, with one candidate for each
+    distinct address and prefix length in use (33 at most), however many there are.
     """
     own = user_policies.select("user_name", "policy_name").distinct()
     policy = F.coalesce("policy_name", F.lit(default_policy))
@@ -61,12 +57,6 @@ def logins_outside_allowlist(
     )
     bounds = network_bounds(cidrs)
     output = ["user_name", "client_ip", "event_timestamp", "is_success", "policy_name"]
-    if bounds.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        network = F.broadcast(bounds.withColumnRenamed("policy_name", "network_policy"))
-        inside = (F.col("policy_name") == F.col("network_policy")) & F.col("address").between(
-            F.col("low"), F.col("high")
-        )
-        return logins.join(network, inside, "left_anti").select(*output)
     prefixes = bounds.groupBy("policy_name").agg(F.collect_set("prefix").alias("prefixes"))
     pairs = logins.select("policy_name", "address").filter(F.col("address").isNotNull()).distinct()
     allowed = (

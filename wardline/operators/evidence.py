@@ -16,9 +16,13 @@ PREFIXES = (6, 3, 0)
 
 
 def row_text(columns: Iterable[str]) -> Column:
-    """Values joined in the order of their names; null differs from empty."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(columns)]
-    return F.concat_ws("\x1f", *parts)
+    """Values in the order of their names, each after its length; a null is a minus sign.
+
+    No value can pass for a null or for two values.
+    """
+    values = [F.col(c).cast("string") for c in sorted(columns)]
+    parts = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in values]
+    return F.concat(*[F.coalesce(part, F.lit("-")) for part in parts])
 
 
 def digest(

@@ -26,13 +26,15 @@ from wardline.constants import (
     PHI_OBJECT_PATTERN,
     PHI_ROLE_PATTERN,
 )
-from wardline.functions import ago, live, lookup_join, reads_object
+from wardline.functions import live, lookup_join, reads_object, within
 from wardline.session import checkpoint_dir
 
 HOPS = 6
-# Role graphs up to this many edges (some tens of MB) are sent to every task;
-# larger ones are joined by shuffle.
-BROADCAST_EDGES = 250_000
+# Role graphs with names of up to this many bytes are sent to every task; larger ones
+# are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+# What a row of two names takes besides them.
+ROW_BYTES = 48
 
 
 def role_edges(grants_to_roles: DataFrame) -> DataFrame:
@@ -69,7 +71,9 @@ def _prepared_edges(edges: DataFrame) -> DataFrame:
         & (F.col("child_role") != F.col("parent_role"))
     )
     prepared = usable.select("child_role", "parent_role").distinct().checkpoint()
-    return F.broadcast(prepared) if prepared.count() <= BROADCAST_EDGES else prepared
+    size = F.sum(F.octet_length("child_role") + F.octet_length("parent_role") + ROW_BYTES)
+    held = prepared.agg(F.coalesce(size, F.lit(0))).first()[0]
+    return F.broadcast(prepared) if held <= BROADCAST_BYTES else prepared
 
 
 def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
@@ -266,9 +270,9 @@ def phi_granted_never_read(
         .select("user_name")
         .distinct()
     )
-    since = ago(access_history, "query_start_time", as_of, days=days)
+    window = within(access_history, "query_start_time", as_of, days=days)
     readers = (
-        access_history.filter((F.col("query_start_time") >= since) & reads_object(pattern))
+        access_history.filter(window & reads_object(pattern))
         .select("user_name")
         .distinct()
     )
@@ -289,12 +293,15 @@ def _inherited_roles(roles: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def effective_grants(grants_to_users: DataFrame, grants_to_roles: DataFrame) -> DataFrame:
+def effective_grants(
+    grants_to_users: DataFrame, grants_to_roles: DataFrame, only: DataFrame | None = None
+) -> DataFrame:
     """(identity, role): every role a user holds or inherits, in upper case.
 
-    The roles in use are closed once, not once per user. Both sides of the last
-    join may be large, so a role held by many is left to the skew-join split,
-    which repeats only that role's rows.
+    The roles in use are closed once, not once per user, and narrowed to the roles of
+    ``only`` before they meet the users. Both sides of the last join may be large, so a
+    role held by many is left to the skew-join split, which repeats only that role's
+    rows.
     """
     held = (
         live(grants_to_users)
@@ -303,6 +310,9 @@ def effective_grants(grants_to_users: DataFrame, grants_to_roles: DataFrame) ->
     )
     roles = held.select(F.col("held_role").alias("role_name")).distinct()
     inherited = _inherited_roles(roles, role_edges(grants_to_roles))
+    if only is not None:
+        wanted = only.select(F.col("role").alias("effective_role"))
+        inherited = inherited.join(wanted, "effective_role", "left_semi")
     return (
         held.join(inherited, "held_role")
         .select("identity", F.col("effective_role").alias("role"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.constants import AI_FUNCTIONS, ML_FUNCTIONS, PHI_DATABASE_PATTERN
-from wardline.functions import ago, ilike_any
+from wardline.functions import ilike_any, within
 
 
 def function_patterns(namespace: str, functions: Iterable[str]) -> list[str]:
@@ -17,9 +17,9 @@ def function_patterns(namespace: str, functions: Iterable[str]) -> list[str]:
 
 
 def _calls(query_history: DataFrame, patterns: list[str], as_of, days: int) -> DataFrame:
-    since = ago(query_history, "start_time", as_of, days=days)
     return query_history.filter(
-        (F.col("start_time") >= since) & ilike_any(F.col("query_text"), patterns)
+        within(query_history, "start_time", as_of, days=days)
+        & ilike_any(F.col("query_text"), patterns)
     )
 
 
@@ -55,8 +55,8 @@ def ai_calls_on_phi(
     pattern: str = PHI_DATABASE_PATTERN,
 ) -> DataFrame:
     """Each sensitive object an AI call read. Here one row per object is wanted."""
-    since = ago(access_history, "query_start_time", as_of, days=days)
-    accessed = access_history.filter(F.col("query_start_time") >= since).select(
+    window = within(access_history, "query_start_time", as_of, days=days)
+    accessed = access_history.filter(window).select(
         "user_name",
         "query_id",
         "query_start_time",
@@ -66,7 +66,8 @@ def ai_calls_on_phi(
         ).alias("objects"),
     )
     calls = query_history.filter(
-        (F.col("start_time") >= since) & F.col("query_text").ilike(f"%{namespace}.%")
+        within(query_history, "start_time", as_of, days=days)
+        & F.col("query_text").ilike(f"%{namespace}.%")
     ).select(
         "query_id",
         F.col("start_time").alias("query_start_time"),

@@ -437,22 +437,30 @@ class Review:
     """Inputs and result of one monthly review."""
 
     def __init__(self, t: Tables):
-        self.actual = rolegraph.effective_grants(t.grants_to_users, t.grants_to_roles)
+        self.tables = t
         self.expected = review.expected_grants(t.role_matrix, t.membership, t.inventory)
         self.sensitivity = review.role_sensitivity(t.role_matrix)
-        self.vocabulary = review.managed_vocabulary(self.expected)
+        self.held = review.direct_grants(t.grants_to_users)
         self.services = review.service_logins(t.inventory)
         self.identities = review.mark_services(t.identities, self.services)
 
     @property
     def logins(self):
-        return self.actual, self.identities, self.services, REVIEW_DAY
+        return self.held, self.identities, self.services, REVIEW_DAY
+
+    @property
+    def actual(self) -> DataFrame:
+        """Effective grants of the roles that the review may judge."""
+        return rolegraph.effective_grants(
+            self.tables.grants_to_users, self.tables.grants_to_roles,
+            review.managed_vocabulary(self.expected),
+        )
 
     @property
     def exceptions(self) -> DataFrame:
         return review.reconcile(
             self.actual, self.expected, self.identities, self.services, self.sensitivity,
-            REVIEW_DAY, vocabulary=self.vocabulary,
+            REVIEW_DAY, held=self.held,
         )
 
 
@@ -469,13 +477,13 @@ def role_sensitivity(t: Tables) -> DataFrame:
 @query
 def over_provisioned(t: Tables) -> DataFrame:
     r = Review(t)
-    return review.over_provisioned(r.actual, r.expected, r.vocabulary)
+    return review.over_provisioned(r.actual, r.expected)
 
 
 @query
 def under_provisioned(t: Tables) -> DataFrame:
     r = Review(t)
-    return review.under_provisioned(r.actual, r.expected, r.vocabulary)
+    return review.under_provisioned(r.actual, r.expected)
 
 
 @query

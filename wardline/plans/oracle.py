@@ -135,8 +135,9 @@ def _fold(rows: str, by: str = "") -> str:
 
 
 def _row_hash(columns: list[str]) -> str:
-    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in sorted(columns))
-    return f"sha256(concat_ws(chr(31), {parts}))"
+    values = [f"CAST({c} AS VARCHAR)" for c in sorted(columns)]
+    parts = [f"coalesce(CAST(length({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
 
 
 _EXCEPTION_COLUMNS = [
@@ -187,9 +188,9 @@ SHARED = {
     "phi_queries": f"""SELECT DISTINCT q.query_id, q.user_name, q.start_time, q.rows_produced
         FROM query_history q JOIN accessed a
           ON q.query_id = a.query_id AND q.start_time = a.query_start_time
-        WHERE q.start_time >= {_ago(30)} AND a.object_name ILIKE 'RAW_MASKED.GOV.%'""",
+        WHERE (q.start_time >= {_ago(30)} AND q.start_time <= {NOW}) AND a.object_name ILIKE 'RAW_MASKED.GOV.%'""",
     "daily_volume": f"""SELECT user_name, CAST(start_time AS DATE) AS d, sum(rows_produced) AS n
-        FROM query_history WHERE start_time >= {_ago(8)}
+        FROM query_history WHERE (start_time >= {_ago(8)} AND start_time <= {NOW})
           AND NOT (user_name ILIKE 'SVC_%' OR user_name ILIKE '%_SVC' OR user_name ILIKE 'BREAKGLASS_%')
         GROUP BY 1, 2""",
     "breakglass": """SELECT 'ALERT_BREAKGLASS_LOGIN' AS alert_name,
@@ -328,7 +329,7 @@ QUERIES = {
     "phi_never_read": f"""SELECT m.user_name, 'HAS PHI ROLE, NO PHI ACCESS IN 90 DAYS' AS finding
         FROM (SELECT DISTINCT g.grantee_name AS user_name FROM grants_to_users g
               JOIN unread_closure c ON g.role = c.top_role WHERE g.deleted_on IS NULL) m
-        LEFT JOIN (SELECT DISTINCT user_name FROM accessed WHERE query_start_time >= {_ago(90)}
+        LEFT JOIN (SELECT DISTINCT user_name FROM accessed WHERE (query_start_time >= {_ago(90)} AND query_start_time <= {NOW})
               AND object_name ILIKE 'RAW_MASKED.GOV.%') r ON m.user_name = r.user_name
         WHERE r.user_name IS NULL""",
     "effective_grants": "SELECT identity, role FROM actual",
@@ -350,15 +351,15 @@ QUERIES = {
           CASE WHEN deleted_on IS NULL THEN 'ADDED' ELSE 'REVOKED' END AS grant_action,
           grantee_name AS role_name, privilege, granted_on AS object_type, name AS object_name,
           granted_by
-        FROM grants_to_roles WHERE created_on >= {_ago(30)} OR deleted_on >= {_ago(30)}
+        FROM grants_to_roles WHERE (created_on >= {_ago(30)} AND created_on <= {NOW}) OR (deleted_on >= {_ago(30)} AND deleted_on <= {NOW})
         UNION ALL
         SELECT 'GRANT_TO_USER', created_on, deleted_on,
           CASE WHEN deleted_on IS NULL THEN 'ADDED' ELSE 'REVOKED' END,
           grantee_name, 'ROLE', 'USER', role, granted_by
-        FROM grants_to_users WHERE created_on >= {_ago(30)} OR deleted_on >= {_ago(30)}""",
+        FROM grants_to_users WHERE (created_on >= {_ago(30)} AND created_on <= {NOW}) OR (deleted_on >= {_ago(30)} AND deleted_on <= {NOW})""",
     "unused_roles": f"""SELECT r.name AS role_name, 'NO QUERIES IN 90 DAYS' AS finding
         FROM roles r LEFT JOIN (SELECT DISTINCT role_name FROM query_history
-          WHERE start_time >= {_ago(90)} AND role_name IS NOT NULL) u ON r.name = u.role_name
+          WHERE (start_time >= {_ago(90)} AND start_time <= {NOW}) AND role_name IS NOT NULL) u ON r.name = u.role_name
         WHERE r.deleted_on IS NULL AND u.role_name IS NULL AND NOT starts_with(r.name, 'AR_')""",
     "over_privileged_roles": f"""SELECT grantee_name AS role_name, count(*) AS privilege_count,
           string_agg(DISTINCT privilege, ', ' ORDER BY privilege) AS privilege_list
@@ -377,7 +378,7 @@ QUERIES = {
           UNION ALL SELECT 'policy_evidence', count(*) FROM policy_references
             WHERE policy_kind IN ('MASKING_POLICY', 'ROW_ACCESS_POLICY')
           UNION ALL SELECT 'failed_logins', count(*) FROM (
-            SELECT user_name FROM login_history WHERE event_timestamp >= {_ago(30)}
+            SELECT user_name FROM login_history WHERE (event_timestamp >= {_ago(30)} AND event_timestamp <= {NOW})
               AND is_success = 'NO' GROUP BY user_name HAVING count(*) >= 5) l
           UNION ALL SELECT 'tagged_unmasked', count(*) FROM tag_references t
             WHERE t.tag_name IN ('PII_STRING', 'PII_DATE') AND t.column_name IS NOT NULL
@@ -394,7 +395,7 @@ QUERIES = {
     "failed_logins": f"""SELECT user_name, count(*) AS failed_logins,
           count(DISTINCT client_ip) AS distinct_ips, min(event_timestamp) AS first_failure,
           max(event_timestamp) AS last_failure
-        FROM login_history WHERE event_timestamp >= {_ago(30)} AND is_success = 'NO'
+        FROM login_history WHERE (event_timestamp >= {_ago(30)} AND event_timestamp <= {NOW}) AND is_success = 'NO'
         GROUP BY user_name HAVING count(*) >= 5""",
     "tagged_unmasked": """SELECT t.object_database, t.object_schema, t.object_name, t.column_name,
           t.tag_name, t.tag_value
@@ -408,14 +409,14 @@ QUERIES = {
           default_role, last_success_login
         FROM users WHERE deleted_on IS NULL AND disabled = FALSE AND type = 'PERSON'""",
     "recent_failed_logins": f"""SELECT user_name, error_code, error_message, client_ip, event_timestamp
-        FROM login_history WHERE event_timestamp >= {_ago(7)} AND is_success = 'NO'""",
+        FROM login_history WHERE (event_timestamp >= {_ago(7)} AND event_timestamp <= {NOW}) AND is_success = 'NO'""",
     "recent_auth_events": f"""SELECT * FROM authentication_history
-        WHERE event_timestamp >= {_ago(2)}""",
+        WHERE (event_timestamp >= {_ago(2)} AND event_timestamp <= {NOW})""",
     "recent_logins": f"""SELECT client_ip, user_name, event_timestamp, is_success, error_code
-        FROM login_history WHERE event_timestamp > {_ago(2)}""",
+        FROM login_history WHERE (event_timestamp > {_ago(2)} AND event_timestamp <= {NOW})""",
     "alert_run_history": f"""SELECT name AS alert_name, scheduled_time, completed_time, state,
           error_message
-        FROM alert_history WHERE scheduled_time >= {_ago(7)}""",
+        FROM alert_history WHERE (scheduled_time >= {_ago(7)} AND scheduled_time <= {NOW})""",
     "column_tag_check": """SELECT * FROM tag_references
         WHERE column_name = 'MRN' AND tag_name IN ('PII_STRING', 'PII_DATE')""",
     "policies_on": """SELECT * FROM policy_references
@@ -445,7 +446,7 @@ QUERIES = {
     "novel_client_ip": f"""SELECT r.user_name, r.client_ip AS novel_ip, r.seen AS first_seen,
           'NOVEL_CLIENT_IP' AS signal
         FROM (SELECT user_name, client_ip, max(event_timestamp) AS seen FROM login_history
-              WHERE event_timestamp >= {_ago(1)} AND is_success = 'YES' GROUP BY 1, 2) r
+              WHERE (event_timestamp >= {_ago(1)} AND event_timestamp <= {NOW}) AND is_success = 'YES' GROUP BY 1, 2) r
         JOIN (SELECT DISTINCT grantee_name AS user_name FROM grants_to_users WHERE deleted_on IS NULL
               AND role IN ({_names(PHI_LOGIN_ROLES)})) p ON r.user_name = p.user_name
         LEFT JOIN (SELECT DISTINCT user_name, client_ip FROM login_history
@@ -455,7 +456,7 @@ QUERIES = {
     "novel_client_ip_inherited": f"""SELECT r.user_name, r.client_ip AS novel_ip,
           r.seen AS first_seen, 'NOVEL_CLIENT_IP' AS signal
         FROM (SELECT user_name, client_ip, max(event_timestamp) AS seen FROM login_history
-              WHERE event_timestamp >= {_ago(1)} AND is_success = 'YES' GROUP BY 1, 2) r
+              WHERE (event_timestamp >= {_ago(1)} AND event_timestamp <= {NOW}) AND is_success = 'YES' GROUP BY 1, 2) r
         JOIN (SELECT DISTINCT g.grantee_name AS user_name FROM grants_to_users g
               JOIN login_closure c ON g.role = c.top_role WHERE g.deleted_on IS NULL) p
           ON r.user_name = p.user_name
@@ -467,7 +468,7 @@ QUERIES = {
           left(q.query_text, 300) AS query_text_excerpt, q.query_id, 'MASS_EXPORT' AS signal
         FROM accessed a JOIN query_history q
           ON a.query_id = q.query_id AND a.query_start_time = q.start_time
-        WHERE a.query_start_time >= {_ago(30)} AND a.object_name ILIKE 'RAW_MASKED.GOV.%'
+        WHERE (a.query_start_time >= {_ago(30)} AND a.query_start_time <= {NOW}) AND a.object_name ILIKE 'RAW_MASKED.GOV.%'
           AND q.rows_produced > 10000
           AND NOT (a.user_name ILIKE 'SVC_%' OR a.user_name ILIKE 'BREAKGLASS_%')""",
     "mass_export_orders": f"""SELECT DISTINCT a.user_name, a.query_start_time, q.rows_produced,
@@ -475,6 +476,7 @@ QUERIES = {
         FROM order_accessed a JOIN order_queries q
           ON a.query_id = q.query_id AND a.query_start_time = q.start_time
         WHERE a.query_start_time >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 3650 DAY
+          AND a.query_start_time <= TIMESTAMP '{ORDERS_AS_OF}'
           AND a.object_name ILIKE 'RAW_MASKED.GOV.%' AND q.rows_produced > 10000
           AND NOT (a.user_name ILIKE 'SVC_%' OR a.user_name ILIKE 'BREAKGLASS_%')""",
     "empty_result_probe": """SELECT user_name, query_date, total_queries, zero_row_queries,
@@ -503,14 +505,14 @@ QUERIES = {
         FROM patient""",
     "ai_function_calls": f"""SELECT user_name, role_name, start_time,
           left(query_text, 400) AS query_excerpt
-        FROM query_history WHERE start_time >= {_ago(30)}
+        FROM query_history WHERE (start_time >= {_ago(30)} AND start_time <= {NOW})
           AND (query_text ILIKE '%{AI_NAMESPACE}.COMPLETE%'
             OR query_text ILIKE '%{AI_NAMESPACE}.SUMMARIZE%'
             OR query_text ILIKE '%{AI_NAMESPACE}.CLASSIFY_TEXT%'
             OR query_text ILIKE '%{AI_NAMESPACE}.EXTRACT_ANSWER%'
             OR query_text ILIKE '%{AI_NAMESPACE}.EMBED_TEXT%')""",
     "ml_training_calls": f"""SELECT user_name, role_name, start_time, query_text
-        FROM query_history WHERE start_time >= {_ago(30)}
+        FROM query_history WHERE (start_time >= {_ago(30)} AND start_time <= {NOW})
           AND (query_text ILIKE '%{ML_NAMESPACE}.FORECAST%'
             OR query_text ILIKE '%{ML_NAMESPACE}.ANOMALY_DETECTION%'
             OR query_text ILIKE '%{ML_NAMESPACE}.CLASSIFICATION%')""",
@@ -518,14 +520,14 @@ QUERIES = {
           a.object_name AS accessed_object, left(q.query_text, 300) AS query_excerpt
         FROM accessed a JOIN query_history q
           ON q.query_id = a.query_id AND q.start_time = a.query_start_time
-        WHERE a.query_start_time >= {_ago(30)} AND a.object_name ILIKE 'RAW_MASKED.%'
+        WHERE (a.query_start_time >= {_ago(30)} AND a.query_start_time <= {NOW}) AND a.object_name ILIKE 'RAW_MASKED.%'
           AND q.query_text ILIKE '%{AI_NAMESPACE}.%'""",
     "alert_breakglass": "SELECT * FROM breakglass",
     "alert_policy_detach": "SELECT * FROM policy_detach",
     "alert_tag_unset": "SELECT * FROM tag_unset",
     "alert_admin_session": "SELECT * FROM admin_session",
     "alert_new_events": f"""SELECT {_EVENT} FROM all_alerts a
-        WHERE event_timestamp > {_ago(30)} AND event_timestamp <= {NOW}
+        WHERE (event_timestamp > {_ago(30)} AND event_timestamp <= {NOW})
           AND NOT EXISTS (SELECT 1 FROM alert_state s
           WHERE s.alert_name = a.alert_name AND s.event_key = a.event_key)""",
     "alert_notifications": f"""SELECT alert_name,

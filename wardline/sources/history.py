@@ -12,20 +12,14 @@ from wardline.functions import as_timestamp
 from wardline.functions.clock import parse
 from wardline.operators.evidence import digest
 
-FILES_PER_DAY = 32
 ROWS_PER_FILE = 20_000_000
 
 
-def write_history(
-    df: DataFrame, path: str, ts: str, mode: str = "append", files_per_day: int = FILES_PER_DAY
-) -> None:
-    """Store a history by day. A day is written by several tasks, never by one."""
-    part = F.spark_partition_id() % files_per_day
+def write_history(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
+    """Store a history by day. The adaptive plan gives a day as many tasks as its bytes need."""
     (
         df.withColumn("event_date", F.to_date(ts))
-        .withColumn("_part", part)
-        .repartition("event_date", "_part")
-        .drop("_part")
+        .hint("rebalance", F.col("event_date"))
         .sortWithinPartitions("event_date", ts)
         .write.mode(mode)
         .option("maxRecordsPerFile", ROWS_PER_FILE)

@@ -38,19 +38,16 @@ def write_plan(plan: DataFrame, path: str, run_id: str) -> None:
     plan.select("revoke_sql").write.mode("overwrite").text(_below(path, f"revoke_{run_id}"))
 
 
-def write_owner_reports(
-    exceptions: DataFrame, owners: DataFrame, path: str, files_per_owner: int = 8
-) -> None:
+def write_owner_reports(exceptions: DataFrame, owners: DataFrame, path: str) -> None:
     """One folder per owner with only the exceptions of their identities.
 
-    ``owners`` has identity and owner; exceptions nobody owns go to UNOWNED.
+    ``owners`` has identity and owner; exceptions nobody owns go to UNOWNED. An owner
+    gets as many tasks and files as the bytes need.
     """
     owned = salted_join(exceptions, owners.select("identity", "owner"), ["identity"], "left")
     (
         owned.withColumn("owner", F.coalesce("owner", F.lit("UNOWNED")))
-        .withColumn("_part", F.pmod(F.xxhash64("exception_id"), F.lit(files_per_owner)))
-        .repartition("owner", "_part")
-        .drop("_part")
+        .hint("rebalance", F.col("owner"))
         .write.mode("overwrite")
         .partitionBy("owner")
         .parquet(path)
