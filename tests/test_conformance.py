@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline import schemas
-from wardline.functions import lookup_join, salted_join
+from wardline.functions import lookup_join, measured_bytes, salted_join
 from wardline.functions.network import ip_number
 from wardline.operators import conformance as cf
 from wardline.operators import evidence
@@ -220,17 +220,16 @@ def test_objects_as_json(spark, make, tmp_path):
         assert [o.objectName for o in read.first().base_objects_accessed] == ["A.B.C", "D"]
 
 
-def test_lookup_of_any_size(spark):
-    """The plan follows the measured size of the lookup; the rows do not."""
+def test_lookup_beyond_the_limit(spark):
     facts, lookup = spark.range(100).selectExpr("id % 3 AS k", "id"), spark.range(2).selectExpr("id AS k")
-    setting = "spark.sql.adaptive.autoBroadcastJoinThreshold"
     for how in ("inner", "left_semi", "left_anti"):
-        small = rows(lookup_join(facts, lookup, ["k"], how))
-        spark.conf.set(setting, "-1")
-        try:
-            assert rows(lookup_join(facts, lookup, ["k"], how)) == small
-        finally:
-            spark.conf.unset(setting)
+        small, large = (lookup_join(facts, lookup, ["k"], how, limit=n) for n in (1000, 1))
+        assert rows(small) == rows(large)
+
+
+def test_lookups_are_measured_in_bytes(make):
+    short, long = (make("k string, v long", (text, 1), (None, None)) for text in ("x", "x" * 5000))
+    assert measured_bytes(long) - measured_bytes(short) == 4999
 
 
 def test_digest_tells_close_rows_apart(make):

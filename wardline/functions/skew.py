@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LOOKUP_BYTES = 32_000_000
+# What a row and a value take besides the bytes of texts.
+ROW_BYTES, VALUE_BYTES = 32, 16
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory, from one aggregate."""
+    row = F.lit(ROW_BYTES + VALUE_BYTES * len(df.columns)).cast("bigint")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            row += F.coalesce(F.octet_length(field.name), F.lit(0))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner"
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner",
+    limit: int = LOOKUP_BYTES,
 ) -> DataFrame:
-    """Join ``facts`` to a ``lookup`` that is usually small.
+    """Join ``facts`` to a ``lookup`` of flat columns that is cheap to measure and usually small.
 
-    Nothing is counted ahead: the adaptive plan broadcasts a lookup whose measured
-    size allows it, and otherwise splits the keys that many facts share.
+    Up to ``limit`` bytes it is sent to every task: the facts then stay where they are
+    and later filters still reach their scan. A larger one is joined by shuffle, where
+    the adaptive plan splits the keys that many facts share.
     """
+    if measured_bytes(lookup) <= limit:
+        lookup = F.broadcast(lookup)
     return facts.join(lookup, on, how)
 
 

@@ -20,7 +20,7 @@ from wardline.constants import (
     PII_TAGS,
     SPIKE_EXCLUDED_USERS,
 )
-from wardline.functions import ago, ilike_any, live, lookup_join, touching, within
+from wardline.functions import ago, as_timestamp, ilike_any, live, lookup_join, touching, within
 from wardline.functions.clock import parse
 from wardline.operators.audit import COLUMN_KEY, pii_tagged_columns
 from wardline.operators.rolegraph import literal_roles, role_edges, role_reach
@@ -137,12 +137,12 @@ def novel_client_ip(
     Only direct holders count unless ``grants_to_roles`` is given, which adds
     those who inherit a role. ``first_seen`` is the latest recent login.
 
-    The few recent pairs of role holders come first. Of the history only rows of
-    those pairs are kept, so Spark can send the pairs, or a bloom filter of them, to
-    its scan instead of shuffling all of it. An unknown address never matches an
-    earlier one.
+    The history is read once and narrowed to role holders before it is grouped, so
+    only their distinct (user, address) pairs are shuffled. One aggregate answers
+    both "seen recently" and "seen before".
     """
-    logins = login_history.filter(F.col("is_success") == "YES")
+    window = F.col("event_timestamp") <= as_timestamp(login_history, "event_timestamp", as_of)
+    logins = login_history.filter((F.col("is_success") == "YES") & window)
     cutoff = ago(login_history, "event_timestamp", as_of, days=recent_days)
     grants = live(grants_to_users, as_of)
     if grants_to_roles is None:
@@ -152,21 +152,18 @@ def novel_client_ip(
         reach = role_reach(seed, role_edges(grants_to_roles)).select("role")
         holders = lookup_join(grants, reach, ["role"], "left_semi")
     holders = holders.select(F.col("grantee_name").alias("user_name")).distinct()
-    pair = ["user_name", "client_ip"]
-    recent = (
-        logins.filter(within(logins, "event_timestamp", as_of, days=recent_days))
-        .groupBy(*pair)
-        .agg(F.max("event_timestamp").alias("first_seen"))
-        .join(holders, "user_name", "left_semi")
-    )
-    before = (
-        logins.filter(F.col("event_timestamp") < cutoff)
-        .select(*pair)
-        .join(recent.select(*pair), pair, "left_semi")
-        .distinct()
+    pairs = (
+        lookup_join(logins, holders, ["user_name"], "left_semi")
+        .groupBy("user_name", "client_ip")
+        .agg(
+            F.min("event_timestamp").alias("earliest"),
+            F.max("event_timestamp").alias("first_seen"),
+        )
     )
+    # An unknown address never matches an earlier one.
+    is_new = (F.col("earliest") >= cutoff) | F.col("client_ip").isNull()
     return (
-        recent.join(before, pair, "left_anti")
+        pairs.filter((F.col("first_seen") >= cutoff) & is_new)
         .select(
             "user_name",
             F.col("client_ip").alias("novel_ip"),

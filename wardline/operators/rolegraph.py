@@ -26,15 +26,13 @@ from wardline.constants import (
     PHI_OBJECT_PATTERN,
     PHI_ROLE_PATTERN,
 )
-from wardline.functions import live, lookup_join, reads_object, within
+from wardline.functions import live, lookup_join, measured_bytes, reads_object, within
 from wardline.session import checkpoint_dir
 
 HOPS = 6
-# Role graphs with names of up to this many bytes are sent to every task; larger ones
+# Role graphs of up to this many bytes are sent to every task; larger ones
 # are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
-# What a row of two names takes besides them.
-ROW_BYTES = 48
 
 
 def role_edges(grants_to_roles: DataFrame) -> DataFrame:
@@ -71,9 +69,7 @@ def _prepared_edges(edges: DataFrame) -> DataFrame:
         & (F.col("child_role") != F.col("parent_role"))
     )
     prepared = usable.select("child_role", "parent_role").distinct().checkpoint()
-    size = F.sum(F.octet_length("child_role") + F.octet_length("parent_role") + ROW_BYTES)
-    held = prepared.agg(F.coalesce(size, F.lit(0))).first()[0]
-    return F.broadcast(prepared) if held <= BROADCAST_BYTES else prepared
+    return F.broadcast(prepared) if measured_bytes(prepared) <= BROADCAST_BYTES else prepared
 
 
 def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
