@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,23 +53,21 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _words: dict[str, Words] = {}
 
 
-class Words:
+class Words(dict):
     """Token ids of white-space separated words, remembered by word.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its words one after another.
+    text are those of its words one after another. Ids are little-endian 32-bit
+    integers; a word is tokenized when it is first asked for.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.marks = {
-            m.encode(): self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids)
-            for m in ".,"
-        }
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = {m: self._encoded(m) for m in (b".", b",")}
         # The printable stand-in of each byte in a byte-level vocabulary.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
@@ -80,43 +79,42 @@ class Words:
         text = text if b"<|" in text else text.lower()
         return text.replace(b"\n", b" ").split(b" ")
 
-    def learn(self, words: set[bytes]) -> None:
-        others = []
-        for word in words - self.known.keys():
-            mark = word[-1:] if word[-1:] in self.marks else b""
-            ids = self._letters(word[: len(word) - len(mark)])
-            if ids is None:
-                others.append(word)
-            else:
-                # After letters, a mark at the end of the word is a token of its own.
-                self.known[word] = ids + self.marks[mark] if mark else ids
-        texts = [w.decode() for w in others]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for word, encoding in zip(others, found):
-            self.known[word] = self._bytes(encoding.ids)
-
-    def _letters(self, word: bytes) -> bytes | None:
-        """Ids of a word of plain letters, None for any other."""
-        text = word.decode()
-        if not _LATIN.fullmatch(text):
-            return None
-        if word not in self.known:
-            text = text.lower().encode().decode("latin-1").translate(self.stand_in)
-            self.known[word] = self._bytes([t.id for t in self.model.tokenize(text)])
-        return self.known[word]
+    def __missing__(self, word: bytes) -> bytes:
+        mark = word[-1:]
+        if mark in self.marks and self._is_letters(word[:-1]):
+            # After letters, a mark at the end of the word is a token of its own.
+            ids = self[word[:-1]] + self.marks[mark]
+        elif self._is_letters(word):
+            ids = self._letters(word)
+        else:
+            ids = self._encoded(word)
+        self[word] = ids
+        return ids
 
     @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _is_letters(word: bytes) -> bool:
+        return word.isalpha() or bool(_LATIN.fullmatch(word.decode()))
+
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of a word of plain letters, without the tokenizer's other steps."""
+        if word.isalpha():
+            text = word.lower().decode()
+        else:
+            lower = word.decode().lower().encode()
+            text = lower.decode("latin-1").translate(self.stand_in)
+        ids = [token.id for token in self.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encoded(self, word: bytes) -> bytes:
+        (found,) = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)
+        return struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        words = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {b"": b""}
-        self.learn(set().union(*words))
-        for each in words:
-            yield b"".join(map(self.known.__getitem__, each))
+        if len(self) > REMEMBERED:
+            self.clear()
+        for text in texts:
+            yield b"".join(map(self.__getitem__, self.split(text)))
 
 
 def words(path: str) -> Words:
