@@ -88,6 +88,11 @@ def test_languages_odd(odd, nothing):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_only_letters_are_letters():
+    assert not any(langid.has_letter(t) for t in ("", "½ ² 12", "٣_٤", "Ⅻ ⓐ", "!?"))
+    assert all(langid.has_letter(t) for t in ("½ a", "ё", "²ñ", "中"))
+
+
 # Context mixing
 
 
@@ -525,6 +530,18 @@ def test_packing_over_many_workers(spark):
     assert sum(r["n"] for r in got) / 256 / len(got) > 0.95
 
 
+def test_long_words_are_not_remembered():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, plain = packing.Words(path), Tokenizer.from_file(path)
+    texts = ["x" * 5000 + " short", "short, " + "é" * 200 + ".", "a-b" * 90]
+    for text, code in zip(texts, words.encode([t.encode() for t in texts])):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(code, "<u4").tolist() == ids
+    assert words and max(map(len, words)) <= packing.LONGEST_REMEMBERED
+
+
 def test_cuts():
     for tokens in (1, 127, 128, 4095, 4096, 4097, 12_345):
         parts = packing.cuts(tokens)

@@ -43,7 +43,7 @@ UNKNOWN = "und"
 #: Characters that are hashed at once.
 CHUNK = 1 << 18
 
-_letter = re.compile(r"[^\W\d_]")
+_maybe_letter = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -54,6 +54,11 @@ class Model:
     offset: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of a letter category; numerals like a half have none."""
+    return any(found[0].isalpha() for found in _maybe_letter.finditer(text))
+
+
 class Presence:
     """Which n-grams a text has, in a table that is used again for the next text."""
 
@@ -96,7 +101,7 @@ def draw(docs: DataFrame, labelled: Column, sample: int = SAMPLE, longest: int =
     chosen = keyed.join(F.broadcast(wanted), ["lang", "key"])
     texts = chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
     texts = sorted((r["lang"], r["key"], r["text"]) for r in texts)
-    return [(lang, text) for lang, _, text in texts if _letter.search(text)]
+    return [(lang, text) for lang, _, text in texts if has_letter(text)]
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -144,7 +149,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in common.slices(batches, 64):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [n for n, text in enumerate(texts) if model and _letter.search(text)]
+            known = [n for n, text in enumerate(texts) if model and has_letter(text)]
             if known:
                 rows = np.zeros((len(known), len(model.features)), np.float32)
                 for row, n in zip(rows, known):

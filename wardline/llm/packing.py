@@ -40,8 +40,9 @@ END_ID = 2
 #: First numbers of sequences completed from several workers, and of those of the rest;
 #: below them, each worker has a billion of its own. All fit a double exactly.
 COMPLETED, REST = 1 << 51, 3 << 50
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers; beyond that it starts anew. Words of more
+#: bytes than the second number are tokenized each time.
+REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 
 PIECES = (
     "part int, bin long, nth int, offset int, doc_id long, start long, length int, "
@@ -88,7 +89,8 @@ class Words(dict):
             ids = self._letters(word)
         else:
             ids = self._encoded(word)
-        self[word] = ids
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = ids
         return ids
 
     @staticmethod
@@ -180,7 +182,8 @@ def pack(
             ready += [(part, -1, n, -1, *p) for n, p in enumerate(line)]
         yield _pieces(ready)
 
-    made = common.stored(docs.select("doc_id", "text").mapInArrow(fill, PIECES), "pieces")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    made = common.stored(rows.mapInArrow(fill, PIECES), "pieces")
     whole = made.where("bin >= 0").select(
         "doc_id", "start", "length", "doc_tokens",
         (F.col("part").cast("long") * (1 << 30) + F.col("bin")).alias("sequence_id"),
