@@ -321,7 +321,7 @@ def brute_secrets(text):
 
 SECRETS = [
     'password = "hunter2hunter2" PASSWD:short token=secret=abcdefghijkl', "AKIA" + "Z" * 16 + " AKIA1",
-    "0123456789abcdef é" * 40, "ghp_" + "a1B2" * 10, "é api_key: 'ABCDEFGHIJKL' apikey=abcdefghijkl.x",
+    "0123456789abcdef é" * 40, "😀" * 9 + "token: abcdefghijkl" + "é😀" * 9, "ghp_" + "a1B2" * 10, "é api_key: 'ABCDEFGHIJKL' apikey=abcdefghijkl.x",
     "-----BEGIN RSA PRIVATE KEY-----", "secrets of the token trade: none", None, "",
 ]
 
@@ -346,7 +346,9 @@ def test_trigram_queries():
     ]
 
 
-def test_redaction(odd, spark):
+@pytest.mark.parametrize("block", [secret_scan.MASK_BLOCK, 7])
+def test_redaction(odd, spark, monkeypatch, block):
+    monkeypatch.setattr(secret_scan, "MASK_BLOCK", block)
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(spark, SECRETS)).collect()}
     for n, text in enumerate(SECRETS):
         want, end = "", 0

@@ -64,6 +64,8 @@ BASE = ("assign", "access", "hex")
 ALTERNATIVES = 64
 #: Enough for one match in every 16 characters of the longest possible text.
 DOUBLINGS = 27
+#: Characters of a text that are masked at once.
+MASK_BLOCK = 8192
 
 #: Any of these sets of trigrams, all of the set; a query is a list of such choices.
 Choice = list[frozenset[str]]
@@ -257,6 +259,37 @@ def written(spans: Column) -> Column:
     )
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` in place of sorted spans.
+
+    Written block by block, so that the cost of a long text with many spans does not
+    grow with their product. A span that began in an earlier block has its mask there.
+    """
+    # Possessive, as a greedy repeat would recurse on every change of a character's width.
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MASK_BLOCK}}}+"), F.lit(0))
+
+    def rewritten(block: Column, number: Column) -> Column:
+        low = number * MASK_BLOCK
+        inside = F.filter(spans, lambda s: (s["start"] < low + MASK_BLOCK) & (s["end"] > low))
+
+        def add(sofar: Column, span: Column) -> Column:
+            fresh = span["start"] >= sofar["at"]
+            between = F.substring(block, sofar["at"] - low + 1, span["start"] - sofar["at"])
+            return F.struct(
+                F.when(fresh, F.concat(sofar["out"], between, F.lit(mask)))
+                .otherwise(sofar["out"]).alias("out"),
+                F.greatest(span["end"], sofar["at"]).alias("at"),
+            )
+
+        def finish(done: Column) -> Column:
+            return F.concat(done["out"], F.substring(block, done["at"] - low + 1, F.lit(MASK_BLOCK)))
+
+        start = F.struct(F.lit("").alias("out"), low.alias("at"))
+        return F.aggregate(inside, start, add, finish)
+
+    return F.array_join(F.transform(blocks, rewritten), "")
+
+
 def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> DataFrame:
     """``docs`` with every span (overlapping ones together) replaced by ``mask``.
 
@@ -265,24 +298,8 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
     at = {name: f"c{n}" for n, name in enumerate(docs.columns)}
     rows = _searched(common.numbered(docs), at["doc_id"], at["text"], rules)
     text, spans = F.col(at["text"]), F.col("found")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def add(sofar: Column, span: Column) -> Column:
-        fresh = span["start"] >= sofar["at"]
-        between = F.substring(
-            text, sofar["at"] + 1, F.greatest(span["start"] - sofar["at"], F.lit(0))
-        )
-        return F.struct(
-            F.when(fresh, F.concat(sofar["out"], between, F.lit(mask))).otherwise(sofar["out"])
-            .alias("out"),
-            F.greatest(span["end"], sofar["at"]).alias("at"),
-        )
-
-    def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
-
     some = F.size(spans) > 0
-    masked = F.when(some, F.aggregate(spans, start, add, finish)).otherwise(text)
+    masked = F.when(some, _masked(text, spans, mask)).otherwise(text)
     rows = rows.withColumn(at["text"], masked)
     if "n_chars" in at:
         size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
