@@ -264,7 +264,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows with the same smallest doc_id (or none) the first by their other columns.
     """
-    at, key = docs.columns.index("text"), f"c{docs.columns.index('doc_id')}"
+    at = docs.columns.index("text")
     rows = common.numbered(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +278,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     roots = roots_of(marked.select(F.col("mark").alias("fingerprint"))).select(
         F.col("fingerprint").alias("mark"), "root"
     )
+    return first_rows(marked, roots, docs)
+
+
+def first_rows(marked: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of ``marked`` (numbered ``docs`` and mark) the first row of each group in (mark, root)."""
+    key = f"c{docs.columns.index('doc_id')}"
     # Which rows stay is settled on ids alone; whole rows are only joined to the answer.
     # Copies are summed up before anything is joined.
     keys = marked.groupBy("mark").agg(F.min(key).alias("id")).join(roots, "mark", "left")
