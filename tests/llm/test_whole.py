@@ -2,7 +2,10 @@
 
 import random
 
-from wardline.llm import nearcopies
+import numpy as np
+from pyspark.sql import functions as F
+
+from wardline.llm import contextmix, nearcopies
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -52,3 +55,28 @@ def test_a_large_group_of_near_copies(spark):
     want = {i for i, root in brute_near(texts).items() if i == root}
     assert len(want) == 21
     assert {r["doc_id"] for r in nearcopies.representatives(docs).collect()} == want
+
+
+def test_drawn_texts_count_in_the_tables(spark):
+    words = [(b"a", 9), (b"b", 5), (b"c", 4)]
+    shared = spark.sparkContext.broadcast(contextmix.Coder(words, 4, 3))
+    rows = [("a b c a", True), ("b b a other", False), ("c a", True), ("a b c a", True)]
+    docs = spark.createDataFrame(rows, "text string, drawn boolean").repartition(2)
+    whole, rest = contextmix.tables(docs, shared)
+    plain, _ = contextmix.tables(docs.withColumn("drawn", F.lit(False)), shared)
+    assert np.array_equal(whole, plain) and not np.array_equal(whole, rest)
+    alone, _ = contextmix.tables(docs.where("not drawn"), shared)
+    assert np.array_equal(rest, alone)
+
+
+def test_a_hot_drawn_text_is_learned(spark, monkeypatch):
+    """A text that holds a third of the rows is known to the model, drawn or not."""
+    hot = " ".join(f"hot{n % 9} word{n % 7}" for n in range(60))
+    texts = [hot] * 100 + [f"plain text number {n} of many others" for n in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(contextmix, "SHARE", share)
+        rows = contextmix.score(docs, F.lit(True)).collect()
+        found.append(next(r["bits_per_byte"] for r in rows if r["doc_id"] == 0))
+    assert found[1] < 1.5 * found[0] + 0.05
