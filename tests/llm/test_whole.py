@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardline.llm import contextmix, nearcopies
+from wardline.llm import contextmix, linkrank, nearcopies
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -80,3 +80,16 @@ def test_a_hot_drawn_text_is_learned(spark, monkeypatch):
         rows = contextmix.score(docs, F.lit(True)).collect()
         found.append(next(r["bits_per_byte"] for r in rows if r["doc_id"] == 0))
     assert found[1] < 1.5 * found[0] + 0.05
+
+
+def test_many_hosts_that_link_to_a_blocked_one(spark):
+    rows = [("http://hub.net/es/1", "")]
+    rows += [(f"http://bad{n}.org/x", "<a href='http://hub.net/es/1'>") for n in range(300)]
+    rows += [(f"http://good{n}.com/x", f"<a href='http://fair{n}.org/x'>") for n in range(300)]
+    rows += [(f"http://fair{n}.org/x", "<a href='http://hub.net/es/1'>" * (n < 3)) for n in range(300)]
+    pages = spark.createDataFrame(
+        [(n, u, h) for n, (u, h) in enumerate(rows)], "page_id long, url string, html string"
+    )
+    rules = spark.createDataFrame(linkrank.RULES, "action string, rule string")
+    blocked = {r["host"] for r in linkrank.judge(pages, rules).collect() if r["verdict"] == "block"}
+    assert blocked == {"hub.net"} | {f"bad{n}.org" for n in range(300)}

@@ -6,8 +6,10 @@ from hosts in proportion to their pages that rules allow and follows links forwa
 distrust starts from hosts in proportion to their pages that rules block and follows
 links backward, to hosts that link there. Both are personalised PageRank over
 aggregated host edges (a relative link is one from the host to itself, as is the whole
-weight of a host without links). A host is blocked if its distrust exceeds its trust
-by ``THRESHOLD``.
+weight of a host without links). A host is blocked if over ``THRESHOLD`` of its trust and
+distrust together is distrust, and it has at least ``LEAST`` of the mean distrust of all
+hosts. Neither depends on how many hosts there are; a host that links to one blocked host
+which far more hosts link to than is usual may still stay under the least.
 
 Pages are summed to hosts and host pairs before any shuffle; the iterations only see
 those. Host tables are joined on the host with the adaptive split of hot hosts.
@@ -34,6 +36,7 @@ RULES = [
 DAMPING = 0.7
 ROUNDS = 12
 THRESHOLD = 0.5
+LEAST = 0.1
 #: Rows of host tables in a partition.
 ROWS = 200_000
 
@@ -172,7 +175,9 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = THRESHOLD) -> D
         F.avg((F.coalesce("action", F.lit("")) == "block").cast("double")).alias("blocked"),
     )
     scores = propagate(common.cut_lineage(host_edges(pages)), seeds)
-    bad = F.coalesce(F.col("distrust") - F.col("trust") > threshold, F.lit(False))
+    mean = scores.agg(F.avg("distrust")).first()[0] or 0.0
+    share = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    bad = F.coalesce(share & (F.col("distrust") >= LEAST * mean), F.lit(False))
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("action", F.when(bad, "block").otherwise("allow")).alias("verdict"),
