@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardline.llm import contextmix, linkrank, nearcopies
+from wardline.llm import contextmix, linkrank, nearcopies, quality
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -93,3 +93,24 @@ def test_many_hosts_that_link_to_a_blocked_one(spark):
     rules = spark.createDataFrame(linkrank.RULES, "action string, rule string")
     blocked = {r["host"] for r in linkrank.judge(pages, rules).collect() if r["verdict"] == "block"}
     assert blocked == {"hub.net"} | {f"bad{n}.org" for n in range(300)}
+
+
+def test_planted_outliers_fail_their_fences(spark):
+    plain = "these are words of a plain text that nobody would ever call a bad one at all "
+    texts = {n: f"{plain}number {n}\nand its second line {n} is longer\n{plain[:20 + n % 7]}" for n in range(300)}
+    for n, share in enumerate((40, 50, 60, 70)):
+        # Long lines between the repeated ones, so that few words are repeated.
+        lines = [" ".join(f"w{k}x{m}" for m in range(30)) for k in range(100 - share - 1)]
+        texts[400 + n] = "\n".join(lines + [f"line {n}"] + [f"line {n}"] * share)
+    texts[500] = " ".join(f"{k % 10} ab c" for k in range(60))
+    texts[501] = " ".join(f"{chr(97 + k % 26)}{chr(97 + k % 7)}{k}averylongword" for k in range(60))
+    texts[502] = " ".join(f"word{k}" + "%" * (k % 2) for k in range(60))
+    docs = spark.createDataFrame(
+        [(n, t, "en", "web") for n, t in texts.items()],
+        "doc_id long, text string, lang string, source string",
+    )
+    rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    failed = {n for n, r in rows.items() if not r["kept"]}
+    assert failed == {n for n in texts if n >= 400}
+    adaptive = {n for n in failed if not rows[n]["base_failed"]}
+    assert {400, 401, 402, 403, 501, 502} <= adaptive

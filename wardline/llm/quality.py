@@ -31,8 +31,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SKETCH = 2048
 LEAST = 200
-FENCE = 8.0
-LEAST_SPREAD = {"symbol_share": 0.02, "dup_line_share": 0.1, "word_length": 1.0}
+FENCE = 3.0
+LEAST_SPREAD = {"symbol_share": 0.02, "dup_line_share": 0.1, "word_length": 0.5}
 
 _SPLIT = r"[\x20\x09-\x0D]+"
 
