@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardline.llm import contextmix, linkrank, nearcopies, quality
+from wardline.llm import contextmix, langid, linkrank, nearcopies, quality
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -114,3 +114,11 @@ def test_planted_outliers_fail_their_fences(spark):
     assert failed == {n for n in texts if n >= 400}
     adaptive = {n for n in failed if not rows[n]["base_failed"]}
     assert {400, 401, 402, 403, 501, 502} <= adaptive
+
+
+def test_texts_with_letters_stay_without_a_model(spark):
+    rows = [(0, "some clean text", None), (1, "12 ... 34", None), (2, None, None), (3, "Привет", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model is None
+    assert {r["doc_id"] for r in langid.identified(docs, model).collect()} == {0, 3}

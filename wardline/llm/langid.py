@@ -175,7 +175,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language could be told."""
+    """The rows of ``docs``, all columns, whose language could be told.
+
+    Where no text could be learned from there is no model: all with a letter stay.
+    """
+    if model is None:
+        at = docs.columns.index("text")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches, 64):
+                texts = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([has_letter(t or "") for t in texts], pa.bool_()))
+
+        rows = common.numbered(docs)
+        return common.renamed(rows.mapInArrow(run, rows.schema), docs)
     return common.renamed(annotate(docs, model).where(F.col("lang_pred") != UNKNOWN), docs)
 
 
