@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline(spark):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wardline import session
 from wardline.llm import (
-    chat, contextmix, decontaminate, langid, linkrank, packing, quality, secret_scan, simhash, warc,
+    alignment, chat, contextmix, decontaminate, langid, linkrank, minhash, packing, quality,
+    secret_scan, simhash, spelling, warc,
 )
 from wardline.llm.common import remainder
 
@@ -19,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def default_tokenizer() -> str:
+def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +122,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(
+        table(spark, sf_dir, "documents"),
+        default_tokenizer("byte_bpe_50k.json"), default_tokenizer("piece_bpe_32k.model"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_context_mixing, op3_simhash, op4_quality_rules, op5_warc,
         op6_secret_scan, op7_link_trust, op8_decontaminate, op9_chat_windows, op10_packing,
+        op11_minhash, op12_tokenizer_alignment, op13_spelling_variants,
     )
 }
 
