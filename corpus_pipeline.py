@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
 kept; all but the last return the columns of ``documents``. Texts whose language
-cannot be told go; one document of each group of near duplicates stays; documents
+cannot be told go; one document of each group of fingerprints within three bits stays; documents
 that hold a benchmark item go; secrets are masked; the rest is tokenized and packed.
 
 Null and empty texts have no language and go at the first stage. Null ids, repeated
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import session
-from wardline.llm import decontaminate, langid, nearcopies, packing, secret_scan
+from wardline.llm import decontaminate, langid, packing, secret_scan, simhash
 from wardline.llm.common import remainder
 from wardline.llm.queries import default_tokenizer
 
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
