@@ -1,60 +1,9 @@
 """Operators do their whole job: cases that a cheaper method would leave out."""
 
-import random
-
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardline.llm import contextmix, langid, linkrank, nearcopies, quality
-
-SMALL = "/root/testdata/sf0.01"
-
-
-def brute_near(texts):
-    """Smallest id that similar texts (five-word shingles, 0.8) lead to, for each id."""
-    sets = {i: nearcopies.shingles((t or "").encode()) for i, t in texts.items()}
-    places = {}
-    for i, s in sets.items():
-        for x in s:
-            places.setdefault(x, []).append(i)
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in sorted(sets):
-        for k in {k for x in sets[i] for k in places[x] if k < i}:
-            shared = len(sets[i] & sets[k])
-            if shared >= 0.8 * (len(sets[i]) + len(sets[k]) - shared) - 1e-9:
-                a, b = find(i), find(k)
-                root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in sets}
-
-
-def test_near_copies_of_the_pipeline(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    want = {i for i, root in brute_near(texts).items() if i == root}
-    kept = {r["doc_id"] for r in nearcopies.representatives(docs).collect()}
-    assert kept == want
-
-
-def test_a_large_group_of_near_copies(spark):
-    draw = random.Random(3)
-    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
-    rows = []
-    for n in range(300):
-        words = list(base)
-        words[draw.randrange(120)] = f"other{n}"
-        rows.append((n, " ".join(words)))
-    rows += [(1000 + n, f"quite another text number {n} " + " ".join(base[n : n + 20])) for n in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = dict(rows)
-    want = {i for i, root in brute_near(texts).items() if i == root}
-    assert len(want) == 21
-    assert {r["doc_id"] for r in nearcopies.representatives(docs).collect()} == want
+from wardline.llm import contextmix, langid, linkrank, quality
 
 
 def test_drawn_texts_count_in_the_tables(spark):

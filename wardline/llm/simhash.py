@@ -95,9 +95,10 @@ def link(marks: DataFrame) -> DataFrame:
         masked = value.bitwiseAND(F.lit(_signed(kept)))
         flips = [0] + [1 << b for b in range(64) if b // BLOCK_BITS != block]
         keys.append(variants(masked, [_signed(f) for f in flips]))
-    # A fingerprint is a small row that becomes many: as many tasks emit as will read.
+    # A fingerprint is a small row that becomes many: as many tasks emit as will read. By a
+    # hash of it, as rows that are already dealt by the column itself would not be dealt again.
     tasks = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = marks.repartition(tasks, "fingerprint").select(
+    emitted = marks.repartition(tasks, F.xxhash64("fingerprint", F.lit(1))).select(
         value, F.posexplode(F.array(*keys)).alias("block", "variants")
     ).select("fingerprint", "block", F.explode("variants").alias("variant"))
     met = emitted.repartition("block", "variant").sortWithinPartitions("block", "variant")
