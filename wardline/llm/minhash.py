@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import lookup_join
 from wardline.llm import common, components
 
 WORDS = 4
@@ -113,47 +114,75 @@ def bands(least: np.ndarray) -> np.ndarray:
     return key
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): a number of a row's id and text, the same whenever it is read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, mark, hashes, keys, sketch): mark is a digest of the set.
+    """(doc_id, row, n_shingles, mark, keys, sketch): mark is a digest of the set.
 
-    ``sketch`` holds one byte of each bin. Sets without shingles have no mark.
+    ``sketch`` holds one byte of each bin. Sets without shingles have no mark. The sets
+    themselves, larger than the texts, are not kept: see ``shingled``.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         shingles = Shingles()
         for batch in common.slices(batches):
-            sizes, marks, sets, keys, bytes_ = [], [], [], [], []
+            sizes, marks, keys, bytes_ = [], [], [], []
             for text in common.raw_texts(batch.column(1)):
                 found = shingles.of(text)
                 sizes.append(len(found))
                 if not len(found):
-                    for column in (marks, sets, keys, bytes_):
+                    for column in (marks, keys, bytes_):
                         column.append(None)
                     continue
                 least = sketch(found)
-                marks.append(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
-                sets.append(found.view(np.int64))
+                marks.append(mark_of(found))
                 keys.append(bands(least).view(np.int64))
                 # The least of many are small numbers, so they are mixed before they are cut short.
                 bytes_.append((mixed(least) & np.uint64(255)).astype(np.uint8).tobytes())
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()),
-                    pa.array(sets, longs), pa.array(keys, longs), pa.array(bytes_, pa.binary()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()),
+                    pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(bytes_, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "mark", "hashes", "keys", "sketch"],
+                ["doc_id", "row", "n_shingles", "mark", "keys", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return _named(docs).mapInArrow(
         run,
-        "doc_id long, n_shingles long, mark long, hashes array<long>, keys array<long>, "
-        "sketch binary",
+        "doc_id long, row long, n_shingles long, mark long, keys array<long>, sketch binary",
     )
 
 
+def mark_of(hashes: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mark, n, hashes) of the rows of ``docs`` that ``wanted`` (row, mark) names, each mark once.
+
+    Texts are read again, but only those that share a bucket are hashed again.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for batch in common.slices(batches, 64):
+            sets = [shingles.of(text) for text in common.raw_texts(batch.column(1))]
+            hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array(map(len, sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, hashes], ["mark", "n", "hashes"])
+
+    rows = lookup_join(_named(docs).select("row", "text"), wanted, ["row"]).select("mark", "text")
+    # Only rows of the same id and text still share a mark.
+    return rows.mapInArrow(run, "mark long, n long, hashes array<long>").dropDuplicates(["mark"])
+
+
 def _sizes_allow() -> Column:
     """Sizes n_a and n_b that similar sets can have."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -186,18 +215,21 @@ def plausible(pairs: DataFrame) -> DataFrame:
     return shape.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that are similar; ``sets`` has mark, n, hashes and sketch."""
+def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are similar.
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(
-            F.col("mark").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns]
+    ``marks`` has mark, n and sketch; ``sets`` mark, n and hashes. Sketches come first, as
+    they are small rows: whole sets only meet for what those leave.
+    """
+
+    def side(of: DataFrame, name: str, column: str) -> DataFrame:
+        return of.select(
+            F.col("mark").alias(name), F.col("n").alias(f"n_{name}"), F.col(column).alias(f"{column}_{name}")
         )
 
-    # Sketches first: small rows. Whole sets only meet for what they leave.
-    likely = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    likely = pairs.join(side(marks, "a", "sketch"), "a").join(side(marks, "b", "sketch"), "b")
     likely = common.cut_lineage(plausible(likely.where(_sizes_allow())))
-    both = likely.join(side("b", "n", "hashes"), "b").join(side("a", "n", "hashes"), "a")
+    both = likely.join(side(sets, "b", "hashes"), "b").join(side(sets, "a", "hashes"), "a")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     either = F.col("n_a") + F.col("n_b") - shared
     return both.where(100 * shared >= PERCENT * either).select("a", "b")
@@ -276,13 +308,18 @@ def _over(links: DataFrame, roots: DataFrame) -> DataFrame:
     return common.cut_lineage(kept.unionByName(fresh.join(roots, "mark", "left_anti")))
 
 
-def roots_of(distinct: DataFrame) -> DataFrame:
-    """(mark, root) of the sets that any other links to; ``distinct`` has each mark once."""
-    sets = distinct.select("mark", F.col("n_shingles").alias("n"), "hashes", "sketch")
-    each = distinct.select("mark", F.explode("keys").alias("key"))
+def roots_of(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(mark, root) of the sets that any other links to.
+
+    ``marked`` has mark, row, n, keys and sketch, each mark once, its row in ``docs``.
+    """
+    spark = docs.sparkSession
+    each = marked.select("mark", F.explode("keys").alias("key"))
     several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.stored(each.join(several.select("key"), "key"), "buckets")
-    spark = distinct.sparkSession
+    met = shared.select("mark").distinct()
+    marks = common.stored(marked.select("mark", "row", "n", "sketch").join(met, "mark"), "met")
+    sets = common.stored(shingled(docs, marks.select("row", "mark")), "sets")
     roots = spark.createDataFrame([], "mark long, root long")
     for number in range(STARS + 1):
         members = shared.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
@@ -292,8 +329,8 @@ def roots_of(distinct: DataFrame) -> DataFrame:
             spread = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
             spread = spread.where("low <> high").select("key")
             rest = shared.join(spread, "key").select("mark").distinct()
-            pairs = remaining(sets.join(rest, "mark"), roots)
-        links = common.cut_lineage(confirmed(common.cut_lineage(pairs), sets))
+            pairs = common.cut_lineage(remaining(sets.join(rest, "mark", "left_semi"), roots))
+        links = common.cut_lineage(confirmed(pairs, marks, sets))
         if not links.isEmpty():
             roots = _over(links, roots)
     return roots
@@ -301,14 +338,16 @@ def roots_of(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links lead to."""
-    rows = sketched(docs).withColumn("row", F.monotonically_increasing_id())
-    rows = common.stored(rows, "sketched")
-    marks = rows.groupBy("mark").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
-    marks = common.cut_lineage(marks.where("mark is not null"))
-    distinct = common.stored(rows.join(marks.select("row"), "row", "left_semi").drop("row"), "sets")
-    named = marks.join(roots_of(distinct), "mark", "left").select(
-        "mark", "least", F.coalesce("root", "mark").alias("root")
+    rows = common.stored(sketched(docs), "sketched")
+    marks = rows.where("mark is not null").groupBy("mark").agg(
+        F.min("doc_id").alias("least"), F.min("row").alias("row")
     )
+    marks = common.cut_lineage(marks)
+    # A row number may be there twice, where a row is repeated.
+    whole = rows.select("mark", "row", F.col("n_shingles").alias("n"), "keys", "sketch")
+    marked = whole.join(marks.select("mark", "row"), ["mark", "row"], "left_semi").dropDuplicates(["mark"])
+    roots = roots_of(common.stored(marked, "marked"), docs)
+    named = marks.join(roots, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "mark").join(
         named.join(lowest, "root").select("mark", "component_id"), "mark", "left"
