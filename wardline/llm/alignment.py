@@ -19,6 +19,7 @@ is kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -43,8 +44,8 @@ BROADCAST_ROWS = 2_000_000
 
 def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
     """Groups (from a, to a, from b, to b) of token numbers between common ends."""
-    at_a = {end: n for n, end in enumerate(ends_a, 1)}
-    at_b = {end: n for n, end in enumerate(ends_b, 1)}
+    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
+    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
     groups, a, b = [], 0, 0
     for end in sorted(at_a.keys() & at_b.keys()):
         groups.append((a, at_a[end], b, at_b[end]))
@@ -85,7 +86,7 @@ class Stretch:
 
 
 class Aligner:
-    """Both tokenizers, read once by each worker, and the stretches it has met."""
+    """Both tokenizers, and the stretches they have met."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -146,6 +147,12 @@ class Aligner:
             self.held, self.older = {}, self.held
 
 
+@functools.cache
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One for each worker: what a task has met serves the next one as well."""
+    return Aligner(path_a, path_b)
+
+
 def parted(text: str) -> list[str]:
     """A blank and the text, cut before every blank that follows a visible character."""
     parts, open_ = [], None
@@ -179,7 +186,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        aligner = aligner_of(path_a, path_b)
         for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [document(parts) for parts in aligner.documents(texts)]
