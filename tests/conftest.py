@@ -8,10 +8,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from wardline import session  # noqa: E402
-from wardline.operators import rolegraph  # noqa: E402
-
-# Test graphs are shallow; fewer hops per round also means more rounds to test.
-rolegraph.HOPS = 3
 
 
 @pytest.fixture(scope="session")

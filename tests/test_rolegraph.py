@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline import schemas
@@ -162,3 +163,73 @@ def test_effective_grants(make):
 def test_effective_privileges(make, grants):
     got = rg.effective_privileges(make(ROLE, ("GRP",), ("OLD",)), grants[0])
     assert rows(got) == [("GRP", "SELECT", "TABLE", "T1")]
+
+
+def test_deep_chain_takes_few_rounds(spark, make):
+    """Depth 180 in the logarithm of it: rounds of doubling, each one job."""
+    edges = [(f"r{i:03d}", f"r{i + 1:03d}") for i in range(180)]
+    seed, edge = make(ROLE, ("r000",), ("r100",)), make(EDGE, *edges)
+    spark.sparkContext.setJobGroup("deep", "closure")
+    got = rg.role_closure(seed, edge)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep"))
+    spark.sparkContext.setJobGroup("tests", "")
+    assert rows(got) == closure(["r000", "r100"], edges)
+    assert jobs <= 12
+    reach = rows(rg.role_reach(seed, edge))
+    assert len(reach) == 181 and reach[-1] == ("r180", "r000", "r100", False)
+
+
+def test_doubling_finds_all_paths(make):
+    """Deeper than the first step, with branches of different length and a circle."""
+    random.seed(11)
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n30", "n5"), ("n3", "n20"), ("x", "n39"), ("n40", "y")]
+    edges += [(f"n{random.randrange(41)}", f"z{i}") for i in range(10)]
+    got = rg.role_closure(make(ROLE, ("n0",), ("n25",), ("x",)), make(EDGE, *edges), hops=2)
+    assert rows(got) == closure(["n0", "n25", "x"], edges)
+
+
+def test_set_bits(spark, make):
+    bits = [0, 1, 7, 8, 63, 64, 500, 511, 512, 4095, 20_000, 32_767]
+    df = spark.createDataFrame([(b,) for b in bits], "b long")
+    found = df.agg(F.bitmap_construct_agg("b").alias("m")).select(rg.set_bits(F.col("m")).alias("s")).first()
+    assert found.s == bits
+    assert make("m binary", (bytearray(),), (None,)).select(rg.set_bits(F.col("m")).alias("s")).collect()[0].s == []
+
+
+@pytest.mark.parametrize("bits", [4, rg.BITS])
+def test_privileges_as_sets(make, monkeypatch, bits):
+    """Against plain sets, also where privileges need several bitmaps."""
+    monkeypatch.setattr(rg, "BITS", bits)
+    random.seed(8)
+    grants = [to_role(f"R{i + 1}", f"R{i}") for i in range(8)] + [to_role("R2", "R5")]
+    own = [(f"R{random.randrange(9)}", f"T{random.randrange(30)}", random.choice(["SELECT", "INSERT"])) for _ in range(60)]
+    now = grants + [to_role(r, t, "TABLE", p) for r, t, p in own[:50]] + [to_role("R0", None, "ACCOUNT", "MONITOR")]
+    then = grants[:-2] + [to_role(r, t, "TABLE", p) for r, t, p in own[10:]]
+    roles = [f"R{i}" for i in range(9)]
+
+    def held(granted):
+        edges = [(g[3], g[0]) for g in granted if g[2] == "ROLE"]
+        found = set()
+        for role in roles:
+            under, todo = {role}, [role]
+            while todo:
+                at = todo.pop()
+                for child, parent in edges:
+                    if parent == at and child not in under:
+                        under.add(child)
+                        todo.append(child)
+            found |= {(role, g[1], g[2], g[3]) for g in granted if g[2] != "ROLE" and g[0] in under}
+        return found
+
+    names = make(ROLE, *[(r,) for r in roles])
+    tables = [make(schemas.GRANTS_TO_ROLES, *g) for g in (now, then)]
+    for table, granted in zip(tables, (now, then)):
+        assert rows(rg.effective_privileges(names, table)) == sorted(held(granted), key=repr)
+    new, old = held(now), held(then)
+    wanted = [(*p, "GAINED") for p in new - old] + [(*p, "LOST") for p in old - new]
+    assert rows(rg.privilege_diff(names, *tables)) == sorted(wanted, key=repr)
+    one = next(iter(new))
+    asked = make(ROLE, (one[0],), ("NOBODY",))
+    assert rg.holds_privilege(asked, tables[0], "T1", "SELECT") == (
+        any(p[0] == one[0] and p[1] == "SELECT" and p[3] == "T1" for p in new)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,13 +11,18 @@ LOOKUP_BYTES = 32_000_000
 ROW_BYTES, VALUE_BYTES = 32, 16
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """About how many bytes the rows of ``df`` take in memory, from one aggregate."""
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes in memory."""
     row = F.lit(ROW_BYTES + VALUE_BYTES * len(df.columns)).cast("bigint")
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             row += F.coalesce(F.octet_length(field.name), F.lit(0))
-    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return row
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory, from one aggregate."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
 
 
 def lookup_join(

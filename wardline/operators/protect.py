@@ -18,7 +18,7 @@ from wardline.constants import FULL_ROW_ROLES, PII_TAGS, UNMASK_ROLE
 from wardline.functions import lookup_join, mask_date, mask_string
 from wardline.operators.rolegraph import (
     _inherited_roles,
-    effective_privileges,
+    holds_privilege,
     literal_roles,
     role_edges,
 )
@@ -181,16 +181,16 @@ def visibility_report(
 
 
 def authorize(
-    role: str, object_name: str, grants_to_roles: DataFrame, privilege: str = "SELECT"
+    role: str, object_name: str, grants_to_roles: DataFrame, privilege: str = "SELECT",
+    others: Iterable[str] = (),
 ) -> bool:
-    """Whether ``role`` holds or inherits ``privilege`` on an object.
+    """Whether ``role`` or one of ``others`` holds or inherits ``privilege`` on an object.
 
     Without it a read is refused outright rather than masked.
     """
-    seed = literal_roles(grants_to_roles.sparkSession, [role.upper()])
-    held = effective_privileges(seed, grants_to_roles)
-    wanted = (F.col("privilege") == privilege) & (F.col("name") == object_name)
-    return not held.filter(wanted).isEmpty()
+    role_names = [role, *others]
+    asked = literal_roles(grants_to_roles.sparkSession, [r.upper() for r in role_names])
+    return holds_privilege(asked, grants_to_roles, object_name, privilege)
 
 
 def guarded_read(
@@ -201,7 +201,7 @@ def guarded_read(
     """``protect`` for a session that must also hold SELECT on the table."""
     secondary = list(secondary)
     name = object_name or table
-    if not any(authorize(r, name, grants_to_roles) for r in [primary, *secondary]):
+    if not authorize(primary, name, grants_to_roles, others=secondary):
         raise PermissionError(f"{table} does not exist or not authorized")
     session = SessionRoles.resolve(
         df.sparkSession, role_edges(grants_to_roles), primary, secondary

@@ -4,10 +4,13 @@ A grant of role ``name`` to role ``grantee_name`` lets the grantee inherit
 ``name``. The audit reports climb from a role to its holders; the access review
 walks the other way, from a role a user holds to the roles it inherits.
 
-Role graphs are closed first and joined to users last, so the loops below only
-ever carry roles. Each round follows the new pairs ``HOPS`` grants further and
-cuts lineage with a reliable checkpoint, so a lost executor costs one round. A
-round that finds nothing new ends the loop, which makes cycles harmless.
+Role graphs are closed first and joined to users last, so the steps below only ever
+carry roles. One step follows ``HOPS`` grants from the seeds, which is as deep as most
+graphs are. Where it doesn't reach the end, all paths are closed by doubling: a round
+joins the pairs that the last one was the first to find with all pairs so far, and so
+takes as many rounds as the logarithm of the depth. Lineage is cut by a reliable
+checkpoint in each, so a lost executor costs one round. A round that finds nothing new
+ends the loop, which makes cycles harmless.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wardline.constants import (
     ADMIN_ROLES,
@@ -26,8 +30,8 @@ from wardline.constants import (
     PHI_OBJECT_PATTERN,
     PHI_ROLE_PATTERN,
 )
-from wardline.functions import live, lookup_join, measured_bytes, reads_object, within
-from wardline.session import checkpoint_dir
+from wardline.functions import live, lookup_join, reads_object, row_bytes, within
+from wardline.session import FEW_ROWS, checkpointed, few_tasks
 
 HOPS = 6
 # Role graphs of up to this many bytes are sent to every task; larger ones
@@ -61,15 +65,48 @@ def literal_roles(spark: SparkSession, names: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(name,) for name in names], "role_name string")
 
 
-def _prepared_edges(edges: DataFrame) -> DataFrame:
-    checkpoint_dir(edges.sparkSession)
-    usable = edges.filter(
-        F.col("child_role").isNotNull()
-        & F.col("parent_role").isNotNull()
-        & (F.col("child_role") != F.col("parent_role"))
-    )
-    prepared = usable.select("child_role", "parent_role").distinct().checkpoint()
-    return F.broadcast(prepared) if measured_bytes(prepared) <= BROADCAST_BYTES else prepared
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+class _Edges:
+    """Distinct usable edges, written once, with their number.
+
+    Of a graph too large to be followed in a few tasks, the edges are broadcast as long as
+    they fit.
+    """
+
+    def __init__(self, edges: DataFrame):
+        usable = edges.filter(
+            F.col("child_role").isNotNull()
+            & F.col("parent_role").isNotNull()
+            & (F.col("child_role") != F.col("parent_role"))
+        )
+        usable = usable.select("child_role", "parent_role").distinct()
+        self.rows, found = checkpointed(usable, n=_rows(), size=F.sum(row_bytes(usable)))
+        self.count, size = found["n"], found["size"] or 0
+        fits = self.count > FEW_ROWS and size <= BROADCAST_BYTES
+        self.joined = F.broadcast(self.rows) if fits else self.rows
+
+    def paths(self) -> DataFrame:
+        """(low, high): every role that holds another, however far up, by doubling.
+
+        After ``k`` rounds all pairs up to ``2**k`` grants apart are known. One that is
+        further apart begins with a stretch of just that length, which the last round was
+        the first to find; so only its pairs are joined, to all pairs so far.
+        """
+        found = self.rows.select(F.col("child_role").alias("low"), F.col("parent_role").alias("high"))
+        spark, fresh, count, total = found.sparkSession, found, self.count, self.count
+        while count:
+            first = fresh.select("low", F.col("high").alias("middle"))
+            then = found.select(F.col("low").alias("middle"), "high")
+            longer = first.join(then, "middle").filter("low <> high").select("low", "high").distinct()
+            with few_tasks(spark, total):
+                fresh, seen = checkpointed(longer.join(found, ["low", "high"], "left_anti"), n=_rows())
+            count = seen["n"]
+            total += count
+            found = found.union(fresh)
+        return found
 
 
 def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
@@ -77,37 +114,28 @@ def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) ->
 
     Each seed is paired with itself. Pairs are distinct.
     """
-    edges, hops = _prepared_edges(edges), hops or HOPS
     pair = ["top_role", "reachable_role"]
-    frontier = (
-        seed.select(F.col("role_name").alias("top_role"))
-        .filter(F.col("top_role").isNotNull())
-        .distinct()
-        .withColumn("reachable_role", F.col("top_role"))
-        .checkpoint()
-    )
-    found = [frontier]
-    while True:
-        known = reduce(DataFrame.union, found).withColumn("hop", F.lit(0))
-        reached, step = [known], frontier
-        for hop in range(1, hops + 1):
-            step = (
-                step.join(edges, F.col("top_role") == F.col("child_role"))
-                .select(F.col("parent_role").alias("top_role"), "reachable_role")
-                .distinct()
-            )
-            reached.append(step.withColumn("hop", F.lit(hop)))
-        new = (
-            reduce(DataFrame.union, reached)
-            .groupBy(*pair)
-            .agg(F.min("hop").alias("hop"))
-            .filter(F.col("hop") > 0)
-            .checkpoint()
+    graph, hops = _Edges(edges), hops or HOPS
+    seeds = seed.select(F.col("role_name").alias("top_role")).filter("top_role IS NOT NULL")
+    seeds = seeds.distinct().withColumn("reachable_role", F.col("top_role"))
+    reached, step = [seeds.withColumn("hop", F.lit(0))], seeds
+    for hop in range(1, hops + 1):
+        step = (
+            step.join(graph.joined, F.col("top_role") == F.col("child_role"))
+            .select(F.col("parent_role").alias("top_role"), "reachable_role")
+            .distinct()
         )
-        found.append(new.select(*pair))
-        frontier = new.filter(F.col("hop") == hops).select(*pair)
-        if frontier.isEmpty():
-            return reduce(DataFrame.union, found)
+        reached.append(step.withColumn("hop", F.lit(hop)))
+    met = reduce(DataFrame.union, reached).groupBy(*pair).agg(F.min("hop").alias("hop"))
+    with few_tasks(seeds.sparkSession, graph.count):
+        met, last = checkpointed(met, open=F.count_if(F.col("hop") == hops))
+    if not last["open"]:
+        return met.select(*pair)
+    seeds = met.filter("hop = 0").select(*pair)
+    above = seeds.join(graph.paths(), F.col("top_role") == F.col("low")).select(
+        F.col("high").alias("top_role"), "reachable_role"
+    )
+    return seeds.union(above)
 
 
 def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
@@ -117,47 +145,42 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
     it reaches one besides itself, and unlike the full pairs they stay one row
     per role however many seeds there are.
     """
-    edges, hops = _prepared_edges(edges), hops or HOPS
     role = F.col("role_name")
-    state = (
-        seed.filter(role.isNotNull())
-        .select(
-            role.alias("role"), role.alias("low_seed"), role.alias("high_seed"),
-            F.lit(True).alias("is_seed"),
-        )
-        .distinct()
-        .checkpoint()
+    graph, hops = _Edges(edges), hops or HOPS
+    seeds = seed.filter(role.isNotNull()).select(
+        role.alias("role"), role.alias("low_seed"), role.alias("high_seed"), F.lit(True).alias("is_seed")
     )
-    frontier = state
-    while True:
-        reached, step = [state.withColumn("hop", F.lit(0))], frontier
-        for hop in range(1, hops + 1):
-            step = (
-                step.join(edges, F.col("role") == F.col("child_role"))
-                .groupBy(F.col("parent_role").alias("role"))
-                .agg(
-                    F.min("low_seed").alias("low_seed"),
-                    F.max("high_seed").alias("high_seed"),
-                    F.lit(False).alias("is_seed"),
-                )
-            )
-            reached.append(step.withColumn("hop", F.lit(hop)))
-        merged = (
-            reduce(DataFrame.union, reached)
-            .groupBy("role")
-            .agg(
-                F.min(F.struct("low_seed", "hop")).alias("low"),
-                F.max(F.struct("high_seed", (-F.col("hop")).alias("minus_hop"))).alias("high"),
-                F.bool_or("is_seed").alias("is_seed"),
-            )
-            .checkpoint()
+    seeds = seeds.distinct()
+    bounds = [F.min("low_seed").alias("low_seed"), F.max("high_seed").alias("high_seed")]
+    reached, step = [seeds.withColumn("hop", F.lit(0))], seeds
+    for hop in range(1, hops + 1):
+        step = (
+            step.join(graph.joined, F.col("role") == F.col("child_role"))
+            .groupBy(F.col("parent_role").alias("role"))
+            .agg(*bounds, F.lit(False).alias("is_seed"))
+        )
+        reached.append(step.withColumn("hop", F.lit(hop)))
+    merged = (
+        reduce(DataFrame.union, reached)
+        .groupBy("role")
+        .agg(
+            F.min(F.struct("low_seed", "hop")).alias("low"),
+            F.max(F.struct("high_seed", (-F.col("hop")).alias("minus_hop"))).alias("high"),
+            F.bool_or("is_seed").alias("is_seed"),
         )
-        state = merged.select("role", "low.low_seed", "high.high_seed", "is_seed")
-        # Only what the last hop was the first to find can lead any further.
-        last = (F.col("low.hop") == hops) | (F.col("high.minus_hop") == -hops)
-        frontier = merged.filter(last).select("role", "low.low_seed", "high.high_seed")
-        if frontier.isEmpty():
-            return state
+    )
+    # Only what the last hop was the first to find can lead any further.
+    further = F.count_if((F.col("low.hop") == hops) | (F.col("high.minus_hop") == -hops))
+    with few_tasks(seeds.sparkSession, graph.count):
+        merged, last = checkpointed(merged, open=further)
+    if not last["open"]:
+        return merged.select("role", "low.low_seed", "high.high_seed", "is_seed")
+    own = F.col("role").alias("low_seed"), F.col("role").alias("high_seed")
+    seeds = merged.filter("is_seed").select("role", *own, "is_seed")
+    above = seeds.join(graph.paths(), F.col("role") == F.col("low")).select(
+        F.col("high").alias("role"), "low_seed", "high_seed", F.lit(False).alias("is_seed")
+    )
+    return seeds.union(above).groupBy("role").agg(*bounds, F.bool_or("is_seed").alias("is_seed"))
 
 
 def _user_grants(grants_to_users: DataFrame) -> DataFrame:
@@ -316,17 +339,142 @@ def effective_grants(
     )
 
 
-def effective_privileges(roles: DataFrame, grants_to_roles: DataFrame) -> DataFrame:
-    """(role, privilege, granted_on, name): object privileges a role holds or inherits."""
-    closure = _inherited_roles(roles, role_edges(grants_to_roles))
-    objects = (
+PRIVILEGE = ["privilege", "granted_on", "name"]
+#: Bits of one bitmap, as Spark's bitmap functions have them.
+BITS = 32_768
+
+
+class PrivilegeSets:
+    """The privileges of roles as bitmaps over numbered privileges.
+
+    Privileges are numbered inside buckets of about half a bitmap, by a hash, so that no
+    task sees all of them; a number beyond a bitmap goes on in the next one. A role's own
+    set is one bitmap for each bucket it has anything in, and what it inherits is the OR
+    of the sets of the roles it holds. No row is made for an inherited privilege: single
+    privileges are told again only for the rows asked for.
+    """
+
+    def __init__(self, *grants: DataFrame):
+        objects = [_object_privileges(g) for g in grants]
+        named = reduce(DataFrame.union, [o.select(*PRIVILEGE) for o in objects]).distinct()
+        # Written before it is numbered: the number of buckets follows from the rows.
+        named, found = checkpointed(named, n=_rows())
+        buckets = found["n"] * 2 // BITS + 1
+        bucket = F.pmod(F.xxhash64(*PRIVILEGE), F.lit(buckets))
+        place = F.row_number().over(W.partitionBy("bucket").orderBy(*PRIVILEGE)) - 1
+        numbered = named.withColumn("bucket", bucket).withColumn("place", place)
+        beyond = F.floor(F.col("place") / BITS) * buckets
+        self.names, _ = checkpointed(
+            numbered.select(
+                *PRIVILEGE, (F.col("bucket") + beyond).alias("bucket"),
+                (F.col("place") % BITS).cast("long").alias("place"),
+            ),
+            n=_rows(),
+        )
+
+    def own(self, grants: DataFrame) -> DataFrame:
+        """(effective_role, bucket, bits): what each role was granted itself."""
+        objects, names = _object_privileges(grants).alias("o"), self.names.alias("n")
+        same = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in PRIVILEGE])
+        return objects.join(names, same).groupBy("effective_role", "bucket").agg(
+            F.bitmap_construct_agg("place").alias("bits")
+        )
+
+    def of(self, roles: DataFrame, grants: DataFrame) -> DataFrame:
+        """(role, bucket, bits): what each of ``roles`` holds or inherits."""
+        closure = _inherited_roles(roles, role_edges(grants))
+        return (
+            closure.join(self.own(grants), "effective_role")
+            .groupBy(F.col("held_role").alias("role"), "bucket")
+            .agg(F.bitmap_or_agg("bits").alias("bits"))
+        )
+
+    def told(self, sets: DataFrame) -> DataFrame:
+        """(role, further columns, privilege, granted_on, name) of every bit set in ``bits``."""
+        each = sets.withColumn("place", F.explode(set_bits(F.col("bits")))).drop("bits")
+        return each.join(self.names, ["bucket", "place"]).drop("bucket", "place")
+
+
+def set_bits(bits: Column) -> Column:
+    """The numbers (bigint) of the bits that are set in a bitmap, from bytes that aren't zero."""
+    digits = F.hex(bits)
+    count = (F.length(digits) / 2).cast("int")
+    # Blocks of 64 bytes first: most of a bitmap is empty.
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((count - 1) / 64).cast("int"), F.lit(0)))
+    empty = F.lit("0" * 128)
+    used = F.filter(blocks, lambda b: F.substring(digits, b * 128 + 1, F.lit(128)) != empty)
+    places = F.flatten(F.transform(used, lambda b: F.sequence(b * 64, F.least(b * 64 + 63, count - 1))))
+
+    def byte(at: Column) -> Column:
+        return F.conv(F.substring(digits, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+    whole = F.filter(places, lambda at: byte(at) != 0)
+    return F.flatten(
+        F.transform(
+            whole,
+            lambda at: F.transform(
+                F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(byte(at), k) == 1),
+                lambda k: (at * 8 + k).cast("long"),
+            ),
+        )
+    )
+
+
+def _object_privileges(grants_to_roles: DataFrame) -> DataFrame:
+    """(effective_role, privilege, granted_on, name) granted on objects, not roles."""
+    return (
         live(grants_to_roles)
         .filter(~((F.col("granted_on") == "ROLE") & (F.col("privilege") == "USAGE")))
-        .select(F.upper("grantee_name").alias("effective_role"), "privilege", "granted_on", "name")
+        .select(F.upper("grantee_name").alias("effective_role"), *PRIVILEGE)
         .distinct()
     )
-    return (
-        closure.join(objects, "effective_role")
-        .select(F.col("held_role").alias("role"), "privilege", "granted_on", "name")
-        .distinct()
+
+
+def effective_privileges(roles: DataFrame, grants_to_roles: DataFrame) -> DataFrame:
+    """(role, privilege, granted_on, name): object privileges a role holds or inherits."""
+    sets = PrivilegeSets(grants_to_roles)
+    return sets.told(sets.of(roles, grants_to_roles)).select("role", *PRIVILEGE)
+
+
+def privilege_diff(roles: DataFrame, grants_to_roles: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Object privileges that only one of two models gives a role, with ``change``.
+
+    Both models' sets are compared as bitmaps; only of those that differ are single
+    privileges told, and only those that one side has.
+    """
+    sets = PrivilegeSets(grants_to_roles, legacy)
+    now, then = (
+        sets.of(roles, g).withColumnRenamed("bits", name)
+        for g, name in ((grants_to_roles, "now"), (legacy, "then"))
+    )
+    # Roles as they are called in both models: a role may have lost everything.
+    both = now.join(then, ["role", "bucket"], "full").filter(~F.col("now").eqNullSafe(F.col("then")))
+    none = F.array().cast("array<bigint>")
+    held, had = (F.coalesce(set_bits(F.col(c)), none) for c in ("now", "then"))
+
+    def only(here: str, there: str, change: str) -> Column:
+        return F.transform(
+            F.array_except(here, there),
+            lambda place: F.struct(F.lit(change).alias("change"), place.alias("place")),
+        )
+
+    changes = both.select("role", "bucket", held.alias("held"), had.alias("had")).select(
+        "role", "bucket",
+        F.explode(F.concat(only("held", "had", "GAINED"), only("had", "held", "LOST"))).alias("one"),
+    )
+    return changes.select("role", "bucket", "one.*").join(sets.names, ["bucket", "place"]).select(
+        "role", *PRIVILEGE, "change"
+    )
+
+
+def holds_privilege(roles: DataFrame, grants_to_roles: DataFrame, object_name: str, privilege: str) -> bool:
+    """Whether any of ``roles`` holds or inherits a privilege on an object.
+
+    One climb from the roles that were granted it, however many other privileges there are.
+    """
+    granted = _object_privileges(grants_to_roles).filter(
+        (F.col("privilege") == privilege) & (F.col("name") == object_name)
     )
+    asked = roles.select(F.upper("role_name").alias("held_role"))
+    inherited = _inherited_roles(asked.withColumnRenamed("held_role", "role_name"), role_edges(grants_to_roles))
+    return not inherited.join(granted, "effective_role", "left_semi").isEmpty()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings only; cluster sizing stays with whoever starts the session.
 RUNTIME_CONF = {
@@ -57,6 +59,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def checkpointed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The rows written once to the shared folder, and aggregates taken while they were."""
+    checkpoint_dir(df.sparkSession)
+    if not measures:
+        return df.checkpoint(), {}
+    seen = Observation()
+    cut = df.observe(seen, *[c.alias(name) for name, c in measures.items()]).checkpoint()
+    return cut, seen.get
+
+
+#: Rows up to which a step is planned for few tasks, and rows for each of them.
+FEW_ROWS, ROWS_A_TASK = 200_000, 50_000
+
+
+@contextmanager
+def few_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plan the eager steps inside for as few tasks as ``rows`` need, each in one job.
+
+    Re-planning between the stages of a small step takes longer than the step. Beyond
+    ``FEW_ROWS`` the session's own settings hold, with adaptive plans and skew splits.
+    """
+    if rows > FEW_ROWS:
+        yield
+        return
+    partitions = "spark.sql.shuffle.partitions"
+    most = int(spark.conf.get(partitions))
+    own = {partitions: str(max(1, min(most, rows // ROWS_A_TASK + 1))), "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one, for tables that must be written."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
