@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline import session
 from wardline.llm import common
 
 
-def smallest_reachable(edges: DataFrame) -> DataFrame:
+def smallest_reachable(edges: DataFrame, a_task: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; long), root the smallest it reaches.
 
     Alternates the two star steps: every larger neighbour is hung to the smallest
     neighbour of its node, then every node's smaller neighbours to the smallest of
     them. Both are a minimum (summed up before the shuffle) and a join that the
     adaptive split may cut, so no node's neighbours are ever gathered in one place,
-    and the number of pairs never grows. Ends when a round changes nothing.
+    and the number of pairs never grows. Ends when a round changes nothing. With
+    ``a_task`` a round over few pairs is one job, with a task for so many of them.
     """
     pairs = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -36,7 +40,8 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        pairs = common.cut_lineage(small)
+        with session.few_tasks(pairs.sparkSession, state[0] if a_task else sys.maxsize, a_task or 1):
+            pairs = common.cut_lineage(small)
         last, state = state, _state(pairs)
         if last == state:
             break

@@ -39,6 +39,8 @@ PERCENT = 80
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
 STARS = 2
+#: Links that a task of a round of components takes.
+PAIRS_A_TASK = 5_000
 SEED = 11
 #: Standard deviations by which a sketch may fall short of the limit (for a normal: 3e-7).
 DEVIATIONS = 5.0
@@ -236,12 +238,15 @@ def confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def stars(members: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) of every bucket's members (key, mark, root) and its centre.
+    """Pairs (a, b) of every bucket's members (key, mark, root, met) and its centre.
 
-    Only members whose root isn't the centre's are paired. Each round has another order,
-    the same for all buckets, so that the buckets of one group agree on their centre.
+    The first centre is the member that meets the most others in all its buckets: of
+    copies that were each changed in another place it is the one they were made from.
+    Later rounds take other orders. An order is the same for all buckets, so that the
+    buckets of one group agree on their centre. Only members whose root isn't the
+    centre's are paired.
     """
-    by = F.xxhash64("mark", F.lit(number))
+    by = F.xxhash64("mark", F.lit(number)) if number else -F.col("met")
     centres = members.groupBy("key").agg(
         F.min(F.struct(by.alias("by"), "mark", "root")).alias("centre"),
         F.min("root").alias("low"), F.max("root").alias("high"),
@@ -253,11 +258,11 @@ def stars(members: DataFrame, number: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(mark, n, rarest array<long>): the shingles of each set by which similar ones meet.
+    """(mark, n, alone, rarest array<long>, few): the shingles by which similar sets meet.
 
     ``rarest`` are the first ``n - ceil(0.8 n) + 1`` in the order of how many of ``sets``
-    hold them, without those that only one holds. ``few`` of them are enough for the
-    smaller set of a pair, as what is shared is at least 8 ninths of it.
+    hold them, without the ``alone`` first that only one holds. ``few`` of them are enough
+    for the smaller set of a pair, as what is shared is at least 8 ninths of it.
     """
     each = sets.select("mark", "n", F.explode("hashes").alias("hash"))
     held = each.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
@@ -272,7 +277,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     large = first(F.ceil(F.col("n") * PERCENT / 100))
     small = first(F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)))
     return ranked.select(
-        "mark", "n", F.slice("ranked.hash", 1, large).alias("rarest"), small.alias("few")
+        "mark", "n", alone.alias("alone"), F.slice("ranked.hash", 1, large).alias("rarest"),
+        small.alias("few"),
     )
 
 
@@ -280,17 +286,25 @@ def remaining(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different components that may be similar: none is left out."""
     rooted = prefixes(sets).join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     rooted = common.stored(rooted, "prefixes")
-    small = rooted.select(
-        F.col("mark").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"),
-        F.explode(F.slice("rarest", 1, F.col("few"))).alias("hash"),
-    )
-    large = rooted.select(
-        F.col("mark").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"),
-        F.explode("rarest").alias("hash"),
-    )
+    def side(name: str, hashes: Column) -> DataFrame:
+        # How many of the set are at this place of its order or after it.
+        left = F.col("n") - F.col("alone") - F.col("place")
+        return rooted.select(
+            "*", F.posexplode(hashes).alias("place", "hash")
+        ).select(
+            F.col("mark").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"),
+            left.alias(f"left_{name}"), "hash",
+        )
+
+    small, large = side("a", F.slice("rarest", 1, F.col("few"))), side("b", F.col("rarest"))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    # From the first shingle that both have on, as many must be left as they have to share.
+    needed = PERCENT * (F.col("n_a") + F.col("n_b"))
+    enough = (100 + PERCENT) * F.least("left_a", "left_b") >= needed
     met = small.join(
-        large, (small["hash"] == large["hash"]) & ordered & (F.col("root_a") != F.col("root_b")) & _sizes_allow()
+        large,
+        (small["hash"] == large["hash"]) & ordered & (F.col("root_a") != F.col("root_b"))
+        & _sizes_allow() & enough,
     )
     return met.select("a", "b").distinct()
 
@@ -300,7 +314,7 @@ def _over(links: DataFrame, roots: DataFrame) -> DataFrame:
     for name in ("a", "b"):
         named = roots.select(F.col("mark").alias(name), F.col("root").alias("r"))
         links = links.join(named, name, "left").withColumn(name, F.coalesce("r", name)).drop("r")
-    moved = components.smallest_reachable(links).select(
+    moved = components.smallest_reachable(links, PAIRS_A_TASK).select(
         F.col("node").alias("root"), F.col("root").alias("to")
     )
     kept = roots.join(moved, "root", "left").select("mark", F.coalesce("to", "root").alias("root"))
@@ -316,7 +330,9 @@ def roots_of(marked: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     each = marked.select("mark", F.explode("keys").alias("key"))
     several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.stored(each.join(several.select("key"), "key"), "buckets")
+    each = each.join(several, "key")
+    degree = each.groupBy("mark").agg(F.sum("n").alias("met"))
+    shared = common.stored(each.drop("n").join(degree, "mark"), "buckets")
     met = shared.select("mark").distinct()
     marks = common.stored(marked.select("mark", "row", "n", "sketch").join(met, "mark"), "met")
     sets = common.stored(shingled(docs, marks.select("row", "mark")), "sets")
