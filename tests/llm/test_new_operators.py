@@ -115,6 +115,25 @@ def test_leaves_of_a_star_are_linked(spark):
     assert near(docs_of(spark, texts)) == want
 
 
+def test_copies_that_only_their_original_links(spark, monkeypatch):
+    """Each copy is changed elsewhere: similar to the original, hardly to another copy."""
+    draw = random.Random(6)
+    base = [f"t{n}" for n in range(150)]
+    texts = [(500, " ".join(base))]
+    for n in range(300):
+        words = list(base)
+        for at in draw.sample(range(150), 3):
+            words[at] = f"own{n}x{at}"
+        texts.append((n if n < 150 else 1000 + n, " ".join(words)))
+    want = brute_near(texts)
+    assert {root for _, root in want.values()} == {0}
+    tried = []
+    plain = minhash.remaining
+    monkeypatch.setattr(minhash, "remaining", lambda *args: tried.append(plain(*args).count()) or plain(*args))
+    assert near(docs_of(spark, texts)) == want
+    assert all(n < len(texts) for n in tried)
+
+
 def test_short_sets_at_the_limit(spark):
     """Sets of 4 and 5 shingles, 4 of them shared: exactly 0.8, in many small pairs."""
     texts = []
