@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline import schemas
-from wardline.functions import lookup_join, measured_bytes, salted_join
+from wardline.functions import lookup_join, measured_bytes, network, salted_join
 from wardline.functions.network import ip_number
 from wardline.operators import conformance as cf
 from wardline.operators import evidence
@@ -300,3 +300,108 @@ def test_drift_with_null_keys(make):
     same = make(schema, row)
     assert cf.control_drift(same, same).count() == 0
     assert cf.control_drift(same, same.limit(0)).count() == 1
+
+
+def test_scrub_finds_what_it_must(make):
+    """Inputs that pattern after pattern used to leave in clear."""
+    cases = {
+        "user=josé@example.com": "user=[EMAIL]", "to björn.müller@example.de now": "to [EMAIL] now",
+        "password='my pass word' x": "[SECRET] x", 'PASSWORD = "two words"!': "[SECRET]!",
+        "api key: abc123secret": "[SECRET]", "Bearer abcdEFGH1234567890": "[SECRET]",
+        "from 2001:db8::8a2e:370:7334 in": "from [IP] in", "fe80:0:0:0:1:2:3:4": "[IP]", "::1 up": "[IP] up",
+        "::ffff:10.1.2.3": "[IP]", "at 12:30:45": "at 12:30:45", "std::vector": "std::vector",
+        "MRN: 556677": "[MRN]", "mrn 12345": "[MRN]", "4111 1111 1111 1111": "[CARD]",
+        "3782-822463-10005": "[CARD]", "4111 1111 1111 1112": "4111 1111 1111 1112",
+        "ssn 123 45 6789": "[SSN]", "+44 20 7946 0958": "[PHONE]", "+1 (743) 555-3824": "[PHONE]",
+        "token=a.b@c.org rest": "[SECRET] rest", "1 + 1 = 2": "1 + 1 = 2", "": "",
+        "a@b.co, 10.0.0.1; 123456789012": "[EMAIL], [IP]; [NUMBER]",
+    }
+    df = make("n int, text string", *list(enumerate(cases)))
+    got = {r["n"]: (r["text"], r["scrubbed"]) for r in cf.scrub_text(df).collect()}
+    wanted = {n: (clean, clean != text) for n, (text, clean) in enumerate(cases.items())}
+    assert {list(cases)[n]: got[n] for n in got} == {list(cases)[n]: wanted[n] for n in wanted}
+
+
+def test_check_digit(make):
+    numbers = {"4111111111111111": True, "4111111111111112": False, "378282246310005": True, "79927398713": True, "0": True}
+    df = make("d string", *[(n,) for n in numbers])
+    assert {r["d"]: r["ok"] for r in df.select("d", cf.check_digit_holds(F.col("d")).alias("ok")).collect()} == numbers
+
+
+ADDRESSES = [
+    "10.0.0.1", "10.255.255.255", "11.0.0.0", "192.168.4.7", "2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:db9::",
+    "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "::ffff:10.1.1.1", "::ffff:12.1.1.1", "fe80::1%eth0", "::", "1::", "bad",
+    "1.2.3", "1:2:3:4:5:6:7:8:9", "fe80::1::2", None, "2001:db8:8::7", "2001:db8:7::7", "8.8.8.8",
+]
+
+
+def _parsed(ip):
+    try:
+        found = ipaddress.ip_address((ip or "").split("%")[0])
+    except ValueError:
+        return None
+    return getattr(found, "ipv4_mapped", None) or found
+
+
+def test_address_keys_sort_like_addresses(make):
+    random.seed(6)
+    made = ADDRESSES + [str(ipaddress.ip_address(random.getrandbits(128))) for _ in range(200)]
+    made += [str(ipaddress.ip_address(random.getrandbits(32))) for _ in range(200)]
+    df = make("ip string", *[(ip,) for ip in made])
+    for r in df.select("ip", network.address_key(F.col("ip")).alias("key")).collect():
+        found = _parsed(r.ip)
+        digits = {4: "08x", 6: "032x"}
+        assert r.key == (None if found is None else f"{found.version}{int(found):{digits[found.version]}}"), r.ip
+
+
+@pytest.mark.parametrize("limit", [cf.ALLOWLIST_BYTES, 0], ids=["searched", "shuffled"])
+def test_allowlist_of_both_families(make, monkeypatch, limit):
+    monkeypatch.setattr(cf, "ALLOWLIST_BYTES", limit)
+    random.seed(4)
+    cidrs = [("P", "10.0.0.0/8"), ("P", "10.1.0.0/16"), ("P", "2001:db8::/32"), ("P", "2001:db8:8::/45"), ("P", "::1"),
+             ("Q", "192.168.4.7"), ("Q", "::ffff:12.0.0.0/104"), ("Q", "fe80::/10"), ("Q", "x/8"), ("Q", "10.0.0.0/40"),
+             ("Q", "10.0.0.0/x"), ("Z", "::/0"), ("Z", "0.0.0.0/0"), ("Z2", "0.0.0.0/1"), (None, "8.8.8.8")]
+    for n in range(200):
+        cidrs.append((f"R{n % 3}", f"{ipaddress.ip_address(random.getrandbits(32))}/{random.randrange(6, 33)}"))
+        cidrs.append((f"R{n % 3}", f"{ipaddress.ip_address(random.getrandbits(128))}/{random.randrange(3, 129)}"))
+    pool = ADDRESSES + [str(ipaddress.ip_address(random.getrandbits(b))) for b in (32, 128) for _ in range(60)]
+    policies = ["P", "Q", "Z", "Z2", "R0", "R1", "R2"]
+    logins = [(p.lower(), ip, "2024-01-01 00:00:00", "YES", None, None) for p in policies for ip in pool]
+    nets = {}
+    for policy, text in cidrs:
+        try:
+            net = ipaddress.ip_network(text, strict=False)
+            if net.version == 6 and net.prefixlen >= 96 and net.network_address.ipv4_mapped:
+                net = ipaddress.ip_network(f"{net.network_address.ipv4_mapped}/{net.prefixlen - 96}")
+            nets.setdefault(policy, []).append(net)
+        except ValueError:
+            pass
+    wanted = [(u, ip) for u, ip, *_ in logins if not any(
+        (a := _parsed(ip)) is not None and a.version == n.version and a in n for n in nets.get(u.upper(), [])
+    )]
+    # A second policy of a user doesn't double logins: the first by name holds.
+    own = [(p.lower(), p) for p in policies] + [("p", "Z")]
+    got = cf.logins_outside_allowlist(
+        make(schemas.LOGIN_HISTORY, *logins), make("policy_name string, cidr string", *cidrs),
+        make("user_name string, policy_name string", *own), "DEFAULT",
+    )
+    assert rows(got, "user_name", "client_ip") == sorted(wanted, key=repr)
+
+
+def test_logins_stay_where_they_are(make, spark, tmp_path):
+    path = str(tmp_path / "logins")
+    make(schemas.LOGIN_HISTORY, ("u", "10.0.0.1", "2024-01-01 00:00:00", "YES", None, None)).write.parquet(path)
+    got = cf.logins_outside_allowlist(
+        spark.read.schema(schemas.LOGIN_HISTORY).parquet(path), make("policy_name string, cidr string", ("P", "10.0.0.0/8")),
+        make("user_name string, policy_name string", ("u", "P")), "P",
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "SortMergeJoin" not in plan
+    scan = plan[: plan.index("Scan parquet")]
+    assert "Exchange hashpartitioning" not in scan.split("BroadcastExchange")[0]
+
+
+def test_disjoint_intervals(make):
+    got = network.disjoint(make("policy_name string, low string, high string", ("P", "a", "c"), ("P", "b", "b"),
+                                ("P", "c", "e"), ("P", "g", "h"), ("Q", "a", "z"), ("P", "a", "c")))
+    assert rows(got) == [("P", "a", "e"), ("P", "g", "h"), ("Q", "a", "z")]

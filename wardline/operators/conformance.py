@@ -19,25 +19,13 @@ from wardline.constants import (
     REDACTED,
     UNMASK_ROLE,
 )
-from wardline.functions import as_timestamp, live, lookup_join, salted_join
-from wardline.functions.network import ip_number, network_of
+from wardline.functions import as_timestamp, live, lookup_join
+from wardline.functions.network import address_key, disjoint, network_bounds, scoped, searched
 from wardline.operators.rolegraph import literal_roles, role_closure, role_edges
+from wardline.session import checkpointed
 
-
-def network_bounds(cidrs: DataFrame) -> DataFrame:
-    """(policy_name, prefix, low, high) of each ``a.b.c.d/n`` in ``cidr``."""
-    prefix = F.coalesce(
-        F.try_element_at(F.split("cidr", "/"), F.lit(2)).cast("int"), F.lit(32)
-    )
-    base = network_of(ip_number(F.substring_index("cidr", "/", 1)), prefix)
-    return (
-        cidrs.select("policy_name", prefix.alias("prefix"), base.alias("low"))
-        .filter(F.col("low").isNotNull())
-        .distinct()
-        .withColumn(
-            "high", F.col("low") + F.pow(F.lit(2.0), F.lit(32) - F.col("prefix")).cast("bigint") - 1
-        )
-    )
+#: Networks up to this many bytes are searched in place; a row takes these besides its keys.
+ALLOWLIST_BYTES, ROW_BYTES = 4_000_000, 64
 
 
 def logins_outside_allowlist(
@@ -45,29 +33,67 @@ def logins_outside_allowlist(
 ) -> DataFrame:
     """Logins from outside the networks of the user's own policy, or else the default.
 
-    Networks are met by equality on the network address, with one candidate for each
-    distinct address and prefix length in use (33 at most), however many there are.
+    IPv4 and IPv6 alike; what is no address is outside. Of several policies of a user
+    the first by name holds, so no login is reported twice.
+
+    All networks are one sorted array that is sent along with the tasks: a login stays
+    where it is scanned and is searched for in it. Where the array would take more than
+    ``ALLOWLIST_BYTES``, distinct addresses meet the intervals in a shuffle, by policy
+    and the leading digits that both have.
     """
-    own = user_policies.select("user_name", "policy_name").distinct()
-    policy = F.coalesce("policy_name", F.lit(default_policy))
-    logins = (
-        lookup_join(login_history, own, ["user_name"], "left")
-        .withColumn("policy_name", policy)
-        .withColumn("address", ip_number(F.col("client_ip")))
+    own = user_policies.groupBy("user_name").agg(F.min("policy_name").alias("policy_name"))
+    logins = lookup_join(login_history, own, ["user_name"], "left").withColumn(
+        "policy_name", F.coalesce("policy_name", F.lit(default_policy))
     )
-    bounds = network_bounds(cidrs)
     output = ["user_name", "client_ip", "event_timestamp", "is_success", "policy_name"]
-    prefixes = bounds.groupBy("policy_name").agg(F.collect_set("prefix").alias("prefixes"))
-    pairs = logins.select("policy_name", "address").filter(F.col("address").isNotNull()).distinct()
-    allowed = (
-        lookup_join(pairs, prefixes, ["policy_name"])
-        .select("policy_name", "address", F.explode("prefixes").alias("prefix"))
-        .withColumn("low", network_of(F.col("address"), F.col("prefix")))
-        .join(bounds, ["policy_name", "prefix", "low"], "left_semi")
-        .select("policy_name", "address")
-        .distinct()
+    spans, seen = checkpointed(
+        disjoint(network_bounds(cidrs)).select(
+            scoped(F.col("policy_name"), F.col("low")).alias("low"),
+            scoped(F.col("policy_name"), F.col("high")).alias("high"),
+        ),
+        size=F.sum(F.octet_length("low") * 2 + ROW_BYTES),
     )
-    return salted_join(logins, allowed, ["policy_name", "address"], "left_anti").select(*output)
+    key = scoped(F.col("policy_name"), address_key(F.col("client_ip")))
+    if (seen["size"] or 0) <= ALLOWLIST_BYTES:
+        every = [(r["low"], r["high"]) for r in spans.collect()]
+        return logins.filter(~searched(key, every)).select(*output)
+    addresses = logins.select("policy_name", "client_ip").distinct().withColumn("key", key)
+    inside = _inside(addresses.filter("key IS NOT NULL"), spans).select("policy_name", "client_ip")
+    return logins.join(inside, ["policy_name", "client_ip"], "left_anti").select(*output)
+
+
+#: Digits that an address and an interval must share to meet in a shuffle.
+BLOCK_DIGITS = 4
+
+
+def _inside(addresses: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of ``addresses`` whose key is in one of the disjoint ``spans``.
+
+    An address meets the intervals that begin or end in its block, the addresses with the
+    same leading digits, and is compared with those. Blocks that lie wholly inside an
+    interval, at most 65,536 of a family, are listed instead: whoever is in one is inside.
+    """
+
+    def block(key: str) -> Column:
+        # The policy, the family and the first digits: none of them is inside a name.
+        return F.concat(
+            F.substring_index(key, "\0", 1), F.lit("\0"),
+            F.substring(F.substring_index(key, "\0", -1), 1, BLOCK_DIGITS + 1),
+        )
+
+    ended = spans.withColumn("first", block("low")).withColumn("last", block("high"))
+    ends = ended.select("low", "high", F.explode(F.array_distinct(F.array("first", "last"))).alias("block"))
+    keyed = addresses.withColumn("block", block("key"))
+    in_end = keyed.join(ends, "block").filter(F.col("key").between(F.col("low"), F.col("high")))
+    # Between its first and last block an interval holds every address: the blocks are named.
+    number = F.conv(F.substring_index("first", "\0", -1), 16, 10).cast("long")
+    until = F.conv(F.substring_index("last", "\0", -1), 16, 10).cast("long")
+    policy = F.concat(F.substring_index("first", "\0", 1), F.lit("\0")).alias("policy")
+    whole = ended.filter(until - number > 1).select(
+        policy, F.explode(F.sequence(number + 1, until - 1)).alias("number")
+    ).select(F.concat("policy", F.lower(F.hex("number"))).alias("block"))
+    in_whole = keyed.join(whole.distinct(), "block", "left_semi")
+    return in_end.select(*addresses.columns).union(in_whole.select(*addresses.columns)).distinct()
 
 
 def quota_actions(
@@ -274,39 +300,94 @@ def review_metrics(history: DataFrame, latest_run: str, sla_days: int = 31) -> D
     )
 
 
-# What a text must not carry outside, and what is put in its place. In this
-# order: a secret may itself hold digits that look like something else. A repeat
-# ahead of a literal takes its whole run at once and begins only where the run does,
-# so nothing of a long token is left over and long runs of letters cost no more.
-# The last field lists signs of which a text must hold one to match at all.
-SCRUB_RULES = (
-    (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]", "=:"),
-    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", "@"),
-    (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]", "."),
-    (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]", "+"),
-    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]", "-"),
-    (r"MRN-?[0-9]+", "[MRN]", "M"),
-    (r"[0-9]{12,}+", "[NUMBER]", ""),
+# What a text must not carry outside: what a recogniser is called, its pattern, and how a
+# match is told from one of another recogniser's. Earlier ones have the first say about a
+# place, as a secret may hold digits that look like something else. A repeat ahead of a
+# literal takes its whole run at once and begins only where the run does, so nothing of a
+# long token is left over and long runs of letters cost no more.
+_KEYS = r"(?i:token|password|passwd|pwd|secret|api[ _-]?key|access[ _-]?key)"
+_WORD = r"\p{L}\p{M}\p{N}._%+-"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+RECOGNISERS = (
+    # A value in quotes goes up to the closing quote, any other to the next blank.
+    (
+        "SECRET",
+        _KEYS + r"[\"']? *[=:] *(?:\"[^\"\n]*\"|'[^'\n]*'|\"?[^\s\"]+\"?)",
+        "^" + _KEYS + r"[\"']? *[=:]",
+    ),
+    ("SECRET", r"\b(?i:bearer) +[A-Za-z0-9._~+/=-]{8,}+", "^(?i:bearer) "),
+    (
+        "EMAIL",
+        rf"(?<![{_WORD}])[{_WORD}]++@[\p{{L}}\p{{M}}\p{{N}}-]+(?:\.[\p{{L}}\p{{M}}\p{{N}}-]+)+",
+        "@",
+    ),
+    (
+        "IP",
+        rf"(?<![\w:.])(?:(?:{_GROUP}:){{7}}{_GROUP}"
+        rf"|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})(?:(?:\.[0-9]{{1,3}}){{3}})?"
+        rf"|{_GROUP}(?::{_GROUP}){{0,6}}::)(?![\w:])",
+        "^[0-9A-Fa-f]*:[0-9A-Fa-f:.]*$",
+    ),
+    ("IP", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"),
+    (
+        "PHONE",
+        r"\+[0-9]{1,3} ?(?:\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}|[0-9]{2,4}(?:[ -][0-9]{3,4}){2,3})(?![0-9])",
+        "^\\+",
+    ),
+    (
+        "SSN",
+        r"(?i:\bssn\b[ :#]*)[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        r"^(?i:ssn\b|[0-9]{3}-[0-9]{2}-[0-9]{4}$)",
+    ),
+    ("MRN", r"(?i:\bmrn)[ :#-]*[0-9]+", "^(?i:mrn)"),
+    ("CARD", r"(?<![0-9-])(?:[0-9]{4}[ -]){3}[0-9]{1,4}(?![0-9-])|(?<![0-9-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9-])", "[ -]"),
+    ("NUMBER", "[0-9]{12,}+", ""),
 )
+# A text without any of these holds nothing that a recogniser knows.
+SIGNS = "[0-9@=:]|(?i:bearer)"
 
 
-def scrub_text(
-    df: DataFrame, column: str = "text", rules: Iterable[tuple[str, str, str]] = SCRUB_RULES
-) -> DataFrame:
+def check_digit_holds(digits: Column) -> Column:
+    """Whether a run of digits ends in the check digit of card numbers (every second one doubled)."""
+    places = F.sequence(F.lit(1), F.length(digits))
+
+    def worth(place: Column) -> Column:
+        value = F.substring(digits, -place, F.lit(1)).cast("int") * (2 - place % 2)
+        return F.when(value > 9, value - 9).otherwise(value)
+
+    return F.aggregate(F.transform(places, worth), F.lit(0), lambda a, b: a + b) % 10 == 0
+
+
+def _marked(match: Column) -> Column:
+    """What stands for a match: the marker of its recogniser. A group of digits that only
+    looks like a card number stays."""
+    marker = F.lit("[NUMBER]")
+    for name, _, told in reversed(RECOGNISERS[:-1]):
+        value = F.lit(f"[{name}]")
+        if name == "CARD":
+            value = F.when(check_digit_holds(F.regexp_replace(match, "[ -]", "")), value).otherwise(match)
+        marker = F.when(match.rlike(told), value).otherwise(marker)
+    return marker
+
+
+def scrub_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The table with secrets and identifiers in ``column`` replaced by markers.
 
-    ``scrubbed`` tells which rows were changed. Markers hold none of the signs,
-    so the original text tells which patterns are worth running.
+    One pass: a text is cut at everything any recogniser knows, each piece is told by
+    what it looks like and put back as its marker. ``scrubbed`` tells which rows changed.
     """
-    clean = df.withColumn("_clean", F.col(column))
-    for pattern, marker, signs in rules:
-        replaced = F.regexp_replace("_clean", pattern, marker)
-        if signs:
-            holds = reduce(lambda a, b: a | b, [F.contains(column, F.lit(s)) for s in signs])
-            replaced = F.when(holds, replaced).otherwise(F.col("_clean"))
-        clean = clean.withColumn("_clean", replaced)
-    changed = ~F.col("_clean").eqNullSafe(F.col(column))
-    return clean.withColumn("scrubbed", changed).withColumn(column, F.col("_clean")).drop("_clean")
+    every = "|".join(f"(?:{pattern})" for _, pattern, _ in RECOGNISERS)
+    text = F.col(column)
+    matches = F.regexp_extract_all(text, F.lit(every), F.lit(0))
+    between = F.split(text, every, -1)
+    pieces = F.zip_with(
+        between, F.transform(matches, _marked), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
+    )
+    clean = F.when(text.rlike(SIGNS), F.array_join(pieces, "")).otherwise(text)
+    changed = ~F.col("_clean").eqNullSafe(text)
+    return df.withColumn("_clean", clean).withColumn("scrubbed", changed).withColumn(
+        column, F.col("_clean")
+    ).drop("_clean")
 
 
 def small_cohorts(df: DataFrame, quasi_ids: Iterable[str], k: int) -> DataFrame:
