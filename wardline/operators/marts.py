@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.clock import parse
+from wardline.sources.publish import publish
 
 
 def stg_patients(patient: DataFrame) -> DataFrame:
@@ -74,7 +75,10 @@ def column_tests(
 
 
 def materialize(df: DataFrame, name: str, mode: str = "view", path: str | None = None) -> DataFrame:
-    """Publish a model: staging as a view, a mart as a table."""
+    """Publish a model: staging as a view, a mart as a table.
+
+    A table at a ``path`` is replaced in one step: its readers never see a part of it.
+    """
     if mode == "view":
         df.createOrReplaceTempView(name)
         return df.sparkSession.table(name)
@@ -83,5 +87,4 @@ def materialize(df: DataFrame, name: str, mode: str = "view", path: str | None =
     if path is None:
         df.write.mode("overwrite").saveAsTable(name)
         return df.sparkSession.table(name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return publish(df, path)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from wardline.functions import as_timestamp
 from wardline.functions.clock import parse
 from wardline.operators.evidence import digest
+from wardline.sources.publish import publish
 
 ROWS_PER_FILE = 20_000_000
 
@@ -66,11 +67,14 @@ def history_digest(df: DataFrame, ts: str, name: str) -> DataFrame:
 def export_history(df: DataFrame, name: str, ts: str, period: str, path: str) -> DataFrame:
     """Copy a month of a history out and return the digests of the stored copy.
 
-    The copy is read back, so the digests vouch for what was written.
+    The copy is published as a whole: an export that fails leaves the month as it was
+    exported before. It is read back, so the digests vouch for what was written.
     """
     target = f"{path.rstrip('/')}/{name}/period={period}"
-    write_history(in_month(df, ts, period), target, ts, mode="overwrite")
-    copy = df.sparkSession.read.parquet(target).select(*df.columns)
-    digests = history_digest(copy, ts, name)
-    digests.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_digests/{name}/period={period}")
-    return digests
+    month = in_month(df, ts, period).withColumn("event_date", F.to_date(ts))
+
+    def by_day(rows: DataFrame, folder: str, _) -> None:
+        write_history(rows.drop("event_date"), folder, ts, mode="errorifexists")
+
+    copy = publish(month, target, ["event_date"], write=by_day).select(*df.columns)
+    return publish(history_digest(copy, ts, name), f"{path.rstrip('/')}/_digests/{name}/period={period}")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import lookup_join
 from wardline.operators.audit import grant_snapshot
 from wardline.operators.evidence import evidence_manifest, evidence_rows
-from wardline.functions import salted_join
 from wardline.operators.review import exception_report
+from wardline.sources.publish import publish
 
 
 def _below(path: str, name: str) -> str:
@@ -38,20 +39,24 @@ def write_plan(plan: DataFrame, path: str, run_id: str) -> None:
     plan.select("revoke_sql").write.mode("overwrite").text(_below(path, f"revoke_{run_id}"))
 
 
+def owned(exceptions: DataFrame, owners: DataFrame) -> DataFrame:
+    """The exceptions with their ``owner`` from (identity, owner), or UNOWNED."""
+    met = lookup_join(exceptions, owners.select("identity", "owner"), ["identity"], "left")
+    return met.withColumn("owner", F.coalesce("owner", F.lit("UNOWNED")))
+
+
 def write_owner_reports(exceptions: DataFrame, owners: DataFrame, path: str) -> None:
-    """One folder per owner with only the exceptions of their identities.
+    """One folder per owner, directly below ``path``, with only their exceptions.
 
-    ``owners`` has identity and owner; exceptions nobody owns go to UNOWNED. An owner
-    gets as many tasks and files as the bytes need.
+    An owner gets as many tasks and files as the bytes need.
     """
-    owned = salted_join(exceptions, owners.select("identity", "owner"), ["identity"], "left")
-    (
-        owned.withColumn("owner", F.coalesce("owner", F.lit("UNOWNED")))
-        .hint("rebalance", F.col("owner"))
-        .write.mode("overwrite")
-        .partitionBy("owner")
-        .parquet(path)
-    )
+    reports = owned(exceptions, owners).hint("rebalance", F.col("owner"))
+    reports.write.mode("overwrite").partitionBy("owner").parquet(path)
+
+
+def publish_owner_reports(exceptions: DataFrame, owners: DataFrame, path: str) -> DataFrame:
+    """The same reports, all of a run replaced in one step; returns what is stored."""
+    return publish(owned(exceptions, owners), path, ["owner"])
 
 
 def write_grant_snapshot(grants_to_roles: DataFrame, grants_to_users: DataFrame, path: str) -> None:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
+from wardline.sources.files import Files
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -51,8 +51,9 @@ def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFr
     return {name: read_table(spark, root, name) for name in (names or schemas.TABLES)}
 
 
-def _load_config(path: str) -> dict:
-    text = Path(path).read_text()
+def _load_config(spark: SparkSession, path: str) -> dict:
+    """A configuration file in any storage that Spark reads."""
+    text = Files(spark, path).read()
     if path.endswith(".json"):
         return json.loads(text) or {}
     try:
@@ -66,7 +67,7 @@ def read_role_matrix(spark: SparkSession, path: str) -> DataFrame:
     """The approved role matrix (YAML or JSON), each entry with its place in the file."""
     rows = [
         (at, e["entra_group_id"], e.get("fr_roles", []), e.get("data_sensitivity"))
-        for at, e in enumerate(_load_config(path).get("entra_groups", []))
+        for at, e in enumerate(_load_config(spark, path).get("entra_groups", []))
     ]
     return spark.createDataFrame(rows, schemas.ROLE_MATRIX)
 
@@ -75,7 +76,7 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """The service-account inventory (YAML or JSON)."""
     rows = [
         (a["login_name"], a.get("expected_roles", []))
-        for a in _load_config(path).get("service_accounts", [])
+        for a in _load_config(spark, path).get("service_accounts", [])
     ]
     return spark.createDataFrame(rows, schemas.SERVICE_INVENTORY)
 
