@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import time
 
 import pytest
@@ -8,7 +9,9 @@ from tests.conftest import rows
 from wardline import schemas
 from wardline.constants import ALERT_ADMIN_QUERY, ALERT_BREAKGLASS, ALERT_POLICY_DETACH, ALERT_TAG_REMOVAL
 from wardline.operators import alerts
-from wardline.streaming.alert_stream import read_alerts, read_stream, start_alert_stream
+from wardline.streaming.alert_stream import (
+    _Releases, _waiting, read_alerts, read_stream, start_alert_stream,
+)
 from wardline.streaming.idle_stream import idle_sessions_stream
 
 NOW = "2024-01-30 12:00:00"
@@ -218,6 +221,57 @@ def test_early_rows_wait(spark, make, run):
     assert rows(read_alerts(spark, path), "user_name") == [("BREAKGLASS_01",), ("BREAKGLASS_02",)]
 
 
+def test_logins_without_a_time_are_sent_once(spark, make, run):
+    lost = login("BREAKGLASS_01", ts=None)
+    path = run("one", make(schemas.LOGIN_HISTORY, lost, login("BREAKGLASS_01")))
+    path = run("one", make(schemas.LOGIN_HISTORY, lost))
+    path = run("two", make(schemas.LOGIN_HISTORY, lost, login("BREAKGLASS_02", ts=None)))
+    got = rows(read_alerts(spark, path), "user_name", "event_timestamp")
+    assert got == sorted(
+        [("BREAKGLASS_01", None), ("BREAKGLASS_01", dt.datetime.fromisoformat(NOW)), ("BREAKGLASS_02", None)], key=repr
+    )
+    assert read_alerts(spark, path, "quarantine").count() == 0
+
+
+def test_quarantine_is_emptied(spark, make, run, tmp_path):
+    """What was released is removed, what isn't due is not opened, also by a stream started anew."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    far = [login(f"BREAKGLASS_{n}", ts=(now + dt.timedelta(days=n)).isoformat(sep=" ")) for n in range(1, 30)]
+    path = run("one", make(schemas.LOGIN_HISTORY, *far), max_ahead="1 second")
+    assert read_alerts(spark, path, "quarantine").count() == 29
+    # As if the stream had last run four days ago, and three rows had fallen due since.
+    stamp = "%Y-%m-%d %H:%M:%S"
+    past = [(now - dt.timedelta(days=n)) for n in (3, 2, 1)]
+    mark = json.loads((tmp_path / "out" / "_released").read_text())
+    mark["until"] = (now - dt.timedelta(days=4)).strftime(stamp)
+    (tmp_path / "out" / "_released").write_text(json.dumps(mark))
+    (tmp_path / "out" / "._released.crc").unlink(missing_ok=True)
+    old = make(EVENT, *[(ALERT_POLICY_DETACH, f"old{n}", "eve", None, "sql", t.strftime(stamp)) for n, t in enumerate(past)])
+    old = old.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+    old = old.withColumns({"due_date": F.to_date("event_timestamp"), "run_id": F.lit("x"), "batch_id": F.lit(0).cast("long")})
+    old.write.mode("append").partitionBy("due_date", "run_id", "batch_id").parquet(f"{path}/quarantine")
+    waiting = _waiting(spark, path, mark["until"], now.strftime(stamp))
+    assert waiting.count() == 3
+    plan = waiting._jdf.queryExecution().executedPlan().toString()
+    days = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "due_date#" in days and days.count("due_date") >= 3
+    for checkpoint in ("two", "two", "one"):
+        run(checkpoint, make(schemas.LOGIN_HISTORY, login("USER")), max_ahead="1 second")
+    released = read_alerts(spark, path).filter(F.col("event_key").startswith("old"))
+    assert rows(released, "event_key") == [("old0",), ("old1",), ("old2",)]
+    kept = {p.name for p in (tmp_path / "out" / "quarantine").glob("due_date=*")}
+    assert not any(f"due_date={t.date()}" in kept for t in past[:2]) and len(kept) >= 29
+
+
+def test_a_batch_that_runs_again_releases_the_same_rows(spark, tmp_path):
+    path = str(tmp_path)
+    _Releases(spark, path).done("r", 1, None, "2024-01-01 10:00:00")
+    _Releases(spark, path).done("r", 2, "2024-01-01 10:00:00", "2024-01-02 10:00:00")
+    again = _Releases(spark, path)
+    assert again.since("r", 2) == "2024-01-01 10:00:00" and again.since("r", 3) == "2024-01-02 10:00:00"
+    assert again.since("other", 2) == "2024-01-02 10:00:00"
+
+
 def test_idle_stream(spark, make, tmp_path):
     schema = "user_name string, session_class string, ts timestamp_ntz"
     make(
