@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline import schemas
-from wardline.operators import anomaly, audit, usage
+from wardline.operators import anomaly, audit, profiling, usage
 from wardline.operators.conformance import grants_at
 
 NOW = "2024-01-30 12:00:00"
@@ -236,3 +237,36 @@ def test_grants_at(make):
     assert rows(grants_at(grants, "2023-06-01 00:00:00"), "grantee_name", "deleted_on") == [
         ("kept", None), ("later gone", None),
     ]
+
+
+def test_classified_by_values_rather_than_names(make):
+    n = 60
+    columns = {
+        "email_sent": ["Y", "N"] * (n // 2),  # a name that promises what isn't there
+        "notes": [f"{i:03d}-12-{1000 + i}" for i in range(n)],  # a name that hides what is
+        "mixed": [f"u{i}@x.org" if i % 3 else "none" for i in range(n)],
+        "contact_email": [f"u{i}@x.org" if i % 2 else "unknown" for i in range(n)],
+        "birth_place": ["New York", "Los Angeles"] * (n // 2),
+        "who": [f"Ann{chr(97 + i % 26)} Lee{chr(97 + i // 26)}" for i in range(n)],
+        "number": ["4111 1111 1111 1111", "3782-822463-10005", "4012888888881881"] * (n // 3),
+        "order_number": ["4111111111111112"] * n,
+        "admitted": ["2024-01-01"] * n, "dob": ["1980-02-03"] * n,
+        "ssn": [None] * n, "empty": [" "] * n,
+        "seen_from": ["2001:db8::1", "10.0.0.1"] * (n // 2),
+    }
+    df = make(", ".join(f"{c} string" for c in columns) + ", amount double", *[(*r, 1.5) for r in zip(*columns.values())])
+    whole = profiling.profile(df)
+    parts = [profiling.profile(df.filter(F.pmod(F.hash("notes"), F.lit(3)) == k)) for k in range(3)]
+    wanted = {
+        "notes": ("US_SSN", "VALUES"), "contact_email": ("EMAIL", "NAME_AND_VALUES"), "who": ("NAME", "VALUES"),
+        "number": ("PAYMENT_CARD", "VALUES"), "dob": ("DATE_OF_BIRTH", "NAME_AND_VALUES"), "ssn": ("US_SSN", "NAME"),
+        "seen_from": ("IP_ADDRESS", "VALUES"),
+    }
+    for made in (whole, profiling.merged(parts)):
+        got = profiling.classify_profiles(made).collect()
+        assert {r.column_name: (r.semantic_category, r.evidence) for r in got} == wanted
+    figures = {r.column_name: r for r in profiling.described(profiling.merged(parts)).collect()}
+    notes = figures["notes"]
+    assert (notes.rows, notes.filled, notes.different, notes.longest) == (n, n, n, 11)
+    assert notes.top_shapes[0] == "9-9-9" and figures["ssn"].filled == 0 and figures["ssn"].median is None
+    assert set(figures["contact_email"].top_shapes) == {"a9@a.a", "a"}

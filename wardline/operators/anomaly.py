@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,6 @@ def volume_spike(
     The baseline and today come from one pass over the daily sums. Both figures
     are reported unrounded.
     """
-    today = F.lit(parse(as_of).date().isoformat()).cast("date")
-    before = F.col("query_date") < today
     daily = (
         query_history.filter(
             within(query_history, "start_time", as_of, days=lookback_days)
@@ -50,6 +48,13 @@ def volume_spike(
         .groupBy("user_name", F.to_date("start_time").alias("query_date"))
         .agg(F.sum("rows_produced").alias("rows_day"))
     )
+    return volume_spikes(daily, as_of, deviations)
+
+
+def volume_spikes(daily: DataFrame, as_of, deviations: float) -> DataFrame:
+    """The spikes among sums of users' days (user_name, query_date, rows_day)."""
+    today = F.lit(parse(as_of).date().isoformat()).cast("date")
+    before = F.col("query_date") < today
     per_user = daily.groupBy("user_name").agg(
         F.sum(F.when(F.col("query_date") == today, F.col("rows_day"))).alias("rows_today"),
         F.avg(F.when(before, F.col("rows_day"))).alias("avg_7d_baseline"),
@@ -144,14 +149,7 @@ def novel_client_ip(
     window = F.col("event_timestamp") <= as_timestamp(login_history, "event_timestamp", as_of)
     logins = login_history.filter((F.col("is_success") == "YES") & window)
     cutoff = ago(login_history, "event_timestamp", as_of, days=recent_days)
-    grants = live(grants_to_users, as_of)
-    if grants_to_roles is None:
-        holders = grants.filter(F.col("role").isin(*roles))
-    else:
-        seed = literal_roles(grants.sparkSession, roles)
-        reach = role_reach(seed, role_edges(grants_to_roles)).select("role")
-        holders = lookup_join(grants, reach, ["role"], "left_semi")
-    holders = holders.select(F.col("grantee_name").alias("user_name")).distinct()
+    holders = sensitive_role_holders(grants_to_users, as_of, roles, grants_to_roles)
     pairs = (
         lookup_join(logins, holders, ["user_name"], "left_semi")
         .groupBy("user_name", "client_ip")
@@ -160,20 +158,40 @@ def novel_client_ip(
             F.max("event_timestamp").alias("first_seen"),
         )
     )
+    return novel_addresses(pairs.withColumnRenamed("first_seen", "latest"), cutoff)
+
+
+def novel_addresses(pairs: DataFrame, cutoff: Column) -> DataFrame:
+    """Of pairs of user and address (earliest, latest) those first seen since ``cutoff``."""
     # An unknown address never matches an earlier one.
     is_new = (F.col("earliest") >= cutoff) | F.col("client_ip").isNull()
     return (
-        pairs.filter((F.col("first_seen") >= cutoff) & is_new)
+        pairs.filter((F.col("latest") >= cutoff) & is_new)
         .select(
             "user_name",
             F.col("client_ip").alias("novel_ip"),
-            "first_seen",
+            F.col("latest").alias("first_seen"),
             F.lit("NOVEL_CLIENT_IP").alias("signal"),
         )
         .orderBy(F.desc("first_seen"))
     )
 
 
+def sensitive_role_holders(
+    grants_to_users: DataFrame, as_of, roles: Iterable[str] = PHI_LOGIN_ROLES,
+    grants_to_roles: DataFrame | None = None,
+) -> DataFrame:
+    """(user_name) of direct holders of ``roles``, and with ``grants_to_roles`` of all others."""
+    grants = live(grants_to_users, as_of)
+    if grants_to_roles is None:
+        holders = grants.filter(F.col("role").isin(*roles))
+    else:
+        seed = literal_roles(grants.sparkSession, roles)
+        reach = role_reach(seed, role_edges(grants_to_roles)).select("role")
+        holders = lookup_join(grants, reach, ["role"], "left_semi")
+    return holders.select(F.col("grantee_name").alias("user_name")).distinct()
+
+
 def mass_export(
     query_history: DataFrame,
     access_history: DataFrame,

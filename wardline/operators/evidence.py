@@ -8,6 +8,7 @@ small share and the last one sees a few thousand values.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,89 @@ def digest(
     return hashed.select(*by, F.col("rows").alias("row_count"), F.col("node").alias("sha256"))
 
 
+TREE = "level int, prefix string, body string, node string"
+
+
+def leaves(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """``df`` with ``hash``, what ``digest`` makes of a row."""
+    return df.withColumn("hash", F.sha2(row_text(list(columns or df.columns)), 256))
+
+
+def digest_tree(df: DataFrame, prefixes: Iterable[int] = PREFIXES) -> DataFrame:
+    """The tree that ``digest`` folds, kept: (level, prefix, body, node), the root last.
+
+    A node is the hash of its ``body``, which lists what is below it: rows at level 0,
+    and nodes of the level before at every other. No body grows with the rows as a whole.
+    """
+    below = leaves(df).groupBy("hash").agg(F.count("*").alias("rows"))
+    below = below.select(
+        F.col("hash").alias("key"), F.concat("hash", F.lit(":"), F.col("rows").cast("string")).alias("leaf")
+    )
+    levels = []
+    for level, length in enumerate(prefixes):
+        prefix = F.substring("key", 1, length) if length else F.lit("")
+        body = F.array_join(F.array_sort(F.collect_list("leaf")), ",")
+        nodes = below.groupBy(prefix.alias("prefix")).agg(body.alias("body")).select(
+            F.lit(level).alias("level"), "prefix", "body", F.sha2("body", 256).alias("node")
+        )
+        levels.append(nodes)
+        below = nodes.select(
+            F.col("prefix").alias("key"), F.concat("prefix", F.lit(":"), "node").alias("leaf")
+        )
+    return reduce(DataFrame.unionByName, levels)
+
+
+def proofs(rows: DataFrame, tree: DataFrame, prefixes: Iterable[int] = PREFIXES) -> DataFrame:
+    """``rows`` (with ``hash``) and their ``proof``: the bodies on the way up to the root.
+
+    Whoever has a row, its proof and the digest needs no other row: see ``proof_holds``.
+    """
+    prefixes = list(prefixes)
+    for level, length in enumerate(prefixes):
+        bodies = tree.filter(F.col("level") == level).select(
+            F.col("prefix").alias("_prefix"), F.col("body").alias(f"_body{level}")
+        )
+        prefix = F.substring("hash", 1, length) if length else F.lit("")
+        rows = rows.withColumn("_prefix", prefix).join(bodies, "_prefix").drop("_prefix")
+    bodies = [f"_body{level}" for level in range(len(prefixes))]
+    return rows.withColumn("proof", F.array(*bodies)).drop(*bodies)
+
+
+def proof_holds(row_hash: Column, proof: Column, root: Column, prefixes: Iterable[int] = PREFIXES) -> Column:
+    """Whether ``proof`` shows that the rows behind the digest ``root`` include ``row_hash``."""
+
+    def lists(body: Column, start: Column) -> Column:
+        return F.exists(F.split(body, ","), lambda entry: F.startswith(entry, start))
+
+    holds = lists(proof[0], F.concat(row_hash, F.lit(":")))
+    prefixes = list(prefixes)
+    for level in range(1, len(prefixes)):
+        below = F.sha2(proof[level - 1], 256)
+        prefix = F.substring(row_hash, 1, prefixes[level - 1])
+        holds &= lists(proof[level], F.concat(prefix, F.lit(":"), below))
+    return holds & (F.sha2(proof[len(prefixes) - 1], 256) == root)
+
+
+def evidence_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that only one of two runs has, with ``change``.
+
+    The trees are held against each other first: of both runs only the rows below nodes
+    of the lowest level that differ are compared.
+    """
+    trees = [digest_tree(df).filter(F.col("level") == 0).select("prefix", "node") for df in (before, after)]
+    same = trees[0].join(trees[1], ["prefix", "node"], "left_semi").select("prefix")
+    length = PREFIXES[0]
+    sides = [
+        leaves(df).withColumn("prefix", F.substring("hash", 1, length)).join(same, "prefix", "left_anti")
+        for df in (before, after)
+    ]
+    gone, come = (
+        a.join(b.select("hash"), "hash", "left_anti").withColumn("change", F.lit(change))
+        for a, b, change in ((*sides, "GONE"), (*sides[::-1], "NEW"))
+    )
+    return gone.unionByName(come).drop("prefix", "hash")
+
+
 def evidence_rows(exceptions: DataFrame, run_id: str) -> DataFrame:
     """(run_id, body): each exception as JSON with its keys in order."""
     fields = F.struct(*[F.col(c) for c in sorted(exceptions.columns)])
