@@ -10,7 +10,7 @@ from wardline.sources.adapter import AS_OF, Tables
 
 DATA = "/root/testdata/sf0.001"
 # Few enough users at this scale for these to find nothing.
-MAY_BE_EMPTY = {"novel_client_ip", "stale_keys", "sod_violations", "quota_actions"}
+MAY_BE_EMPTY = {"novel_client_ip", "novel_client_ip_daily", "stale_keys", "sod_violations", "quota_actions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared test data")
 

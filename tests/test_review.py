@@ -226,9 +226,9 @@ class TestLogins:
 
     def test_details(self, reconcile):
         (found,) = reconcile(GRANT, GRANT, [service("X", JULY - dt.timedelta(days=400))], today=JULY)
-        assert found["detail"] == "RSA key not rotated in 400 days (last set 2023-05-28)."
+        assert found["detail"] == "Signing key is 400 days old: set on 2023-05-28."
         (found,) = reconcile(GRANT, GRANT, [person("X", last_login=dt.date(2024, 1, 1))])
-        assert found["detail"] == "No login in > 90 days (last 2024-01-01)."
+        assert found["detail"] == "Last seen on 2024-01-01; the limit is 90 days."
 
     def test_mark_services(self, make):
         marked = review.mark_services(

@@ -16,13 +16,15 @@ from wardline.operators import (
     audit,
     conformance,
     evidence,
+    incremental,
     marts,
+    profiling,
     protect,
     review,
     rolegraph,
     usage,
 )
-from wardline.sources import history
+from wardline.sources import history, sinks
 from wardline.sources.adapter import (
     AI_NAMESPACE,
     AS_OF,
@@ -31,6 +33,7 @@ from wardline.sources.adapter import (
     TODAY,
     Tables,
 )
+from wardline.sources.publish import publish, read_published
 from wardline.streaming.alert_stream import read_alerts, read_stream, start_alert_stream
 
 Query = Callable[[Tables], DataFrame]
@@ -45,6 +48,10 @@ MANY = 10**12
 POLLS = ("2024-01-10 12:00:00", "2024-01-20 00:00:00", "2024-01-28 18:30:00")
 POLL_LOOKBACK_HOURS = 240
 STREAM_FILES = 8
+EXPORT_MONTH = "2024-01"
+#: Days that the incremental findings add one by one, after what they begin with.
+ADDED_DAYS = ("2024-01-28", "2024-01-29", "2024-01-30")
+TEAMS = 5
 
 
 def query(build: Query) -> Query:
@@ -233,6 +240,33 @@ def novel_client_ip_inherited(t: Tables) -> DataFrame:
     )
 
 
+@query
+def volume_spike_daily(t: Tables) -> DataFrame:
+    """The spikes from sums stored day by day."""
+    path = session.work_path(t.spark, "volumes")
+    queries = t.query_history
+    history.write_history(queries, f"{path}/queries", "start_time")
+    incremental.start_volumes(queries, f"{path}/days", ADDED_DAYS[0])
+    for day in ADDED_DAYS:
+        incremental.add_volumes(t.spark, f"{path}/queries", f"{path}/days", day)
+    return incremental.volume_spike_daily(t.spark, f"{path}/queries", f"{path}/days", AS_OF)
+
+
+@query
+def novel_client_ip_daily(t: Tables) -> DataFrame:
+    """The new addresses from first sights stored day by day."""
+    path = session.work_path(t.spark, "first-seen")
+    logins = t.login_history
+    history.write_history(logins, f"{path}/logins", "event_timestamp")
+    incremental.start_first_seen(logins, f"{path}/pairs", ADDED_DAYS[0])
+    for day in ADDED_DAYS:
+        incremental.add_first_seen(t.spark, f"{path}/logins", f"{path}/pairs", day)
+    holders = anomaly.sensitive_role_holders(t.grants_to_users, AS_OF)
+    return incremental.novel_client_ip_daily(
+        t.spark, f"{path}/logins", f"{path}/pairs", holders, AS_OF
+    )
+
+
 @query
 def mass_export(t: Tables) -> DataFrame:
     return anomaly.mass_export(t.query_history, t.access_history, AS_OF)
@@ -260,6 +294,14 @@ def classify_columns(t: Tables) -> DataFrame:
     return anomaly.classify_columns(t.patient)
 
 
+@query
+def classify_by_profile(t: Tables) -> DataFrame:
+    """Profiles of the two halves of a table, merged, as if each had come on its own day."""
+    half = F.pmod(F.xxhash64("patient_id"), F.lit(2)) == 0
+    halves = [profiling.profile(t.patient.filter(side)) for side in (half, ~half)]
+    return profiling.classify_profiles(profiling.merged(halves))
+
+
 # Usage register --------------------------------------------------------------
 
 
@@ -316,13 +358,19 @@ def alert_notifications(t: Tables) -> DataFrame:
 @query
 def alert_replay(t: Tables) -> DataFrame:
     """The ledger after the alerts were polled at each of ``POLLS``, each poll reading it anew."""
-    path = session.work_path(t.spark, "alert-ledger")
-    events = alerts.alert_events(t.login_history, t.query_history)
+    path = session.work_path(t.spark, "alert-replay")
+    # Derived once and stored by day: a poll opens the days of its look-back.
+    derived = alerts.alert_events(t.login_history, t.query_history)
+    history.write_history(derived, f"{path}/events", "event_timestamp")
     ledger = t.spark.createDataFrame([], alerts.LEDGER)
     for number, poll in enumerate(POLLS):
+        since = dt.datetime.fromisoformat(poll) - dt.timedelta(hours=POLL_LOOKBACK_HOURS)
+        events = history.read_history(
+            t.spark, f"{path}/events", derived.schema, "event_timestamp", since, poll
+        )
         fresh = alerts.new_events(events, ledger, poll, POLL_LOOKBACK_HOURS)
-        alerts.record(fresh, path, number, poll)
-        ledger = alerts.read_ledger(t.spark, path)
+        alerts.record(fresh, f"{path}/ledger", number, poll)
+        ledger = alerts.read_ledger(t.spark, f"{path}/ledger")
     return ledger.select("alert_name", "event_key", F.col("notified_at").alias("reported_at"))
 
 
@@ -430,6 +478,16 @@ def column_tests(t: Tables) -> DataFrame:
     return source.unionByName(mart)
 
 
+@query
+def materialized_mart(t: Tables) -> DataFrame:
+    """The mart as it is read after it was published a second time."""
+    path = session.work_path(t.spark, "mart")
+    masked = marts.patients_by_facility(marts.stg_patients(t.patient), AS_OF)
+    marts.materialize(masked.filter("facility_id < 'F2'"), "patients_by_facility", "table", path)
+    marts.materialize(masked, "patients_by_facility", "table", path)
+    return read_published(t.spark, path)
+
+
 # Access review ---------------------------------------------------------------
 
 
@@ -539,6 +597,29 @@ def evidence_digest(t: Tables) -> DataFrame:
     return evidence.evidence_manifest(Review(t).exceptions, RUN_ID, MATRIX_SHA)
 
 
+@query
+def evidence_proofs(t: Tables) -> DataFrame:
+    """Each exception with a proof that the digest of the review covers it, checked."""
+    rows = session.checkpointed(Review(t).exceptions)[0]
+    tree = session.checkpointed(evidence.digest_tree(rows))[0]
+    root = evidence.digest(rows).select("sha256")
+    proven = evidence.proofs(evidence.leaves(rows), tree).crossJoin(F.broadcast(root))
+    return proven.select(
+        "exception_id", F.col("hash").alias("row_hash"), "sha256",
+        evidence.proof_holds(F.col("hash"), F.col("proof"), F.col("sha256")).alias("proven"),
+    )
+
+
+@query
+def owner_reports(t: Tables) -> DataFrame:
+    """What is read back of the owners' reports of a run."""
+    path = session.work_path(t.spark, "owner-reports")
+    found = Review(t).exceptions
+    return sinks.publish_owner_reports(found, _teams(t), path).select(
+        "owner", "exception_id", "kind", "identity", "role", "severity"
+    )
+
+
 @query
 def review_summary(t: Tables) -> DataFrame:
     return review.review_summary(Review(t).exceptions)
@@ -567,11 +648,7 @@ def idle_sessions(t: Tables) -> DataFrame:
 @query
 def privilege_diff(t: Tables) -> DataFrame:
     legacy = conformance.grants_at(t.grants_to_roles, LEGACY_AS_OF)
-    roles = _all_roles(t)
-    return conformance.privilege_diff(
-        rolegraph.effective_privileges(roles, t.grants_to_roles),
-        rolegraph.effective_privileges(roles, legacy),
-    )
+    return rolegraph.privilege_diff(_all_roles(t), t.grants_to_roles, legacy)
 
 
 @query
@@ -594,6 +671,51 @@ def _review_history(t: Tables) -> DataFrame:
     )
 
 
+def _teams(t: Tables) -> DataFrame:
+    """(identity, owner): logins by the length of their name, some of which nobody owns."""
+    size = F.length("login")
+    team = F.concat(F.lit("TEAM_"), (F.ascii(F.right("login", F.lit(1))) % TEAMS).cast("string"))
+    return t.identities.filter(size % 7 != 0).select(F.col("login").alias("identity"), team.alias("owner")).distinct()
+
+
+def _history_once(t: Tables) -> DataFrame:
+    return session.checkpointed(_review_history(t))[0]
+
+
+@query
+def exception_aging_by_run(t: Tables) -> DataFrame:
+    """The ages from a state that every run is added to, and stored with."""
+    path = session.work_path(t.spark, "aging")
+    runs = _history_once(t)
+    state = t.spark.createDataFrame([], incremental.AGING)
+    for run_id in RUNS:
+        run = runs.filter(F.col("run_id") == run_id)
+        state = publish(incremental.advance_aging(state, run, run_id), path)
+    return state
+
+
+@query
+def exception_report_aged(t: Tables) -> DataFrame:
+    runs = _history_once(t)
+    latest = runs.filter(F.col("run_id") == RUNS[-1]).drop("run_id")
+    return incremental.aged_report(latest, conformance.exception_aging(runs)).select(
+        "exception_id", "kind", "severity", "identity", "role", "first_seen", "runs_seen"
+    )
+
+
+@query
+def review_counts_by_team(t: Tables) -> DataFrame:
+    return incremental.counts_by_team(_review_history(t), _teams(t))
+
+
+@query
+def evidence_changes(t: Tables) -> DataFrame:
+    """What the last run reports that the one before didn't, and the reverse."""
+    runs = _history_once(t)
+    before, after = (runs.filter(F.col("run_id") == r).drop("run_id") for r in RUNS[-2:])
+    return evidence.evidence_changes(before, after)
+
+
 @query
 def exception_aging(t: Tables) -> DataFrame:
     return conformance.exception_aging(_review_history(t))
@@ -614,6 +736,13 @@ def history_digest(t: Tables) -> DataFrame:
     return history.history_digest(t.query_history, "start_time", "query_history")
 
 
+@query
+def export_history(t: Tables) -> DataFrame:
+    """Digests of the month as it was exported and read back."""
+    path = session.work_path(t.spark, "export")
+    return history.export_history(t.query_history, "query_history", "start_time", EXPORT_MONTH, path)
+
+
 @query
 def scrub_text(t: Tables) -> DataFrame:
     return conformance.scrub_text(t.documents)

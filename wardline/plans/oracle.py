@@ -15,13 +15,8 @@ from wardline.constants import (
     PHI_NEVER_READ_SEED,
     PROTECTED_ROLES,
 )
-from wardline.operators.review import (
-    DETAIL_ORPHAN,
-    DETAIL_OVER,
-    DETAIL_UNDER,
-    DETAIL_UNMANAGED,
-)
 from wardline.plans.catalog import (
+    EXPORT_MONTH,
     LEGACY_AS_OF,
     MATRIX_SHA,
     ORDERS_AS_OF,
@@ -35,6 +30,12 @@ from wardline.plans.catalog import (
 from wardline.plans.oracle_tables import with_tables
 from wardline.sources.adapter import AI_NAMESPACE, AS_OF, ML_NAMESPACE, TODAY
 
+# Stated here as well, so that a text that is wrong in the operator shows.
+DETAIL_OVER = "Holds a role that no approved group or inventory entry gives."
+DETAIL_UNDER = "Should hold this role, and does not."
+DETAIL_UNMANAGED = "Service login that nobody has registered."
+DETAIL_ORPHAN = "Person without an enabled directory entry."
+
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -86,9 +87,9 @@ _PRIVILEGES = """SELECT DISTINCT c.held AS role, g.privilege, g.granted_on, g.na
 _EVENT = "alert_name, event_key, user_name, client_ip, query_text, event_timestamp"
 
 
-# Written for this engine, apart from the operator's patterns.
+# Written for this engine, apart from the operator's recognisers: one after the other.
 SCRUBBED = [
-    (r"(?i)(token|password|passwd|secret|api[_-]?key) *[=:] *\"?[^\s\"]+\"?", "[SECRET]"),
+    (r"(?i)(token|password|passwd|pwd|secret|api[ _-]?key|access[ _-]?key)[\"'']? *[=:] *(\"[^\"\n]*\"|''[^''\n]*''|\"?[^\s\"]+\"?)", "[SECRET]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
     (r"([0-9]{1,3}\.){3}[0-9]{1,3}", "[IP]"),
     (r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
@@ -245,10 +246,10 @@ SHARED = {
               WHEN DATE '{TODAY}' - p.last_login > 90 THEN 'STALE' END AS kind,
             CASE WHEN p.login IS NULL AND s.login IS NULL THEN '{DETAIL_UNMANAGED}'
               WHEN p.service AND DATE '{TODAY}' - p.key_last_set > 365 THEN
-                'RSA key not rotated in ' || CAST(DATE '{TODAY}' - p.key_last_set AS VARCHAR)
-                || ' days (last set ' || CAST(p.key_last_set AS VARCHAR) || ').'
+                'Signing key is ' || CAST(DATE '{TODAY}' - p.key_last_set AS VARCHAR)
+                || ' days old: set on ' || CAST(p.key_last_set AS VARCHAR) || '.'
               WHEN p.entra_object_id IS NULL OR NOT p.account_enabled THEN '{DETAIL_ORPHAN}'
-              ELSE 'No login in > 90 days (last ' || CAST(p.last_login AS VARCHAR) || ').' END AS detail
+              ELSE 'Last seen on ' || CAST(p.last_login AS VARCHAR) || '; the limit is 90 days.' END AS detail
           FROM (SELECT DISTINCT identity FROM actual) a
           LEFT JOIN people p ON a.identity = p.login
           LEFT JOIN service_list s ON a.identity = s.login) f
@@ -308,6 +309,15 @@ SHARED = {
     "evidence_hashes": f"SELECT {_row_hash(_EXCEPTION_COLUMNS)} AS h FROM found",
 }
 
+SHARED["month_rows"] = f"""SELECT * FROM history_rows
+    WHERE strftime(event_date, '%Y-%m') = '{EXPORT_MONTH}'"""
+SHARED["teams"] = """SELECT DISTINCT login AS identity,
+      'TEAM_' || CAST(ascii(right(login, 1)) % 5 AS VARCHAR) AS owner
+    FROM identities WHERE length(login) % 7 <> 0"""
+SHARED["owned_history"] = """SELECT h.run_id, f.identity, h.severity, coalesce(t.owner, 'UNOWNED') AS owner
+    FROM review_history h JOIN found f ON h.exception_id = f.exception_id AND h.kind = f.kind
+    LEFT JOIN teams t ON f.identity = t.identity"""
+
 QUERIES = {
     "role_edges": "SELECT child_role, parent_role FROM edges",
     "phi_role_seed": "SELECT role_name FROM phi_seed",
@@ -503,6 +513,17 @@ QUERIES = {
           avg(CAST(regexp_matches(full_name, '^[A-Z][a-z]+( [A-Z][a-z]+)+$') AS DOUBLE)) FROM patient
         UNION ALL SELECT DISTINCT 'dob', 'DATE_OF_BIRTH', 'QUASI_IDENTIFIER', CAST(NULL AS DOUBLE)
         FROM patient""",
+    "classify_by_profile": r"""SELECT 'email' AS column_name, 'EMAIL' AS semantic_category,
+          'IDENTIFIER' AS privacy_category,
+          0.75 * avg(CASE WHEN email LIKE '%_@_%._%' THEN 1.0 ELSE 0.0 END) + 0.25 AS score,
+          'NAME_AND_VALUES' AS evidence FROM patient
+        UNION ALL SELECT 'mrn', 'MEDICAL_RECORD', 'IDENTIFIER',
+          0.75 * avg(CASE WHEN starts_with(mrn, 'MRN') THEN 1.0 ELSE 0.0 END) + 0.25, 'NAME_AND_VALUES' FROM patient
+        UNION ALL SELECT 'full_name', 'NAME', 'IDENTIFIER',
+          0.75 * avg(CASE WHEN regexp_matches(full_name, '^[A-Z][a-z]+( [A-Z][a-z]+)+$') THEN 1.0 ELSE 0.0 END) + 0.25,
+          'NAME_AND_VALUES' FROM patient
+        UNION ALL SELECT 'dob', 'DATE_OF_BIRTH', 'QUASI_IDENTIFIER',
+          0.5 * avg(CASE WHEN year(dob) BETWEEN 1900 AND 2099 THEN 1.0 ELSE 0.0 END) + 0.5, 'NAME_AND_VALUES' FROM patient""",
     "ai_function_calls": f"""SELECT user_name, role_name, start_time,
           left(query_text, 400) AS query_excerpt
         FROM query_history WHERE (start_time >= {_ago(30)} AND start_time <= {NOW})
@@ -667,6 +688,34 @@ QUERIES = {
     "exception_aging": """SELECT exception_id, kind, min(run_id) AS first_seen,
           max(run_id) AS last_seen, count(DISTINCT run_id) AS runs_seen
         FROM review_history GROUP BY 1, 2""",
+    "exception_report_aged": f"""SELECT f.exception_id, f.kind, f.severity, f.identity, f.role,
+          a.first_seen, a.runs_seen
+        FROM found f JOIN review_history h ON f.exception_id = h.exception_id AND f.kind = h.kind
+          AND h.run_id = '{RUNS[-1]}'
+        JOIN (SELECT exception_id, kind, min(run_id) AS first_seen,
+                count(DISTINCT run_id) AS runs_seen FROM review_history GROUP BY 1, 2) a
+          ON f.exception_id = a.exception_id AND f.kind = a.kind""",
+    "review_counts_by_team": """SELECT run_id, NULL AS owner, NULL AS severity, 'run' AS level,
+          count(*) AS exceptions, count(DISTINCT identity) AS identities
+        FROM owned_history GROUP BY run_id
+        UNION ALL SELECT run_id, owner, NULL, 'team', count(*), count(DISTINCT identity)
+        FROM owned_history GROUP BY run_id, owner
+        UNION ALL SELECT run_id, owner, severity, 'severity', count(*), count(DISTINCT identity)
+        FROM owned_history GROUP BY run_id, owner, severity""",
+    "evidence_changes": f"""SELECT f.exception_id, f.kind, f.identity, f.role, f.severity,
+          CASE WHEN bool_or(h.run_id = '{RUNS[-1]}') THEN 'NEW' ELSE 'GONE' END AS change
+        FROM found f JOIN review_history h ON f.exception_id = h.exception_id AND f.kind = h.kind
+        WHERE h.run_id IN ('{RUNS[-2]}', '{RUNS[-1]}')
+        GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 1""",
+    "evidence_proofs": f"""SELECT f.exception_id, {_row_hash(_EXCEPTION_COLUMNS)} AS row_hash,
+          d.sha256, TRUE AS proven
+        FROM found f CROSS JOIN ({_fold('evidence_hashes')}) d""",
+    "owner_reports": """SELECT coalesce(t.owner, 'UNOWNED') AS owner, f.exception_id, f.kind,
+          f.identity, f.role, f.severity
+        FROM found f LEFT JOIN teams t ON f.identity = t.identity""",
+    "materialized_mart": "SELECT * FROM clean_mart",
+    "export_history": f"""SELECT 'query_history' AS history, event_date, row_count, sha256
+        FROM ({_fold('month_rows', 'event_date')}) d""",
     "review_counts": """SELECT run_id, kind, severity, count(*) AS exceptions FROM review_history
         GROUP BY run_id, kind, severity
         UNION ALL SELECT run_id, kind, NULL, count(*) FROM review_history GROUP BY run_id, kind
@@ -703,6 +752,13 @@ QUERIES = {
         FROM returned GROUP BY 1, 2""",
 }
 
+# The same rows, found another way.
+for _name, _same in (
+    ("novel_client_ip_daily", "novel_client_ip"), ("volume_spike_daily", "volume_spike"),
+    ("exception_aging_by_run", "exception_aging"),
+):
+    QUERIES[_name] = QUERIES[_same]
+
 SHARED["session_role_names"] = """SELECT DISTINCT upper(default_role) AS role_name FROM users
     WHERE deleted_on IS NULL UNION SELECT DISTINCT upper(role) FROM grants_to_users
     WHERE deleted_on IS NULL"""

@@ -74,7 +74,7 @@ FEW_ROWS, ROWS_A_TASK = 200_000, 50_000
 
 
 @contextmanager
-def few_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+def few_tasks(spark: SparkSession, rows: int, a_task: int = ROWS_A_TASK) -> Iterator[None]:
     """Plan the eager steps inside for as few tasks as ``rows`` need, each in one job.
 
     Re-planning between the stages of a small step takes longer than the step. Beyond
@@ -85,7 +85,7 @@ def few_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
         return
     partitions = "spark.sql.shuffle.partitions"
     most = int(spark.conf.get(partitions))
-    own = {partitions: str(max(1, min(most, rows // ROWS_A_TASK + 1))), "spark.sql.adaptive.enabled": "false"}
+    own = {partitions: str(max(1, min(most, rows // a_task + 1))), "spark.sql.adaptive.enabled": "false"}
     before = {key: spark.conf.get(key) for key in own}
     for key, value in own.items():
         spark.conf.set(key, value)
