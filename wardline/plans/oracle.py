@@ -513,17 +513,20 @@ QUERIES = {
           avg(CAST(regexp_matches(full_name, '^[A-Z][a-z]+( [A-Z][a-z]+)+$') AS DOUBLE)) FROM patient
         UNION ALL SELECT DISTINCT 'dob', 'DATE_OF_BIRTH', 'QUASI_IDENTIFIER', CAST(NULL AS DOUBLE)
         FROM patient""",
-    "classify_by_profile": r"""SELECT 'email' AS column_name, 'EMAIL' AS semantic_category,
-          'IDENTIFIER' AS privacy_category,
-          0.75 * avg(CASE WHEN email LIKE '%_@_%._%' THEN 1.0 ELSE 0.0 END) + 0.25 AS score,
-          'NAME_AND_VALUES' AS evidence FROM patient
-        UNION ALL SELECT 'mrn', 'MEDICAL_RECORD', 'IDENTIFIER',
-          0.75 * avg(CASE WHEN starts_with(mrn, 'MRN') THEN 1.0 ELSE 0.0 END) + 0.25, 'NAME_AND_VALUES' FROM patient
-        UNION ALL SELECT 'full_name', 'NAME', 'IDENTIFIER',
-          0.75 * avg(CASE WHEN regexp_matches(full_name, '^[A-Z][a-z]+( [A-Z][a-z]+)+$') THEN 1.0 ELSE 0.0 END) + 0.25,
-          'NAME_AND_VALUES' FROM patient
-        UNION ALL SELECT 'dob', 'DATE_OF_BIRTH', 'QUASI_IDENTIFIER',
-          0.5 * avg(CASE WHEN year(dob) BETWEEN 1900 AND 2099 THEN 1.0 ELSE 0.0 END) + 0.5, 'NAME_AND_VALUES' FROM patient""",
+    "classify_by_profile": r"""SELECT * FROM (
+          SELECT 'email' AS column_name, 'EMAIL' AS semantic_category, 'IDENTIFIER' AS privacy_category,
+            0.75 * avg(CASE WHEN email LIKE '%_@_%._%' THEN 1.0 WHEN trim(email) <> '' THEN 0.0 END) + 0.25 AS score,
+            'NAME_AND_VALUES' AS evidence FROM patient
+          UNION ALL SELECT 'mrn', 'MEDICAL_RECORD', 'IDENTIFIER',
+            0.75 * avg(CASE WHEN starts_with(mrn, 'MRN') THEN 1.0 WHEN trim(mrn) <> '' THEN 0.0 END) + 0.25,
+            'NAME_AND_VALUES' FROM patient
+          UNION ALL SELECT 'full_name', 'NAME', 'IDENTIFIER',
+            0.75 * avg(CASE WHEN regexp_matches(full_name, '^[A-Z][a-z]+( [A-Z][a-z]+)+$') THEN 1.0
+              WHEN trim(full_name) <> '' THEN 0.0 END) + 0.25, 'NAME_AND_VALUES' FROM patient
+          UNION ALL SELECT 'dob', 'DATE_OF_BIRTH', 'QUASI_IDENTIFIER',
+            0.5 * avg(CASE WHEN year(dob) BETWEEN 1900 AND 2099 THEN 1.0 ELSE 0.0 END) + 0.5,
+            'NAME_AND_VALUES' FROM patient) c
+        WHERE score >= 0.6""",
     "ai_function_calls": f"""SELECT user_name, role_name, start_time,
           left(query_text, 400) AS query_excerpt
         FROM query_history WHERE (start_time >= {_ago(30)} AND start_time <= {NOW})
