@@ -23,6 +23,7 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
@@ -67,22 +68,26 @@ def links(group: tuple[int, int, int, int], ends_a: list[int], ends_b: list[int]
     return found
 
 
-class Stretch:
-    """What a stretch of text adds to its document."""
+#: What a stretch of text adds to its document: numbers of A and B tokens and of groups, the
+#: groups as text, and its links as packed integers. Of plain values only, as a worker holds
+#: many, and the garbage collector then has nothing to follow.
+Stretch = tuple[int, int, int, str, bytes]
 
-    __slots__ = ("n_a", "n_b", "n_groups", "written", "pairs")
 
-    def __init__(self, ids_a: list[int], lengths_a, ids_b: list[int], lengths_b):
-        ends_a, ends_b = list(accumulate(lengths_a)), list(accumulate(lengths_b))
-        groups = align(ends_a, ends_b)
-        self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), len(groups)
-        as_a, as_b = list(map(str, ids_a)), list(map(str, ids_b))
-        self.written = ";".join(
-            [f"{','.join(as_a[a:to_a])}|{','.join(as_b[b:to_b])}" for a, to_a, b, to_b in groups]
-        )
-        self.pairs = [
-            ids_a[x] << 32 | ids_b[y] for g in groups for x, y in links(g, ends_a, ends_b)
-        ]
+def stretch(ids_a: list[int], lengths_a, ids_b: list[int], lengths_b) -> Stretch:
+    ends_a, ends_b = list(accumulate(lengths_a)), list(accumulate(lengths_b))
+    groups = align(ends_a, ends_b)
+    written, pairs = [], array("q")
+    for group in groups:
+        a, to_a, b, to_b = group
+        if to_a - a == 1 == to_b - b:
+            written.append(f"{ids_a[a]}|{ids_b[b]}")
+            pairs.append(ids_a[a] << 32 | ids_b[b])
+            continue
+        written.append(f"{','.join(map(str, ids_a[a:to_a]))}|{','.join(map(str, ids_b[b:to_b]))}")
+        for x, y in links(group, ends_a, ends_b):
+            pairs.append(ids_a[x] << 32 | ids_b[y])
+    return len(ids_a), len(ids_b), len(groups), ";".join(written), pairs.tobytes()
 
 
 class Aligner:
@@ -108,43 +113,45 @@ class Aligner:
         self.older: dict[str, Stretch | None] = {}
 
     def encoded(self, texts: list[str]) -> list[Stretch | None]:
-        """Alignments of texts that start with a blank; None where tokens don't spell them."""
-        every_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        """Alignments of texts, given without the blank in front; None where tokens don't spell them."""
+        every_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         # B puts the blank in front by itself, but leaves an empty text empty.
-        every_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        every_b = self.b.encode(texts, num_threads=1)
         found = []
-        for text, ids_a, ids_b in zip(texts, every_a, every_b):
+        for text, ids_a, ids_b in zip(texts, (e.ids for e in every_a), every_b):
             ids_b = ids_b or [self.b.piece_to_id("▁")]
             parts_a = [self.bytes_a[n] for n in ids_a]
             parts_b = [self.bytes_b[n] for n in ids_b]
-            whole = text.encode()
-            if b"".join(parts_a) == whole == b"".join(parts_b):
-                found.append(Stretch(ids_a, map(len, parts_a), ids_b, map(len, parts_b)))
+            if b"".join(parts_a) == b"".join(parts_b) == b" " + text.encode():
+                found.append(stretch(ids_a, map(len, parts_a), ids_b, map(len, parts_b)))
             else:
                 found.append(None)
         return found
 
     def documents(self, texts: list[str]) -> Iterator[list[Stretch] | None]:
-        """The stretches of each text, given without a blank in front; None without tokens."""
-        cut = [(parted(t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        fresh: dict[str, Stretch | None] = {}
-        for part in chain.from_iterable(cut):
-            if part not in self.held and part not in fresh:
-                fresh[part] = self.older.get(part, self)
-        unknown, size = [], 0
-        for part in [p for p, known in fresh.items() if known is self] + [None]:
+        """The stretches of each text; None for one without tokens."""
+        cut = [(parted(t) if self.cuts else [t]) if t else [] for t in texts]
+        held, unknown, size, long = self.held, [], 0, []
+        for part in [*set(chain.from_iterable(cut)).difference(held), None]:
             if unknown and (part is None or size + len(part) > AT_ONCE):
-                fresh.update(zip(unknown, self.encoded(unknown)))
+                held.update(zip(unknown, self.encoded(unknown)))
                 unknown, size = [], 0
-            if part is not None:
-                unknown.append(part)
-                size += len(part)
+            if part is None:
+                break
+            if part in self.older:
+                held[part] = self.older[part]
+                continue
+            if len(part) > LONGEST_REMEMBERED:
+                long.append(part)
+            unknown.append(part)
+            size += len(part)
         for parts in cut:
-            found = [fresh[p] if p in fresh else self.held[p] for p in parts]
+            found = list(map(held.__getitem__, parts))
             yield None if not found or None in found else found
-        self.held.update(x for x in fresh.items() if len(x[0]) <= LONGEST_REMEMBERED)
-        if len(self.held) > REMEMBERED:
-            self.held, self.older = {}, self.held
+        for part in long:
+            del held[part]
+        if len(held) > REMEMBERED:
+            self.held, self.older = {}, held
 
 
 @functools.cache
@@ -153,13 +160,18 @@ def aligner_of(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+#: A blank that doesn't follow a visible character.
+_INNER = re.compile(r"(?:^|\s) ")
+
+
 def parted(text: str) -> list[str]:
-    """A blank and the text, cut before every blank that follows a visible character."""
+    """A text cut at every blank that follows a visible character, without those blanks."""
+    pieces = text.split(" ")
+    if not _INNER.search(text):
+        return pieces
     parts, open_ = [], None
-    for piece in text.split(" "):
-        part = " " + piece
-        if open_ is not None:
-            part = open_ + part
+    for piece in pieces:
+        part = piece if open_ is None else f"{open_} {piece}"
         # A piece that is empty or ends in white space is one with what follows.
         open_ = part if not piece or piece[-1].isspace() else None
         if open_ is None:
@@ -209,13 +221,11 @@ def document(parts: list[Stretch] | None) -> tuple:
     """The columns ``NAMES`` of a document."""
     if parts is None:
         return 0, 0, 0, 0, "", [], []
-    digest = hashlib.sha256(";".join([p.written for p in parts]).encode())
-    every = np.fromiter(chain.from_iterable(p.pairs for p in parts), np.int64)
+    n_a, n_b, n_groups, written, packed = zip(*parts)
+    digest = hashlib.sha256(";".join(written).encode())
+    every = np.frombuffer(b"".join(packed), np.int64)
     pairs, times = np.unique(every, return_counts=True)
-    return (
-        sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts),
-        len(every), digest.hexdigest(), pairs, times,
-    )
+    return sum(n_a), sum(n_b), sum(n_groups), len(every), digest.hexdigest(), pairs, times
 
 
 def counted(documents: DataFrame) -> DataFrame:
