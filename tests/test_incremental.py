@@ -149,3 +149,41 @@ def test_changes_between_runs(make):
     wanted += [(f"e{n}", n, "NEW") for n in (200, 201, 202)]
     assert rows(evidence.evidence_changes(before, after)) == sorted(wanted, key=repr)
     assert evidence.evidence_changes(before, before).count() == 0
+
+
+def test_shared_bodies_prove_what_single_proofs_do(spark, make):
+    """For all rows at once, with honest and forged trees, and no row takes a root body with it."""
+    found = make("id string, n long", *[(f"e{n % 300}", n % 7) for n in range(700)], (None, None))
+    digest, tree, leaves = evidence.digest(found), evidence.digest_tree(found), evidence.leaves(found)
+    root = digest.first().sha256
+
+    def single(tree):
+        holds = evidence.proof_holds(F.col("hash"), F.col("proof"), F.lit(root))
+        return rows(evidence.proofs(leaves, tree).select("hash", holds.alias("proven")))
+
+    got = evidence.proven(leaves, tree, digest)
+    assert rows(got, "hash", "proven") == single(tree)
+    assert got.count() == found.count() and got.filter("not proven").count() == 0
+    assert evidence.proven(evidence.leaves(make("id string, n long", ("e1", 99))), tree, digest).first().proven is False
+    nobody = make("sha256 string", ("0" * 64,))
+    assert evidence.proven(leaves, tree, nobody).filter("proven").count() == 0
+    for level in range(3):
+        one = tree.filter(F.col("level") == level).agg(F.min("prefix")).first()[0]
+        changed = (F.col("level") == level) & (F.col("prefix") == one)
+        forged = tree.withColumn("body", F.when(changed, F.concat("body", F.lit(",x:1"))).otherwise(F.col("body")))
+        wanted = single(forged)
+        assert rows(evidence.proven(leaves, forged, digest), "hash", "proven") == wanted
+        assert not all(proven for _, proven in wanted)
+
+
+def test_review_makes_out_few_whole_proofs(spark, make, monkeypatch):
+    """A whole proof repeats the root body: one for each entry of that body, not one a row."""
+    from wardline.plans import catalog
+
+    found = spark.range(12_000).selectExpr("concat('e', id) exception_id", "'STALE' kind", "concat('u', id) identity")
+    monkeypatch.setattr(catalog, "Review", lambda t: type("Found", (), {"exceptions": found}))
+    made, proofs = [], evidence.proofs
+    monkeypatch.setattr(evidence, "proofs", lambda rows, *more: made.append(rows.count()) or proofs(rows, *more))
+    got = catalog.evidence_proofs(None)
+    assert got.count() == got.filter("proven").count() == 12_000
+    assert len(made) == 1 and made[0] <= 16**3

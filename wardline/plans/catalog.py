@@ -603,10 +603,9 @@ def evidence_proofs(t: Tables) -> DataFrame:
     rows = session.checkpointed(Review(t).exceptions)[0]
     tree = session.checkpointed(evidence.digest_tree(rows))[0]
     root = evidence.digest(rows).select("sha256")
-    proven = evidence.proofs(evidence.leaves(rows), tree).crossJoin(F.broadcast(root))
-    return proven.select(
-        "exception_id", F.col("hash").alias("row_hash"), "sha256",
-        evidence.proof_holds(F.col("hash"), F.col("proof"), F.col("sha256")).alias("proven"),
+    leaves = evidence.leaves(rows).select("exception_id", "hash")
+    return evidence.proven(leaves, tree, root).crossJoin(F.broadcast(root)).select(
+        "exception_id", F.col("hash").alias("row_hash"), "sha256", "proven"
     )
 
 
