@@ -233,3 +233,37 @@ def test_privileges_as_sets(make, monkeypatch, bits):
     assert rg.holds_privilege(asked, tables[0], "T1", "SELECT") == (
         any(p[0] == one[0] and p[1] == "SELECT" and p[3] == "T1" for p in new)
     )
+
+
+def test_a_step_beyond_the_first_hops_keeps_to_the_seeds(spark, make, monkeypatch):
+    """What lies above no seed is not followed: the long chain without one stays out of every round."""
+    chain = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(12)]
+    other = [(f"b{i:03d}", f"b{i + 1:03d}") for i in range(100)]
+    kept, cut = [], rg.checkpointed
+
+    def counted(df, **measures):
+        found = cut(df, **measures)
+        kept.append(found[0].filter("more IS NOT NULL").count() if "more" in df.columns else 0)
+        return found
+
+    monkeypatch.setattr(rg, "checkpointed", counted)
+    got = rg.role_closure(make(ROLE, ("a00",)), make(EDGE, *chain, *other), hops=2)
+    assert rows(got) == closure(["a00"], chain)
+    assert sum(kept) == 10  # a03 to a12, each once
+    reach = rows(rg.role_reach(make(ROLE, ("a00",), ("a05",)), make(EDGE, *chain, *other), hops=2))
+    assert [r[:3] for r in reach if r[0] >= "a05"] == [(f"a{i:02d}", "a00", "a05") for i in range(5, 13)]
+
+
+def test_few_privileges_take_few_words(make):
+    """A set is as large as what is in it: one bigint for 64 privileges held together."""
+    many = [to_role("MANY", f"T{i:03d}", "TABLE", "SELECT") for i in range(128)]
+    few = [to_role(f"R{i}", f"U{i}", "TABLE", "SELECT") for i in range(5)]
+    table = make(schemas.GRANTS_TO_ROLES, *many, *few, to_role("TOP", "MANY"), to_role("TOP", "R0"))
+    names = make(ROLE, ("TOP",), ("MANY",), *[(f"R{i}",) for i in range(5)])
+    sets = rg.PrivilegeSets(table)
+    words = {role: (n, size) for role, n, size in rows(
+        sets.of(names, table).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("size"))
+    )}
+    assert sum(n for n, _ in words.values()) <= 20
+    assert words["TOP"][1] == 129 and words["MANY"][1] == 128 and words["R3"] == (1, 1)
+    assert sets.of(names, table).schema["bits"].dataType.simpleString() == "bigint"

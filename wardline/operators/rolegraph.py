@@ -6,21 +6,19 @@ walks the other way, from a role a user holds to the roles it inherits.
 
 Role graphs are closed first and joined to users last, so the steps below only ever
 carry roles. One step follows ``HOPS`` grants from the seeds, which is as deep as most
-graphs are. Where it doesn't reach the end, all paths are closed by doubling: a round
-joins the pairs that the last one was the first to find with all pairs so far, and so
-takes as many rounds as the logarithm of the depth. Lineage is cut by a reliable
-checkpoint in each, so a lost executor costs one round. A round that finds nothing new
-ends the loop, which makes cycles harmless.
+graphs are. Where it doesn't reach the end, leaps of 4, 8, 16 and so on grants are followed
+from what was found, and so it takes as many rounds as the logarithm of the depth. Lineage
+is cut by a reliable checkpoint in each, so a lost executor costs one round. A round that
+finds nothing new ends the loop, which makes cycles harmless.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wardline.constants import (
     ADMIN_ROLES,
@@ -88,25 +86,43 @@ class _Edges:
         fits = self.count > FEW_ROWS and size <= BROADCAST_BYTES
         self.joined = F.broadcast(self.rows) if fits else self.rows
 
-    def paths(self) -> DataFrame:
-        """(low, high): every role that holds another, however far up, by doubling.
-
-        After ``k`` rounds all pairs up to ``2**k`` grants apart are known. One that is
-        further apart begins with a stretch of just that length, which the last round was
-        the first to find; so only its pairs are joined, to all pairs so far.
+    def climb(
+        self, found: DataFrame, hops: int,
+        grow: Callable[[DataFrame, DataFrame], DataFrame], merge: Callable[[list[DataFrame]], DataFrame],
+    ) -> DataFrame:
+        """``found``, what lies up to ``hops`` grants above the seeds, and all further up.
+
+        A round follows leaps (low, high), of as many grants as the largest power of two that
+        leaves no gap, and joins them with themselves for the next. Only what is above a seed
+        is kept, so a round costs as much as the edges and the rows found, not as all pairs.
+        ``grow`` gives the rows that ``found`` lacks, ``merge`` puts rounds together. When a
+        round finds nothing, nothing is one grant further either.
         """
-        found = self.rows.select(F.col("child_role").alias("low"), F.col("parent_role").alias("high"))
-        spark, fresh, count, total = found.sparkSession, found, self.count, self.count
-        while count:
-            first = fresh.select("low", F.col("high").alias("middle"))
-            then = found.select(F.col("low").alias("middle"), "high")
-            longer = first.join(then, "middle").filter("low <> high").select("low", "high").distinct()
+        leap = 1
+        leaps = self.rows.select(F.col("child_role").alias("low"), F.col("parent_role").alias("high"))
+        while leap * 2 <= hops + 1:
+            leap, leaps = leap * 2, _twice(leaps)
+        spark, total, rounds = self.rows.sparkSession, self.count, [found]
+        while True:
+            more = grow(found, leaps)
+            # One job for both: the rows found, and the leaps of the next round.
+            step = more.select(F.struct(*more.columns).alias("more"), F.lit(None).alias("leap")).unionByName(
+                _twice(leaps).select(F.lit(None).alias("more"), F.struct("low", "high").alias("leap"))
+            )
             with few_tasks(spark, total):
-                fresh, seen = checkpointed(longer.join(found, ["low", "high"], "left_anti"), n=_rows())
-            count = seen["n"]
-            total += count
-            found = found.union(fresh)
-        return found
+                step, seen = checkpointed(step, n=F.count("more"), leaps=F.count("leap"))
+            if not seen["n"]:
+                return found
+            total = max(total, seen["leaps"]) + seen["n"]
+            rounds.append(step.filter("more IS NOT NULL").select("more.*"))
+            found = merge(rounds)
+            leaps = step.filter("leap IS NOT NULL").select("leap.*")
+
+
+def _twice(leaps: DataFrame) -> DataFrame:
+    then = leaps.select(F.col("low").alias("middle"), F.col("high").alias("top"))
+    longer = leaps.join(then, F.col("high") == F.col("middle")).filter("low <> top")
+    return longer.select("low", F.col("top").alias("high")).distinct()
 
 
 def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
@@ -131,11 +147,11 @@ def role_closure(seed: DataFrame, edges: DataFrame, hops: int | None = None) ->
         met, last = checkpointed(met, open=F.count_if(F.col("hop") == hops))
     if not last["open"]:
         return met.select(*pair)
-    seeds = met.filter("hop = 0").select(*pair)
-    above = seeds.join(graph.paths(), F.col("top_role") == F.col("low")).select(
-        F.col("high").alias("top_role"), "reachable_role"
-    )
-    return seeds.union(above)
+    def grow(found: DataFrame, leaps: DataFrame) -> DataFrame:
+        above = found.join(leaps, F.col("top_role") == F.col("low"))
+        return above.select(F.col("high").alias("top_role"), "reachable_role").distinct().join(found, pair, "left_anti")
+
+    return graph.climb(met.select(*pair), hops, grow, lambda rounds: reduce(DataFrame.union, rounds))
 
 
 def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
@@ -175,12 +191,21 @@ def role_reach(seed: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
         merged, last = checkpointed(merged, open=further)
     if not last["open"]:
         return merged.select("role", "low.low_seed", "high.high_seed", "is_seed")
-    own = F.col("role").alias("low_seed"), F.col("role").alias("high_seed")
-    seeds = merged.filter("is_seed").select("role", *own, "is_seed")
-    above = seeds.join(graph.paths(), F.col("role") == F.col("low")).select(
-        F.col("high").alias("role"), "low_seed", "high_seed", F.lit(False).alias("is_seed")
-    )
-    return seeds.union(above).groupBy("role").agg(*bounds, F.bool_or("is_seed").alias("is_seed"))
+    columns = ["role", "low_seed", "high_seed", "is_seed"]
+
+    def grow(found: DataFrame, leaps: DataFrame) -> DataFrame:
+        above = found.join(leaps, F.col("role") == F.col("low")).groupBy(F.col("high").alias("role")).agg(*bounds)
+        had = found.select("role", F.col("low_seed").alias("low_had"), F.col("high_seed").alias("high_had"))
+        changes = "low_had IS NULL OR low_seed < low_had OR high_seed > high_had"
+        return above.join(had, "role", "left").filter(changes).select(
+            "role", "low_seed", "high_seed", F.lit(False).alias("is_seed")
+        )
+
+    def merge(rounds: list[DataFrame]) -> DataFrame:
+        rows = reduce(DataFrame.union, rounds)
+        return rows.groupBy("role").agg(*bounds, F.bool_or("is_seed").alias("is_seed")).select(*columns)
+
+    return graph.climb(merged.select("role", "low.low_seed", "high.high_seed", "is_seed"), hops, grow, merge)
 
 
 def _user_grants(grants_to_users: DataFrame) -> DataFrame:
@@ -312,13 +337,21 @@ def _inherited_roles(roles: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _holding_roles(roles: DataFrame, edges: DataFrame) -> DataFrame:
+    """(held_role, effective_role) for each role in ``roles`` and all that hold it."""
+    upward = edges.select(F.upper("child_role").alias("child_role"), F.upper("parent_role").alias("parent_role"))
+    return role_closure(roles, upward).select(
+        F.col("top_role").alias("held_role"), F.col("reachable_role").alias("effective_role")
+    )
+
+
 def effective_grants(
     grants_to_users: DataFrame, grants_to_roles: DataFrame, only: DataFrame | None = None
 ) -> DataFrame:
     """(identity, role): every role a user holds or inherits, in upper case.
 
-    The roles in use are closed once, not once per user, and narrowed to the roles of
-    ``only`` before they meet the users. Both sides of the last join may be large, so a
+    The roles in use are closed once, not once per user. Where ``only`` some roles are asked
+    for, the closure climbs from these to their holders. Both sides of the last join may be large, so a
     role held by many is left to the skew-join split, which repeats only that role's
     rows.
     """
@@ -327,11 +360,11 @@ def effective_grants(
         .select(F.upper("grantee_name").alias("identity"), F.upper("role").alias("held_role"))
         .distinct()
     )
-    roles = held.select(F.col("held_role").alias("role_name")).distinct()
-    inherited = _inherited_roles(roles, role_edges(grants_to_roles))
-    if only is not None:
-        wanted = only.select(F.col("role").alias("effective_role"))
-        inherited = inherited.join(wanted, "effective_role", "left_semi")
+    edges = role_edges(grants_to_roles)
+    if only is None:
+        inherited = _inherited_roles(held.select(F.col("held_role").alias("role_name")).distinct(), edges)
+    else:
+        inherited = _holding_roles(only.select(F.col("role").alias("role_name")), edges)
     return (
         held.join(inherited, "held_role")
         .select("identity", F.col("effective_role").alias("role"))
@@ -340,59 +373,70 @@ def effective_grants(
 
 
 PRIVILEGE = ["privilege", "granted_on", "name"]
-#: Bits of one bitmap, as Spark's bitmap functions have them.
-BITS = 32_768
+#: Privileges of one word; their bits make a bigint.
+BITS = 64
 
 
 class PrivilegeSets:
-    """The privileges of roles as bitmaps over numbered privileges.
+    """The privileges of roles as words of bits over numbered privileges.
 
-    Privileges are numbered inside buckets of about half a bitmap, by a hash, so that no
-    task sees all of them; a number beyond a bitmap goes on in the next one. A role's own
-    set is one bitmap for each bucket it has anything in, and what it inherits is the OR
-    of the sets of the roles it holds. No row is made for an inherited privilege: single
+    Privileges are numbered in the order of the first role that was granted them, over
+    sorted ranges, so that no task sees all of them and those that are held together share
+    words. A role's own set is one bigint for each word it has anything in, and what it
+    inherits is the OR of the words of the roles it holds. Few privileges take few words and
+    many take one for ``BITS`` of them. No row is made for an inherited privilege: single
     privileges are told again only for the rows asked for.
     """
 
     def __init__(self, *grants: DataFrame):
-        objects = [_object_privileges(g) for g in grants]
-        named = reduce(DataFrame.union, [o.select(*PRIVILEGE) for o in objects]).distinct()
-        # Written before it is numbered: the number of buckets follows from the rows.
-        named, found = checkpointed(named, n=_rows())
-        buckets = found["n"] * 2 // BITS + 1
-        bucket = F.pmod(F.xxhash64(*PRIVILEGE), F.lit(buckets))
-        place = F.row_number().over(W.partitionBy("bucket").orderBy(*PRIVILEGE)) - 1
-        numbered = named.withColumn("bucket", bucket).withColumn("place", place)
-        beyond = F.floor(F.col("place") / BITS) * buckets
+        objects = reduce(DataFrame.union, [_object_privileges(g) for g in grants])
+        named = objects.groupBy(*PRIVILEGE).agg(F.min("effective_role").alias("first"))
+        ordered = named.repartitionByRange("first", *PRIVILEGE).sortWithinPartitions("first", *PRIVILEGE)
+        # Every range begins a word: its numbers start at a multiple of 2 ** 33.
+        numbered = ordered.select(*PRIVILEGE, F.monotonically_increasing_id().alias("number"))
         self.names, _ = checkpointed(
             numbered.select(
-                *PRIVILEGE, (F.col("bucket") + beyond).alias("bucket"),
-                (F.col("place") % BITS).cast("long").alias("place"),
+                *PRIVILEGE, F.expr(f"number DIV {BITS}").alias("word"),
+                (F.col("number") % BITS).cast("int").alias("place"),
             ),
             n=_rows(),
         )
 
     def own(self, grants: DataFrame) -> DataFrame:
-        """(effective_role, bucket, bits): what each role was granted itself."""
+        """(effective_role, word, bits): what each role was granted itself."""
         objects, names = _object_privileges(grants).alias("o"), self.names.alias("n")
         same = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in PRIVILEGE])
-        return objects.join(names, same).groupBy("effective_role", "bucket").agg(
-            F.bitmap_construct_agg("place").alias("bits")
-        )
+        bit = F.expr("shiftleft(1L, place)")
+        return objects.join(names, same).groupBy("effective_role", "word").agg(F.bit_or(bit).alias("bits"))
 
     def of(self, roles: DataFrame, grants: DataFrame) -> DataFrame:
-        """(role, bucket, bits): what each of ``roles`` holds or inherits."""
-        closure = _inherited_roles(roles, role_edges(grants))
+        """(role, word, bits): what each of ``roles`` holds or inherits.
+
+        Closed from the roles that were granted anything up to their holders.
+        """
+        own, _ = checkpointed(self.own(grants), n=_rows())
+        granted = own.select(F.col("effective_role").alias("role_name")).distinct()
+        asked = roles.select(F.col("role_name").alias("held_role")).distinct()
+        closure = _holding_roles(granted, role_edges(grants)).join(asked, "held_role", "left_semi")
         return (
-            closure.join(self.own(grants), "effective_role")
-            .groupBy(F.col("held_role").alias("role"), "bucket")
-            .agg(F.bitmap_or_agg("bits").alias("bits"))
+            closure.join(own, "effective_role")
+            .groupBy(F.col("held_role").alias("role"), "word")
+            .agg(F.bit_or("bits").alias("bits"))
         )
 
     def told(self, sets: DataFrame) -> DataFrame:
-        """(role, further columns, privilege, granted_on, name) of every bit set in ``bits``."""
-        each = sets.withColumn("place", F.explode(set_bits(F.col("bits")))).drop("bits")
-        return each.join(self.names, ["bucket", "place"]).drop("bucket", "place")
+        """``sets`` without word and bits, but with (privilege, granted_on, name) of every bit set.
+
+        The words come with the names of all their places, so only a word of a role is joined.
+        """
+        one = F.struct("place", *PRIVILEGE)
+        words = self.names.groupBy("word").agg(F.collect_list(one).alias("names"))
+        # By as many tasks as shuffles have: a word is small, but makes many rows.
+        sets = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+        set_here = F.filter("names", lambda named: F.getbit("bits", named["place"]) == 1)
+        # Outer, as no set is empty, and the plan need not look whether this one is.
+        each = sets.join(words, "word").withColumn("one", F.explode_outer(set_here))
+        return each.drop("word", "bits", "names").select("*", *[F.col(f"one.{c}") for c in PRIVILEGE]).drop("one")
 
 
 def set_bits(bits: Column) -> Column:
@@ -439,7 +483,7 @@ def effective_privileges(roles: DataFrame, grants_to_roles: DataFrame) -> DataFr
 def privilege_diff(roles: DataFrame, grants_to_roles: DataFrame, legacy: DataFrame) -> DataFrame:
     """Object privileges that only one of two models gives a role, with ``change``.
 
-    Both models' sets are compared as bitmaps; only of those that differ are single
+    Both models' sets are compared word by word; only of those that differ are single
     privileges told, and only those that one side has.
     """
     sets = PrivilegeSets(grants_to_roles, legacy)
@@ -448,23 +492,17 @@ def privilege_diff(roles: DataFrame, grants_to_roles: DataFrame, legacy: DataFra
         for g, name in ((grants_to_roles, "now"), (legacy, "then"))
     )
     # Roles as they are called in both models: a role may have lost everything.
-    both = now.join(then, ["role", "bucket"], "full").filter(~F.col("now").eqNullSafe(F.col("then")))
-    none = F.array().cast("array<bigint>")
-    held, had = (F.coalesce(set_bits(F.col(c)), none) for c in ("now", "then"))
+    both = now.join(then, ["role", "word"], "full").select(
+        "role", "word", *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in ("now", "then")]
+    )
 
     def only(here: str, there: str, change: str) -> Column:
-        return F.transform(
-            F.array_except(here, there),
-            lambda place: F.struct(F.lit(change).alias("change"), place.alias("place")),
-        )
+        bits = F.col(here).bitwiseAND(F.bitwise_not(there))
+        return F.struct(F.lit(change).alias("change"), bits.alias("bits"))
 
-    changes = both.select("role", "bucket", held.alias("held"), had.alias("had")).select(
-        "role", "bucket",
-        F.explode(F.concat(only("held", "had", "GAINED"), only("had", "held", "LOST"))).alias("one"),
-    )
-    return changes.select("role", "bucket", "one.*").join(sets.names, ["bucket", "place"]).select(
-        "role", *PRIVILEGE, "change"
-    )
+    sides = F.array(only("now", "then", "GAINED"), only("then", "now", "LOST"))
+    changes = both.filter("now <> then").select("role", "word", F.inline(sides)).filter("bits <> 0")
+    return sets.told(changes).select("role", *PRIVILEGE, "change")
 
 
 def holds_privilege(roles: DataFrame, grants_to_roles: DataFrame, object_name: str, privilege: str) -> bool:
