@@ -10,13 +10,18 @@ made by every task and summed by block of the table.
 
 The three predictions, in the logistic domain, are mixed by weights that a gate
 chooses (how sure the second and third are, and what kind of symbol it is). Weights
-start from what a bounded sample of training texts taught them (over tables without
-the sample; scores are from tables of all training texts), go on learning through each
-text, and a correction indexed by the mixed prediction is refined the same way. A text
-always starts from the same state, so scores do not depend on partitions. The sum of
-the bits' log10 probabilities is the text's score; ``bits_per_byte`` is that over its
+start from what all training texts taught them, go on learning through each text, and a
+correction indexed by the mixed prediction is refined the same way. For teaching, texts
+are halved by a hash of the text, and each half is predicted from the tables of the
+other: every task counts its bits by class of the three predictions, and the starting
+weights are fitted on the summed counts. Scores are from tables of all training texts.
+A text always starts from the same state, so scores do not depend on partitions. The sum
+of the bits' log10 probabilities is the text's score; ``bits_per_byte`` is that over its
 length.
 
+Words are looked up in the dictionary once: the numbers of a text's words and the words
+without a number are stored, and tables, teaching and scores read those.
+
 Counts of words cover all training texts. Those of dictionary words are sent to every
 task (the dictionary has at most ``DICTIONARY`` words); counts of all others are
 joined by word. A long text is scored in parts that carry the state on.
@@ -28,9 +33,11 @@ all counts are zero; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +50,8 @@ from wardline.llm import common
 DICTIONARY = 1 << 19
 SLOT_BITS = 20
 CONTEXTS = 3
-SAMPLE = 512
-SHARE = 0.05
+#: Share of the texts, by hash, in the second of the halves that teach the weights.
+SHARE = 0.5
 #: Symbols of a text before the first update of its weights; then half as many as there
 #: were, up to the second number.
 STEP, LONG_STEP = 256, 2048
@@ -54,6 +61,14 @@ LANES = 48
 REMEMBERED_BYTES = 8_000_000
 RATE, REFINE = 0.004, 0.02
 GATES, LEVELS = 18, 24
+#: Upper ends of the classes of a prediction's size, for teaching; zero is a class of its own.
+#: The gates' own limit of 2 is among them.
+CLASS_ENDS = np.array([0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6.5, 8.5], np.float32)
+CLASS_MIDDLES = np.array([0.125, 0.375, 0.75, 1.25, 1.75, 2.25, 2.75, 3.5, 4.5, 5.75, 7.5, 9.5])
+CLASSES = 2 * len(CLASS_MIDDLES) + 1
+CELLS = 4 * CLASSES**CONTEXTS
+#: Symbols that are made bits of at once.
+CHUNK = 1 << 12
 END = b"\n"
 _SLOTS = 1 << SLOT_BITS
 _BLOCK = 1 << 16
@@ -147,40 +162,123 @@ class Coder:
 
         Returns (symbols, three contexts, the last two words, ids of words, other words).
         """
-        find = self.ids.get
-        ids = np.array([find(w, -1) for w in words], np.int32)
-        missing = np.flatnonzero(ids < 0)
-        others = [words[at] for at in missing]
+        ids, others = self.numbers(words, last)
+        return *self.laid(ids, others, before), ids, others
+
+    def numbers(self, words: list[bytes], last: bool) -> tuple[np.ndarray, list[bytes]]:
+        """Ids of words, -1 for those outside the dictionary, and the latter."""
+        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
+        others = [words[at] for at in np.flatnonzero(ids < 0).tolist()]
         if last:
             ids = np.append(ids, np.int32(self.size + 1))
-        named = (ids.astype(np.uint32) + np.uint32(1)) * _M3
-        named[missing] = [zlib.crc32(w) for w in others]
-        row = np.concatenate([np.array(before, np.uint32), named])
+        return ids, others
+
+    def encoded(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
+        """``numbers`` of a whole text."""
+        parts = [self.numbers(words, last) for words, last in _marked(parts_of(text))]
+        if len(parts) == 1:
+            return parts[0]
+        return np.concatenate([ids for ids, _ in parts]), [w for _, o in parts for w in o]
+
+    def laid(
+        self, ids: np.ndarray, others: list[bytes], before: tuple[int, int],
+        starts: np.ndarray | None = None,
+    ):
+        """Symbols of words, three contexts of each, and the last two words.
+
+        Where several texts follow one another, no word is before those at ``starts``.
+        """
+        missing = np.flatnonzero(ids < 0)
+        row = np.empty(len(ids) + 2, np.uint32)
+        row[:2] = before
+        named = row[2:]
+        np.multiply((ids + 1).view(np.uint32), _M3, out=named)
+        if others:
+            named[missing] = np.fromiter(map(zlib.crc32, others), np.uint32, len(others))
         one, two = row[1:-1], row[:-2]
-        repeats = np.ones(len(ids), np.int64)
-        repeats[missing] = [len(w) + 2 for w in others]
-        start = np.cumsum(repeats) - repeats
-        total = int(repeats.sum())
+        if starts is not None:
+            one, two = one.copy(), two.copy()
+            one[starts] = two[starts] = 0
+            two[(starts + 1)[starts + 1 < len(ids)]] = 0
+        heads = one * _M1 + np.uint32(1), (one * _M2) ^ (two * _M1)
+        last = int(row[-2]), int(row[-1])
+        if not others:
+            contexts = np.zeros((CONTEXTS, len(ids)), np.uint32)
+            contexts[1], contexts[2] = heads
+            return ids, contexts, last
+        spelled = np.fromiter(map(len, others), np.int64, len(others)) + 1
+        more = np.zeros(len(ids), np.int64)
+        more[missing] = spelled
+        start = np.arange(len(ids)) + np.cumsum(more) - more
+        total = len(ids) + int(spelled.sum())
+        # Bytes of the k-th word without a number stand behind its symbol and k words' bytes.
+        spell = np.arange(total - len(ids)) + np.repeat(missing + 1, spelled)
         symbol = np.empty(total, np.int32)
         contexts = np.empty((CONTEXTS, total), np.uint32)
         symbol[start] = np.where(ids < 0, self.size, ids)
-        contexts[0, start] = 0
-        contexts[1, start] = one * _M1 + np.uint32(1)
-        contexts[2, start] = (one * _M2) ^ (two * _M1)
-        if others:
-            spell = np.ones(total, bool)
-            spell[start] = False
-            text = np.frombuffer(b"\n".join(others) + b"\n", np.uint8).astype(np.uint32)
-            symbol[spell] = text.astype(np.int32) + self.size + 2
-            back = np.concatenate([np.full(4, 10, np.uint32), text])
-            near = [back[4 - n : len(back) - n] for n in range(1, 5)]
-            for n in range(1, 4):  # nothing from before the word
-                near[n] = np.where(near[n - 1] == 10, np.uint32(10), near[n])
-            contexts[0, spell] = (near[0] + np.uint32(1)) * _M2
-            contexts[1, spell] = (near[0] | near[1] << np.uint32(8)) * _M3 + np.uint32(7)
-            packed = near[0] | near[1] << np.uint32(8) | near[2] << np.uint32(16)
-            contexts[2, spell] = (packed | near[3] << np.uint32(24)) * _M1 + np.uint32(11)
-        return symbol, contexts, (int(row[-2]), int(row[-1])), ids, others
+        contexts[0] = 0
+        for context, head in zip(contexts[1:], heads):
+            context[start] = head
+        text = np.frombuffer(b"\n".join(others) + b"\n", np.uint8).astype(np.uint32)
+        symbol[spell] = text.view(np.int32) + np.int32(self.size + 2)
+        back = np.concatenate([np.full(4, 10, np.uint32), text])
+        near = [back[4 - n : len(back) - n] for n in range(1, 5)]
+        for n in range(1, 4):  # nothing from before the word
+            near[n] = np.where(near[n - 1] == 10, np.uint32(10), near[n])
+        contexts[0, spell] = (near[0] + np.uint32(1)) * _M2
+        pair = near[0] | near[1] << np.uint32(8)
+        contexts[1, spell] = pair * _M3 + np.uint32(7)
+        packed = pair | near[2] << np.uint32(16) | near[3] << np.uint32(24)
+        contexts[2, spell] = packed * _M1 + np.uint32(11)
+        return symbol, contexts, last
+
+    def laid_together(self, texts: list[tuple[np.ndarray, list[bytes]]]):
+        """Symbols and contexts of short whole texts one after another, and where each ends."""
+        ids = np.concatenate([i for i, _ in texts])
+        others = [w for _, o in texts for w in o]
+        words = np.cumsum([len(i) for i, _ in texts])
+        symbol, contexts, _ = self.laid(ids, others, (0, 0), np.append(0, words[:-1]))
+        return symbol, contexts, words + np.cumsum([sum(map(len, o)) + len(o) for _, o in texts])
+
+    def chunks(self, texts: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[tuple]:
+        """Symbols and contexts of all texts, at most ``CHUNK`` at a time."""
+        short: list = []
+        held = 0
+        for n, (ids, others) in enumerate(texts):
+            size = len(ids) + sum(map(len, others)) + len(others)
+            if size > CHUNK:
+                laid = ((symbol, contexts) for symbol, contexts, _ in self.parts(ids, others))
+            else:
+                short.append((ids, others))
+                held += size
+                laid = iter(())
+            if short and (held > CHUNK or n + 1 == len(texts)):
+                laid = chain(laid, [self.laid_together(short)[:2]])
+                short, held = [], 0
+            for symbol, contexts in laid:
+                for at in range(0, len(symbol), CHUNK):
+                    yield symbol[at : at + CHUNK], contexts[:, at : at + CHUNK]
+
+    def parts(self, ids: np.ndarray, others: list[bytes]) -> Iterator[tuple]:
+        """``laid`` for about ``_PART`` symbols at a time: (symbols, contexts, last)."""
+        before, at, taken = (0, 0), 0, 0
+        costs = np.ones(len(ids), np.int64)
+        costs[ids < 0] = [len(w) + 2 for w in others]
+        ends = np.cumsum(costs)
+        while at < len(ids):
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + _PART, "right")))
+            part = ids[at:end]
+            rare = int((part < 0).sum())
+            symbol, contexts, before = self.laid(part, others[taken : taken + rare], before)
+            at, taken = end, taken + rare
+            yield symbol, contexts, at == len(ids)
+
+    def without_ids(self) -> Coder:
+        """The same codes without the dictionary, for steps that read stored numbers."""
+        light = copy.copy(self)
+        light.ids = {}
+        return light
 
     def bits(self, symbol: np.ndarray, contexts: np.ndarray):
         """Bits of the symbols: (bits of each symbol, bit, its slot in each table)."""
@@ -240,11 +338,57 @@ def _prefix_code(weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """``docs`` with its texts' words as numbers: ids (int32), and other words by line feed."""
+    at = docs.columns.index("text")
+    names = [*(c for c in docs.columns if c != "text"), "bytes", "ids", "others"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder: Coder = shared.value
+        for batch in common.slices(batches):
+            texts = common.raw_texts(batch.column(at))
+            found = [coder.encoded(text) for text in texts]
+            yield pa.RecordBatch.from_arrays(
+                [c for n, c in enumerate(batch.columns) if n != at]
+                + [
+                    pa.array(map(len, texts), pa.int64()),
+                    pa.array([ids.tobytes() for ids, _ in found], pa.binary()),
+                    pa.array([b"\n".join(others) for _, others in found], pa.binary()),
+                ],
+                names,
+            )
+
+    made = common.extended(docs.drop("text"), bytes="long", ids="binary", others="binary")
+    return docs.mapInArrow(run, made)
+
+
+def _read(ids: list[bytes], others: list[bytes]) -> list[tuple[np.ndarray, list[bytes]]]:
+    """What ``encode`` wrote."""
+    return [
+        (np.frombuffer(i, np.int32), o.split(b"\n") if o else []) for i, o in zip(ids, others)
+    ]
+
+
+def _by_half(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple]]]:
+    """Texts of a batch of (drawn, ids, others) by half."""
+    drawn, ids, others = (c.to_pylist() for c in batch.columns)
+    texts = _read(ids, others)
+    for half in range(2):
+        own = [text for text, at in zip(texts, drawn) if at == half]
+        if own:
+            yield half, own
+
+
 def tables(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     """Stretched probability of a set bit for each slot of the three tables.
 
     Once from all ``docs`` (text, drawn), once from those that are not drawn.
     """
+    return halves(encode(docs.select("text", "drawn"), shared), shared)[:2]
+
+
+def halves(encoded: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tables`` of encoded texts: of all, of those that are not drawn, of those that are."""
     counters = 2 * CONTEXTS * _SLOTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,40 +397,18 @@ def tables(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         # Without a context a word's bits are the same each time: words are counted, and
         # their bits once at the end.
         plain = np.zeros((2, coder.size + 2), np.int64)
-        said: list[np.ndarray] = []
-        sums, keys = both[0], [[] for _ in range(CONTEXTS)]
-        held, now = 0, False
-
-        def flush() -> None:
-            _flush(sums, keys)
-            if said:
-                plain[int(now)] += np.bincount(np.concatenate(said), minlength=coder.size + 2)
-                said.clear()
-
+        one = np.uint32(1)
         for batch in common.slices(batches, 64):
-            # The sample's texts last, so that a batch changes sums once at most.
-            marked = zip(batch.column(1).to_pylist(), common.raw_texts(batch.column(0)))
-            for drawn, text in sorted(marked, key=lambda pair: pair[0]):
-                if drawn != now:
-                    flush()
-                    sums, held, now = both[int(drawn)], 0, drawn
-                before = (0, 0)
-                for words, last in _marked(parts_of(text)):
-                    symbol, contexts, before, _, _ = coder.symbols(words, before, last)
-                    for at in range(0, len(symbol), 1 << 16):
-                        part, around = symbol[at : at + (1 << 16)], contexts[:, at : at + (1 << 16)]
-                        _, bit, slots = coder.bits(part, around[1:])
-                        for key, slot in zip(keys[1:], slots):
-                            key.append((slot << 1) | bit.view(np.int32))
-                        spelled = part >= coder.size + 2
-                        _, letters, slots = coder.bits(part[spelled], around[:1, spelled])
-                        keys[0].append((slots[0] << 1) | letters.view(np.int32))
-                        said.append(part[~spelled])
-                        held += len(bit)
-                        if held > 3_000_000:
-                            flush()
-                            held = 0
-        flush()
+            for half, texts in _by_half(batch):
+                for part, around in coder.chunks(texts):
+                    _, bit, slots = coder.bits(part, around[1:])
+                    spelled = part >= coder.size + 2
+                    for sums, slot in zip(both[half][1:], slots):
+                        np.add.at(sums, (slot << 1) | bit.view(np.int32), one)
+                    np.add.at(plain[half], part[~spelled], 1)
+                    if spelled.any():
+                        _, bit, (slot,) = coder.bits(part[spelled], around[:1, spelled])
+                        np.add.at(both[half][0], (slot << 1) | bit.view(np.int32), one)
         for sums, times in zip(both, plain):
             seen = np.flatnonzero(times)
             for at in range(0, len(seen), 1 << 16):
@@ -324,28 +446,23 @@ def tables(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         if now is not None:
             yield _stretched(now, total)
 
-    made = docs.select("text", "drawn").mapInArrow(count, "block int, drawn boolean, counts binary")
+    made = encoded.select("drawn", "ids", "others").mapInArrow(
+        count, "block int, drawn boolean, counts binary"
+    )
     summed = (
         made.repartition("block").sortWithinPartitions("block")
-        .mapInArrow(add, "block int, whole binary, rest binary")
+        .mapInArrow(add, "block int, whole binary, rest binary, drawn binary")
     )
-    found = np.zeros((2, CONTEXTS * _SLOTS), np.float32)  # a fixed size, whatever the corpus
+    found = np.zeros((3, CONTEXTS * _SLOTS), np.float32)  # a fixed size, whatever the corpus
     for row in summed.toLocalIterator():
         start = row["block"] * (_BLOCK // 2)
-        for table, name in zip(found, ("whole", "rest")):
+        for table, name in zip(found, ("whole", "rest", "drawn")):
             table[start : start + _BLOCK // 2] = np.frombuffer(row[name], np.float32)
-    return tuple(found.reshape(2, CONTEXTS, _SLOTS))
-
-
-def _flush(sums: np.ndarray, keys: list[list]) -> None:
-    for row, key in zip(sums, keys):
-        if key:
-            row += np.bincount(np.concatenate(key), minlength=len(row)).astype(np.uint32)
-            key.clear()
+    return tuple(found.reshape(3, CONTEXTS, _SLOTS))
 
 
 def _stretched(block: int, counts: np.ndarray) -> pa.RecordBatch:
-    """Of a block's counts (of the rest, of the sample): those of all, and of the rest."""
+    """Of a block's counts by half: those of all, and of each half."""
 
     def values(of: np.ndarray) -> pa.Array:
         zeros, ones = of[0::2].astype(np.float64), of[1::2].astype(np.float64)
@@ -353,8 +470,8 @@ def _stretched(block: int, counts: np.ndarray) -> pa.RecordBatch:
         return pa.array([stretched.tobytes()], pa.binary())
 
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int32()), values(counts.sum(0)), values(counts[0])],
-        ["block", "whole", "rest"],
+        [pa.array([block], pa.int32()), values(counts.sum(0)), *map(values, counts)],
+        ["block", "whole", "rest", "drawn"],
     )
 
 
@@ -367,6 +484,47 @@ def _marked(parts: Iterator[list[bytes]]) -> Iterator[tuple[list[bytes], bool]]:
     yield held, True
 
 
+def classes(table: np.ndarray) -> np.ndarray:
+    """The class of each stretched probability: zero in the middle, its sign on either side."""
+    size = np.searchsorted(CLASS_ENDS, np.abs(table), "left") + 1
+    return (CLASSES // 2 + np.where(table == 0, 0, np.where(table > 0, size, -size))).astype(np.uint8)
+
+
+def lessons(encoded: DataFrame, shared, others_tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many bits of all training texts have each kind of symbol, classes of inputs, and value.
+
+    ``others_tables``: for texts that are not drawn, and for drawn ones, the tables of the
+    other half.
+    """
+    spark = encoded.sparkSession
+    kinds = spark.sparkContext.broadcast(np.stack([classes(t) for t in others_tables]))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder: Coder = shared.value
+        sums = np.zeros(CELLS, np.int64)
+        for batch in common.slices(batches, 64):
+            for half, texts in _by_half(batch):
+                for part, around in coder.chunks(texts):
+                    lengths, bit, slots = coder.bits(part, around)
+                    cell = np.repeat((part >= coder.size + 2).astype(np.int32), lengths)
+                    for values, slot in zip(kinds.value[half], slots):
+                        cell *= CLASSES
+                        cell += values.take(slot, mode="clip")
+                    cell <<= 1
+                    cell |= bit.view(np.int32)
+                    np.add.at(sums, cell, 1)
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.int32()), pa.array(sums[seen], pa.int64())], ["cell", "n"]
+        )
+
+    made = encoded.select("drawn", "ids", "others").mapInArrow(count, "cell int, n long")
+    total = np.zeros(CELLS, np.int64)
+    rows = made.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    total[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return total
+
+
 class Mixer:
     """Weights by gate and a correction by level, for each of several texts."""
 
@@ -379,10 +537,13 @@ class Mixer:
     def start(self, lanes: int) -> list[np.ndarray]:
         return [np.tile(w, lanes) for w in self.weights] + [np.tile(self.levels, lanes)]
 
-    def step(self, state, lanes: np.ndarray, sizes: list[int], symbol, contexts) -> np.ndarray:
+    def step(
+        self, state, lanes: np.ndarray, sizes: list[int], symbol, contexts, learn: bool = True
+    ) -> np.ndarray:
         """Log probabilities (natural) of the symbols of each lane; updates the state.
 
-        ``sizes`` are the symbols of each of ``lanes``, one after another.
+        ``sizes`` are the symbols of each of ``lanes``, one after another. Where no symbol
+        follows, the state need not ``learn``.
         """
         lengths, bit, slots = self.coder.bits(symbol, contexts)
         inputs = [t.take(s, mode="clip") for t, s in zip(self.table, slots)]
@@ -405,6 +566,8 @@ class Mixer:
         found = np.add.reduceat(
             np.log(np.maximum(right, 1e-7)), np.cumsum([0, *per_lane[:-1]]), dtype=np.float64
         )
+        if not learn:
+            return found
         error = sign * (1 - right)
         gates, all_levels = len(state[0]), len(state[-1])
         scale = RATE / np.maximum(1, np.bincount(at, minlength=gates) / 512)
@@ -415,51 +578,61 @@ class Mixer:
         state[-1] += (np.bincount(level, error, all_levels) * scale).astype(np.float32)
         return found
 
-    def teach(self, texts: list[bytes], rounds: int = 2) -> None:
-        """Starting weights from sample texts, one after another."""
-        state = self.start(1)
-        for _ in range(rounds):
-            for text in texts:
-                before = (0, 0)
-                for words, last in _marked(parts_of(text)):
-                    symbol, contexts, before, _, _ = self.coder.symbols(words, before, last)
-                    for at in range(0, len(symbol), 4 * STEP):
-                        part = slice(at, at + 4 * STEP)
-                        size = len(symbol[part])
-                        lane = np.zeros(1, np.int32)
-                        self.step(state, lane, [size], symbol[part], contexts[:, part])
-        self.weights = np.stack(state[:-1])
-        self.levels = state[-1]
+    def teach(self, counts: np.ndarray) -> None:
+        """Starting weights and corrections that fit the bits counted by ``lessons`` best.
+
+        Newton's method for each gate, and then for each level; weights that too few bits
+        say anything about stay near where they were.
+        """
+        middles = np.concatenate([-CLASS_MIDDLES[::-1], [0], CLASS_MIDDLES])
+        zeros, ones = counts.reshape(-1, 2).T.astype(np.float64)
+        spelled, *inputs = np.unravel_index(np.arange(len(ones)), (2,) + (CLASSES,) * CONTEXTS)
+        x = np.stack([*(middles[i] for i in inputs), np.ones(len(ones))])
+        sure = [(np.abs(v) > 0).astype(int) + (np.abs(v) > 2) for v in x[1:CONTEXTS]]
+        gate = sure[0] + 3 * sure[1] + 9 * spelled
+        mixed = np.zeros(len(ones))
+        seen = zeros + ones > 0
+        for n in range(GATES):
+            here = np.flatnonzero((gate == n) & seen)
+            fitted = _fitted(x[:, here], zeros[here], ones[here], self.weights[:, n])
+            self.weights[:, n] = fitted
+            mixed[here] = np.clip(fitted @ x[:, here], -11.5, 11.5)
+        level = (mixed + 12).astype(int)
+        for n in range(LEVELS):
+            here = np.flatnonzero((level == n) & seen)
+            one = np.ones((1, len(here)))
+            self.levels[n] = _fitted(one, zeros[here], ones[here], np.zeros(1), mixed[here])[0]
 
     def score(self, texts: list[bytes]) -> list[tuple]:
         """(natural log probability, tokens, ids of dictionary words, other words) of each text."""
-        results: list[tuple] = [()] * len(texts)
+        return self.score_encoded([self.coder.encoded(text) for text in texts])
+
+    def score_encoded(self, texts: list[tuple[np.ndarray, list[bytes]]]) -> list[tuple]:
+        """``score`` of what ``Coder.encoded`` makes of texts."""
+        totals: list[float] = [0.0] * len(texts)
         # Texts of like length side by side, so that few wait for a long one.
-        short = sorted((n for n, t in enumerate(texts) if len(t) <= _PART), key=lambda n: len(texts[n]))
+        sizes = [len(ids) + sum(map(len, others)) + len(others) for ids, others in texts]
+        short = sorted((n for n, size in enumerate(sizes) if size <= _PART // 4), key=sizes.__getitem__)
         for at in range(0, len(short), LANES):
             group = short[at : at + LANES]
-            coded = [self.coder.symbols(texts[n].lower().split(), (0, 0), True) for n in group]
-            state = self.start(len(group))
-            totals = np.zeros(len(group))
-            self._run(state, coded, totals)
+            state, found = self.start(len(group)), np.zeros(len(group))
+            symbol, contexts, ends = self.coder.laid_together([texts[n] for n in group])
+            cuts = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends)]
+            self._run(state, [(symbol[cut], contexts[:, cut]) for cut in cuts], found)
             for lane, n in enumerate(group):
-                results[n] = totals[lane], len(coded[lane][3]), [coded[lane][3]], coded[lane][4]
-        for n, text in enumerate(texts):
-            if len(text) > _PART:
-                state, before, total, done, rest = self.start(1), (0, 0), np.zeros(1), 0, None
-                ids, others = [], []
-                for words, last in _marked(parts_of(text)):
-                    symbol, contexts, before, found, more = self.coder.symbols(words, before, last)
+                totals[n] = found[lane]
+        for n, (ids, others) in enumerate(texts):
+            if sizes[n] > _PART // 4:
+                state, total, done, rest = self.start(1), np.zeros(1), 0, None
+                for symbol, contexts, last in self.coder.parts(ids, others):
                     if rest is not None:
                         symbol = np.concatenate([rest[0], symbol])
                         contexts = np.concatenate([rest[1], contexts], axis=1)
                     at = self._run(state, [(symbol, contexts)], total, done, last)
                     # Symbols short of a stride wait for the next part's.
                     done, rest = done + at, (symbol[at:], contexts[:, at:])
-                    ids.append(found)
-                    others += more
-                results[n] = total[0], sum(map(len, ids)), ids, others
-        return results
+                totals[n] = total[0]
+        return [(total, len(ids), [ids], others) for total, (ids, others) in zip(totals, texts)]
 
     def _run(self, state, coded, totals, done: int = 0, last: bool = True) -> int:
         """Adds to ``totals`` what the symbols of each lane get, ``done`` symbols into their texts.
@@ -472,16 +645,47 @@ class Mixer:
             if end > longest and not last:
                 return at
             lanes = [n for n, c in enumerate(coded) if len(c[0]) > at]
-            symbol = [coded[n][0][at:end] for n in lanes]
-            contexts = np.concatenate([coded[n][1][:, at:end] for n in lanes], axis=1)
+            # Lanes don't touch each other: so many at once that arrays stay in the cache.
+            width = max(1, CHUNK // (end - at))
+            for some in range(0, len(lanes), width):
+                own = lanes[some : some + width]
+                learn = not last or max(len(coded[n][0]) for n in own) > end
+                symbol = [coded[n][0][at:end] for n in own]
+                contexts = np.concatenate([coded[n][1][:, at:end] for n in own], axis=1)
+                totals[own] += self.step(
+                    state, np.array(own, np.int32), list(map(len, symbol)),
+                    np.concatenate(symbol), contexts, learn,
+                )
             at = end
-            which = np.array(lanes, np.int32)
-            totals[which] += self.step(
-                state, which, list(map(len, symbol)), np.concatenate(symbol), contexts
-            )
         return longest
 
 
+def _fitted(x, zeros, ones, start, offset=0.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression on counted rows, held weakly at ``start``."""
+    start = start.astype(np.float64)
+    weights = start.copy()
+    many = zeros + ones
+
+    def loss(at: np.ndarray) -> float:
+        sums = at @ x + offset
+        surprise = ones * np.logaddexp(0, -sums) + zeros * np.logaddexp(0, sums)
+        return float(surprise.sum() + ((at - start) ** 2).sum() / 2)
+
+    now = loss(weights)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(weights @ x + offset, -30, 30)))
+        slope = x @ (ones - many * p) - (weights - start)
+        curve = (x * (many * p * (1 - p))) @ x.T + np.eye(len(x))
+        move = np.linalg.solve(curve, slope)
+        # A full step may overshoot where predictions are far off.
+        while (after := loss(weights + move)) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        if after >= now:
+            break
+        weights, now = weights + move, after
+    return weights
+
+
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """Scores of all ``docs`` under a model of those that ``training`` admits.
 
@@ -502,18 +706,16 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     words = frequent(counts, DICTIONARY)
     covered = sum(c for _, c in words)
     coder = Coder(words, row["ends"], row["tokens"] - row["ends"] - covered)
-    share = min(SHARE, SAMPLE / max(1, row["ends"]))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
-    # Weights are taught on tables without the sample; scores are from tables of all texts.
-    drawn = F.coalesce(drawn & (F.octet_length("text") <= _PART), F.lit(False)).alias("drawn")
+    # Copies of a text are in one half.
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < int(SHARE * (1 << 30))
+    rows = wide.select(F.col("doc_id").cast("long"), "text", "training", drawn.alias("drawn"))
+    encoded = common.stored(encode(rows, spark.sparkContext.broadcast(coder)), "encoded")
+    taught = encoded.where("training")
+    coder = coder.without_ids()
     shared_coder = spark.sparkContext.broadcast(coder)
-    whole, rest = tables(learned.select("text", drawn), shared_coder)
-    mixer = Mixer(rest, coder)
-    sample = learned.where(drawn).select("text")
-    # Copies of a drawn text are drawn with it; each counts once.
-    texts = sorted(r["text"].encode() for r in sample.distinct().collect())
-    mixer.teach(texts)
-    mixer.table = whole
+    whole, rest, other = halves(taught, shared_coder)
+    mixer = Mixer(whole, coder)
+    mixer.teach(lessons(taught, shared_coder, (other, rest)))
     shared = spark.sparkContext.broadcast(mixer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,38 +723,44 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         counts = mixer.coder.counts
         logs = np.log10(counts + 1.0)
-        known: dict[bytes, tuple] = {}
+        known: dict[tuple, tuple] = {}
+        size = 0
         for batch in common.slices(batches, 4 * LANES):
-            texts = common.raw_texts(batch.column(1))
+            doc_ids, training, lengths, *coded = batch.columns
+            texts = list(zip(*(c.to_pylist() for c in coded)))
             columns: list[list] = [[] for _ in range(8)]
             # A text's score depends on nothing else, so copies are scored once.
             new = [t for t in dict.fromkeys(texts) if t not in known]
-            for text, (total, tokens, ids, others) in zip(new, mixer.score(new)):
-                found = np.concatenate(ids)
-                found = found[found >= 0]
+            scores = mixer.score_encoded(_read(*zip(*new))) if new else []
+            for text, (total, tokens, [ids], others) in zip(new, scores):
+                found = ids[ids >= 0]
                 rare = Counter(others)
                 known[text] = (
                     tokens, int((counts[found] > 0).sum()), float(logs[found].sum()),
-                    float(total) / np.log(10), len(text), list(rare), list(rare.values()),
+                    float(total) / np.log(10), list(rare), list(rare.values()),
                 )
-            for text in texts:
-                for column, value in zip(columns, ((part << 33) + n, *known[text])):
-                    column.append(value)
+                size += len(text[0]) + len(text[1])
+            for text, length in zip(texts, lengths.to_pylist()):
+                tokens, seen, add, total, rare, times = known[text]
+                value = (part << 33) + n, tokens, seen, add, total, length, rare, times
+                for column, cell in zip(columns, value):
+                    column.append(cell)
                 n += 1
-            if sum(map(len, known)) > REMEMBERED_BYTES:
+            if size > REMEMBERED_BYTES:
                 known.clear()
+                size = 0
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [
                 pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2)]
+                [doc_ids, training]
                 + [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["doc_id", "training", "row", "n_tokens", "known", "logs", "score", "bytes",
                  "rare", "times"],
             )
 
     scored = common.stored(
-        wide.select(F.col("doc_id").cast("long"), "text", "training").mapInArrow(
+        encoded.select("doc_id", "training", "bytes", "ids", "others").mapInArrow(
             run,
             "doc_id long, training boolean, row long, n_tokens long, known long, logs double, "
             "score double, bytes long, rare array<binary>, times array<long>",
