@@ -40,6 +40,8 @@ RIDGE = 1e-3
 #: Parts of a language that are drawn from before the language is.
 PARTS = 64
 UNKNOWN = "und"
+#: Texts whose presence matrix is held at once; a row has up to a megabyte.
+ROWS = 8
 #: Characters that are hashed at once.
 CHUNK = 1 << 18
 
@@ -146,7 +148,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
-        for batch in common.slices(batches, 64):
+        for batch in common.slices(batches, ROWS):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [n for n, text in enumerate(texts) if model and has_letter(text)]

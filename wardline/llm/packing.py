@@ -40,9 +40,10 @@ END_ID = 2
 #: First numbers of sequences completed from several workers, and of those of the rest;
 #: below them, each worker has a billion of its own. All fit a double exactly.
 COMPLETED, REST = 1 << 51, 3 << 50
-#: Words whose ids a Python worker remembers; beyond that it starts anew. Words of more
-#: bytes than the second number are tokenized each time.
-REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
+#: Words whose ids a Python worker remembers; beyond that it starts anew. They stay with the
+#: worker, which later steps use as well: about 200 bytes each. Words of more bytes than
+#: the second number are tokenized each time.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 
 PIECES = (
     "part int, bin long, nth int, offset int, doc_id long, start long, length int, "
@@ -90,6 +91,8 @@ class Words(dict):
         else:
             ids = self._encoded(word)
         if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -113,8 +116,6 @@ class Words(dict):
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self) > REMEMBERED:
-            self.clear()
         for text in texts:
             yield b"".join(map(self.__getitem__, self.split(text)))
 
