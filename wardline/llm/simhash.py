@@ -291,11 +291,14 @@ def first_rows(marked: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFram
     least = keys.groupBy(F.coalesce("root", "mark").alias("group")).agg(
         F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("least")
     )
-    wanted = least.select(F.col("least.mark").alias("wanted"), F.col("least.id").alias("id"))
-    kept = marked.join(wanted, (F.col("mark") == F.col("wanted")) & F.col(key).eqNullSafe(F.col("id")))
-    # Only repeated rows can still share a group; they meet in map-side minima.
+    wanted = least.select(F.struct("least.mark", "least.id").alias("place"))
+    # As a struct, in which nulls are equal: a null-safe comparison would be dealt by
+    # expressions of its own, and whole rows would be dealt once more to be grouped.
+    placed = marked.withColumn("place", F.struct("mark", F.col(key).alias("id")))
+    kept = placed.join(wanted, "place")
+    # A group has one place, so only repeated rows can still share it: they are together.
     row = F.struct(*[f"c{n}" for n in range(len(docs.columns))])
-    first = kept.groupBy("wanted").agg(F.min(row).alias("row")).select("row.*")
+    first = kept.groupBy("place").agg(F.min(row).alias("row")).select("row.*")
     return common.renamed(first, docs)
 
 
