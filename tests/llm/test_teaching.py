@@ -59,3 +59,35 @@ def test_scores_are_the_same_in_any_partitions(spark):
         for d in (docs.coalesce(1), docs.repartition(5))
     )
     assert all(abs(one[n] - many[n]) < 1e-6 * max(1, abs(one[n])) for n in one)
+
+
+def test_layers_are_the_bits_in_another_order():
+    """What is counted is told without a repeat for each bit, short and long symbols alike."""
+    draw = np.random.default_rng(3)
+    words = sorted((f"w{n}".encode(), 2 ** (n % 12) + 1) for n in range(90))
+    coder = contextmix.Coder(words, 40, 9)
+    for size in (1, 2, 500):
+        symbol = draw.integers(0, len(coder.lengths), size).astype(np.int32)
+        contexts = draw.integers(0, 1 << 32, (3, size), np.uint32)
+        kind = (symbol >= coder.size + 2).astype(np.int32)
+        lengths, bit, slots = coder.bits(symbol, contexts)
+        want = sorted(zip(np.repeat(kind, lengths).tolist(), bit.tolist(), *(s.tolist() for s in slots)))
+        found, bit, slots = coder.layers(symbol, contexts, kind)
+        assert sorted(zip(found.tolist(), bit.tolist(), *(s.tolist() for s in slots))) == want
+
+
+def test_texts_that_end_learn_nothing_more():
+    """Work on weights is for texts that go on, also beside others; those learn as alone."""
+    draw = np.random.default_rng(5)
+    coder = contextmix.Coder(sorted((f"w{n}".encode(), n + 2) for n in range(30)), 4, 3)
+    mixer = contextmix.Mixer(draw.normal(0, 1.5, (3, contextmix._SLOTS)).astype(np.float32), coder)
+    symbol = draw.integers(0, coder.size, 60).astype(np.int32)
+    contexts = draw.integers(0, 1 << 32, (3, 60), np.uint32)
+    state = mixer.start(2)
+    both = mixer.step(state, np.array([0, 1], np.int32), [20, 40], symbol, contexts, 1)
+    alone = mixer.start(1)
+    later = mixer.step(alone, np.array([0], np.int32), [40], symbol[20:], contexts[:, 20:])
+    assert np.isclose(both[1], later[0])
+    for two, one, start in zip(state, alone, mixer.start(1)):
+        assert np.array_equal(two[: len(start)], start)
+        assert np.array_equal(two[len(start) :], one) and not np.array_equal(one, start)

@@ -68,7 +68,7 @@ CLASS_MIDDLES = np.array([0.125, 0.375, 0.75, 1.25, 1.75, 2.25, 2.75, 3.5, 4.5,
 CLASSES = 2 * len(CLASS_MIDDLES) + 1
 CELLS = 4 * CLASSES**CONTEXTS
 #: Symbols that are made bits of at once.
-CHUNK = 1 << 12
+CHUNK = 1 << 14
 END = b"\n"
 _SLOTS = 1 << SLOT_BITS
 _BLOCK = 1 << 16
@@ -286,20 +286,53 @@ class Coder:
         total = int(lengths.sum())
         left = np.repeat(np.cumsum(lengths, dtype=np.int32), lengths)
         left -= np.arange(total, dtype=np.int32)
-        left = left.view(np.uint32)
         code = np.repeat(self.codes[symbol], lengths)
-        prefix = code >> left  # codes have under 32 bits
-        node = (prefix ^ (left * _M3)) * _M1 + np.repeat(lengths.view(np.uint32), lengths)
-        bit = (code >> (left - np.uint32(1))) & np.uint32(1)
-        slots = []
-        for context in contexts:
-            slot = np.repeat(context, lengths)
-            slot ^= node
-            slot ^= slot >> np.uint32(15)
-            slot *= _M2
-            slot >>= np.uint32(32 - SLOT_BITS)
-            slots.append(slot.view(np.int32))
-        return lengths, bit, slots
+        around = (np.repeat(context, lengths) for context in contexts)
+        return lengths, *_slots(code, left.view(np.uint32), np.repeat(lengths.view(np.uint32), lengths), around)
+
+    def layers(self, symbol: np.ndarray, contexts: np.ndarray, kind: np.ndarray):
+        """``bits`` in another order, for counts: the symbols' first bits, their second ones
+        and so on. Returns (``kind`` of the symbol of each bit, bit, its slot in each table).
+
+        Symbols are put in order of length, so a layer is the first of them, as they are.
+        """
+        lengths = self.lengths[symbol].astype(np.uint8)
+        order = np.argsort(~lengths, kind="stable")  # of bytes: by counting
+        symbol, lengths = symbol[order], lengths[order].astype(np.uint32)
+        longer = len(symbol) - np.cumsum(np.bincount(lengths))
+        sizes = longer[longer > 0].tolist()
+
+        def spread(values: np.ndarray) -> np.ndarray:
+            return np.concatenate([values[:size] for size in sizes])
+
+        lengths = spread(lengths)
+        left = lengths - np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        around = (spread(context[order]) for context in contexts)
+        return spread(kind[order]), *_slots(spread(self.codes[symbol]), left, lengths, around)
+
+
+def _slots(code: np.ndarray, left: np.ndarray, lengths: np.ndarray, contexts) -> tuple:
+    """(bit, its slot in each table) of bits with so many ``left`` of their symbols' codes.
+
+    Writes over its arguments.
+    """
+    node = code >> left  # codes have under 32 bits
+    more = left * _M3
+    node ^= more
+    node *= _M1
+    node += lengths
+    left -= np.uint32(1)
+    code >>= left
+    code &= np.uint32(1)
+    slots = []
+    for slot in contexts:
+        slot ^= node
+        np.right_shift(slot, np.uint32(15), out=more)
+        slot ^= more
+        slot *= _M2
+        slot >>= np.uint32(32 - SLOT_BITS)
+        slots.append(slot.view(np.int32))
+    return code, slots
 
 
 def _prefix_code(weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -401,14 +434,16 @@ def halves(encoded: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for batch in common.slices(batches, 64):
             for half, texts in _by_half(batch):
                 for part, around in coder.chunks(texts):
-                    _, bit, slots = coder.bits(part, around[1:])
                     spelled = part >= coder.size + 2
-                    for sums, slot in zip(both[half][1:], slots):
-                        np.add.at(sums, (slot << 1) | bit.view(np.int32), one)
+                    letter, bit, slots = coder.layers(part, around, spelled)
+                    bit = bit.view(np.int32)
+                    for sums, slot in zip(both[half][1:], slots[1:]):
+                        slot <<= 1
+                        slot |= bit
+                        np.add.at(sums, slot, one)
                     np.add.at(plain[half], part[~spelled], 1)
-                    if spelled.any():
-                        _, bit, (slot,) = coder.bits(part[spelled], around[:1, spelled])
-                        np.add.at(both[half][0], (slot << 1) | bit.view(np.int32), one)
+                    if letter.any():
+                        np.add.at(both[half][0], (slots[0][letter] << 1) | bit[letter], one)
         for sums, times in zip(both, plain):
             seen = np.flatnonzero(times)
             for at in range(0, len(seen), 1 << 16):
@@ -505,8 +540,8 @@ def lessons(encoded: DataFrame, shared, others_tables: tuple[np.ndarray, np.ndar
         for batch in common.slices(batches, 64):
             for half, texts in _by_half(batch):
                 for part, around in coder.chunks(texts):
-                    lengths, bit, slots = coder.bits(part, around)
-                    cell = np.repeat((part >= coder.size + 2).astype(np.int32), lengths)
+                    spelled = (part >= coder.size + 2).astype(np.int32)
+                    cell, bit, slots = coder.layers(part, around, spelled)
                     for values, slot in zip(kinds.value[half], slots):
                         cell *= CLASSES
                         cell += values.take(slot, mode="clip")
@@ -538,37 +573,40 @@ class Mixer:
         return [np.tile(w, lanes) for w in self.weights] + [np.tile(self.levels, lanes)]
 
     def step(
-        self, state, lanes: np.ndarray, sizes: list[int], symbol, contexts, learn: bool = True
+        self, state, lanes: np.ndarray, sizes: list[int], symbol, contexts, ended: int = 0
     ) -> np.ndarray:
         """Log probabilities (natural) of the symbols of each lane; updates the state.
 
-        ``sizes`` are the symbols of each of ``lanes``, one after another. Where no symbol
-        follows, the state need not ``learn``.
+        ``sizes`` are the symbols of each of ``lanes``, one after another. Of the first
+        lanes so many have ``ended``: no symbol follows, so their state need not learn.
         """
         lengths, bit, slots = self.coder.bits(symbol, contexts)
         inputs = [t.take(s, mode="clip") for t, s in zip(self.table, slots)]
         sure = [np.abs(x) for x in inputs[1:]]
         gate = (sure[0] > 0).view(np.int8) + (sure[0] > 2).view(np.int8)
         gate = gate + np.int8(3) * ((sure[1] > 0).view(np.int8) + (sure[1] > 2).view(np.int8))
-        spelled = (symbol >= self.coder.size + 2).astype(np.int32) * 9
+        spelled = (symbol >= self.coder.size + 2).astype(np.intp) * 9
         own = np.repeat(lanes * GATES, sizes) + spelled
-        at = (np.repeat(own, lengths) + gate).astype(np.intp)
+        at = np.repeat(own, lengths)
+        at += gate
+        per_lane = np.add.reduceat(lengths, np.cumsum([0, *sizes[:-1]]))
         mixed = state[CONTEXTS].take(at, mode="clip")
         for weight, x in zip(state, inputs):
             mixed += weight.take(at, mode="clip") * x
         np.clip(mixed, -11.5, 11.5, out=mixed)
-        level = np.repeat(np.repeat(lanes * LEVELS, sizes).astype(np.intp), lengths)
+        level = np.repeat((lanes * LEVELS).astype(np.intp), per_lane)
         level += (mixed + 12).astype(np.int8)
         mixed += state[CONTEXTS + 1].take(level, mode="clip")
         sign = bit.astype(np.float32) * 2 - 1
         right = 1 / (1 + np.exp(-sign * mixed))
-        per_lane = np.add.reduceat(lengths, np.cumsum([0, *sizes[:-1]]))
         found = np.add.reduceat(
             np.log(np.maximum(right, 1e-7)), np.cumsum([0, *per_lane[:-1]]), dtype=np.float64
         )
-        if not learn:
+        if ended == len(sizes):
             return found
-        error = sign * (1 - right)
+        going = slice(int(per_lane[:ended].sum()), None)
+        error = sign[going] * (1 - right[going])
+        at, level, inputs = at[going], level[going], [x[going] for x in inputs]
         gates, all_levels = len(state[0]), len(state[-1])
         scale = RATE / np.maximum(1, np.bincount(at, minlength=gates) / 512)
         for weight, x in zip(state, [*inputs, None]):
@@ -649,12 +687,13 @@ class Mixer:
             width = max(1, CHUNK // (end - at))
             for some in range(0, len(lanes), width):
                 own = lanes[some : some + width]
-                learn = not last or max(len(coded[n][0]) for n in own) > end
+                more = (k for k, n in enumerate(own) if not last or len(coded[n][0]) > end)
+                ended = next(more, len(own))
                 symbol = [coded[n][0][at:end] for n in own]
                 contexts = np.concatenate([coded[n][1][:, at:end] for n in own], axis=1)
                 totals[own] += self.step(
                     state, np.array(own, np.int32), list(map(len, symbol)),
-                    np.concatenate(symbol), contexts, learn,
+                    np.concatenate(symbol), contexts, ended,
                 )
             at = end
         return longest
