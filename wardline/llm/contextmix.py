@@ -41,6 +41,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ SHARE = 0.5
 #: were, up to the second number.
 STEP, LONG_STEP = 256, 2048
 #: Texts that are scored side by side.
-LANES = 48
+LANES = 256
 #: Bytes of texts whose scores a task remembers for copies.
 REMEMBERED_BYTES = 8_000_000
 RATE, REFINE = 0.004, 0.02
@@ -67,8 +68,16 @@ CLASS_ENDS = np.array([0.25, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6.5, 8.5], np.float32
 CLASS_MIDDLES = np.array([0.125, 0.375, 0.75, 1.25, 1.75, 2.25, 2.75, 3.5, 4.5, 5.75, 7.5, 9.5])
 CLASSES = 2 * len(CLASS_MIDDLES) + 1
 CELLS = 4 * CLASSES**CONTEXTS
-#: Symbols that are made bits of at once.
-CHUNK = 1 << 14
+#: Symbols that are made bits of at once to count them, and to score them. A table is read
+#: and written all over, and is quickest to reach while no other is: slots are looked up or
+#: counted many at a time (``GATHERED_SLOTS``), and mixed by ``BLOCK`` bits.
+CHUNK, WIDE = 1 << 14, 1 << 16
+GATHERED_SLOTS, BLOCK = 1 << 20, 1 << 15
+#: Bytes of texts that are cut into words at once, and of numbers of words scored at once:
+#: many texts, so that those side by side are of like length.
+SLAB, GROUP = 1 << 23, 1 << 21
+#: Rows of word counts that a task gathers before it adds them up.
+GATHERED = 800_000
 END = b"\n"
 _SLOTS = 1 << SLOT_BITS
 _BLOCK = 1 << 16
@@ -90,33 +99,80 @@ def parts_of(text: bytes) -> Iterator[list[bytes]]:
             return
 
 
+def slabs(batch: pa.RecordBatch, by: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose cells of column ``by`` are of ``most`` bytes together; a longer one alone."""
+    column = batch.column(by)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def is_long(texts: pa.Array) -> bool:
+    """Whether a slab is one text that is better read in parts."""
+    return len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > SLAB
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of texts, the place there of each word, and where each text's words end.
+
+    Words as ``parts_of`` has them, a null text without any.
+    """
+    kind = pa.large_string() if pa.types.is_large_string(texts.type) else pa.string()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, pa.scalar("", kind))))
+    coded = split.flatten().dictionary_encode()
+    place, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+    # White space at either end of a text leaves an empty word there.
+    empty = pc.index(coded.dictionary, pa.scalar("", kind)).as_py()
+    if empty >= 0:
+        kept = place != empty
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        place = place[kept]
+    return coded.dictionary.cast(pa.binary()), place, ends[1:]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c) of all tokens, the end of a text written as a line feed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, rows = [], 0
         for batch in batches:
-            for text in common.raw_texts(batch.column(0)):
-                for words in parts_of(text):
-                    counts.update(words)
-                counts[END] += 1
-            if len(counts) > 400_000:
-                yield from _counted(counts)
-                counts.clear()
-        yield from _counted(counts)
+            for [texts] in slabs(batch, 0, SLAB):
+                if is_long(texts):
+                    [text] = common.raw_texts(texts)
+                    more = (_counted(*zip(*Counter(p).items())) for p in parts_of(text) if p)
+                else:
+                    words, place, _ = words_of(texts)
+                    more = [_counted(words, np.bincount(place, minlength=len(words)))]
+                for counts in chain(more, [_counted([END], [len(texts)])]):
+                    held.append(counts)
+                    rows += len(counts)
+                    if rows > GATHERED:
+                        held = [_added(held)]
+                        rows = len(held[0])
+                    if rows > GATHERED // 2 and len(held) == 1:
+                        yield from held[0].to_batches(20_000)
+                        held, rows = [], 0
+        if held:
+            yield from _added(held).to_batches(20_000)
 
     each = docs.select("text").mapInArrow(run, "word binary, n long")
     return each.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _counted(counts: Counter) -> Iterator[pa.RecordBatch]:
-    words, numbers = list(counts), list(counts.values())
-    for at in range(0, len(words), 20_000):
-        part = slice(at, at + 20_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words[part], pa.binary()), pa.array(numbers[part], pa.int64())],
-            ["word", "n"],
-        )
+def _counted(words, numbers) -> pa.Table:
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    counts = pa.table({"word": words.cast(pa.binary()), "n": pa.array(numbers, pa.int64())})
+    return counts.filter(pc.field("n") > 0)
+
+
+def _added(counts: list[pa.Table]) -> pa.Table:
+    """Counts of each word, added up."""
+    grouped = pa.concat_tables(counts).group_by("word", use_threads=False)
+    return grouped.aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -142,6 +198,52 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist()))
 
 
+class Counts:
+    """Counts of slots in 16 bits each, which halves what is reached into all over.
+
+    Half of a count near its end is noted apart.
+    """
+
+    def __init__(self, slots: int):
+        self.low = np.zeros(slots, np.uint16)
+        self.high: list[np.ndarray] = []
+        self.room = 0xFFFF
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.held.append(slots)
+        self.size += len(slots)
+        if self.size >= GATHERED_SLOTS:
+            self._count()
+
+    def _count(self) -> None:
+        for slots in self.held:
+            at = 0
+            while at < len(slots):
+                if not self.room:
+                    if (top := int(self.low.max())) >> 15:
+                        full = np.flatnonzero(self.low >= np.uint16(1 << 15))
+                        self.low[full] -= np.uint16(1 << 15)
+                        self.high.append(full)
+                        top = int(self.low.max())
+                    self.room = 0xFFFF - top
+                # Not even if all of these were one slot would it run over.
+                part = slots[at : at + self.room]
+                np.add.at(self.low, part, np.uint16(1))
+                at += len(part)
+                self.room -= len(part)
+        self.held, self.size = [], 0
+
+    def total(self) -> np.ndarray:
+        """All counts, as uint32."""
+        self._count()
+        total = self.low.astype(np.uint32)
+        for full in self.high:
+            total[full] += np.uint32(1 << 15)
+        return total
+
+
 class Coder:
     """Prefix codes of dictionary words, the escape, the end, and the bytes of other words."""
 
@@ -180,6 +282,26 @@ class Coder:
             return parts[0]
         return np.concatenate([ids for ids, _ in parts]), [w for _, o in parts for w in o]
 
+    def encoded_together(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """``numbers`` of each of several whole texts: ids (int32), and other words by line feed."""
+        if is_long(texts):
+            ids, others = self.encoded(*common.raw_texts(texts))
+            return pa.array([ids.tobytes()], pa.binary()), pa.array([b"\n".join(others)], pa.binary())
+        words, place, ends = words_of(texts)
+        # One text of all words, cut again: quicker than an object for each.
+        spelled = _lines(words, np.array([0, len(words)]))[0].as_py().split(b"\n")
+        known = np.fromiter(map(self.ids.get, spelled, repeat(-1)), np.int32, len(spelled))
+        ids = known[place]
+        rare = ids < 0
+        before = np.concatenate([[0], np.cumsum(rare)])[np.append(0, ends)]
+        others = _lines(words.take(pa.array(place[rare])), before)
+        ids = np.insert(ids, ends, np.int32(self.size + 1))
+        starts = 4 * np.append(0, ends + np.arange(1, len(ends) + 1))
+        numbers = pa.Array.from_buffers(
+            pa.binary(), len(ends), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(ids)]
+        )
+        return numbers, others.cast(pa.binary())
+
     def laid(
         self, ids: np.ndarray, others: list[bytes], before: tuple[int, int],
         starts: np.ndarray | None = None,
@@ -241,7 +363,7 @@ class Coder:
         return symbol, contexts, words + np.cumsum([sum(map(len, o)) + len(o) for _, o in texts])
 
     def chunks(self, texts: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[tuple]:
-        """Symbols and contexts of all texts, at most ``CHUNK`` at a time."""
+        """Symbols and contexts of all texts, about ``CHUNK`` at a time."""
         short: list = []
         held = 0
         for n, (ids, others) in enumerate(texts):
@@ -256,8 +378,10 @@ class Coder:
                 laid = chain(laid, [self.laid_together(short)[:2]])
                 short, held = [], 0
             for symbol, contexts in laid:
-                for at in range(0, len(symbol), CHUNK):
-                    yield symbol[at : at + CHUNK], contexts[:, at : at + CHUNK]
+                pieces = max(1, round(len(symbol) / CHUNK))  # none much smaller
+                for n_th in range(pieces):
+                    own = slice(len(symbol) * n_th // pieces, len(symbol) * (n_th + 1) // pieces)
+                    yield symbol[own], contexts[:, own]
 
     def parts(self, ids: np.ndarray, others: list[bytes]) -> Iterator[tuple]:
         """``laid`` for about ``_PART`` symbols at a time: (symbols, contexts, last)."""
@@ -296,19 +420,30 @@ class Coder:
 
         Symbols are put in order of length, so a layer is the first of them, as they are.
         """
+        order, sizes, bit, slots = self.layered(symbol, contexts)
+        return _spread(kind[order], sizes), bit, slots
+
+    def layered(self, symbol: np.ndarray, contexts: np.ndarray):
+        """(order of the symbols, symbols of each layer, and bits and slots as ``layers``)."""
         lengths = self.lengths[symbol].astype(np.uint8)
         order = np.argsort(~lengths, kind="stable")  # of bytes: by counting
         symbol, lengths = symbol[order], lengths[order].astype(np.uint32)
         longer = len(symbol) - np.cumsum(np.bincount(lengths))
         sizes = longer[longer > 0].tolist()
+        lengths = _spread(lengths, sizes)
+        left = lengths - np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        around = (_spread(context[order], sizes) for context in contexts)
+        return order, sizes, *_slots(_spread(self.codes[symbol], sizes), left, lengths, around)
 
-        def spread(values: np.ndarray) -> np.ndarray:
-            return np.concatenate([values[:size] for size in sizes])
 
-        lengths = spread(lengths)
-        left = lengths - np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        around = (spread(context[order]) for context in contexts)
-        return spread(kind[order]), *_slots(spread(self.codes[symbol]), left, lengths, around)
+def _spread(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """For each layer the first values, so many as it has."""
+    return np.concatenate([values[:size] for size in sizes])
+
+
+def _lines(words: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Words between each cut and the next, by line feed."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), words), b"\n")
 
 
 def _slots(code: np.ndarray, left: np.ndarray, lengths: np.ndarray, contexts) -> tuple:
@@ -378,18 +513,14 @@ def encode(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
-        for batch in common.slices(batches):
-            texts = common.raw_texts(batch.column(at))
-            found = [coder.encoded(text) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [c for n, c in enumerate(batch.columns) if n != at]
-                + [
-                    pa.array(map(len, texts), pa.int64()),
-                    pa.array([ids.tobytes() for ids, _ in found], pa.binary()),
-                    pa.array([b"\n".join(others) for _, others in found], pa.binary()),
-                ],
-                names,
-            )
+        for batch in batches:
+            for slab in slabs(batch, at, SLAB):
+                rest = slab.columns
+                texts = rest.pop(at)
+                lengths = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, lengths, *coder.encoded_together(texts)], names
+                )
 
     made = common.extended(docs.drop("text"), bytes="long", ids="binary", others="binary")
     return docs.mapInArrow(run, made)
@@ -426,25 +557,27 @@ def halves(encoded: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
-        both = np.zeros((2, CONTEXTS, 2 * _SLOTS), np.uint32)
+        both = [[Counts(2 * _SLOTS) for _ in range(CONTEXTS)] for _ in range(2)]
         # Without a context a word's bits are the same each time: words are counted, and
         # their bits once at the end.
         plain = np.zeros((2, coder.size + 2), np.int64)
-        one = np.uint32(1)
-        for batch in common.slices(batches, 64):
+        squeeze = pa.Codec("zstd", 1)
+        for batch in common.slices(batches):
             for half, texts in _by_half(batch):
                 for part, around in coder.chunks(texts):
                     spelled = part >= coder.size + 2
-                    letter, bit, slots = coder.layers(part, around, spelled)
-                    bit = bit.view(np.int32)
-                    for sums, slot in zip(both[half][1:], slots[1:]):
-                        slot <<= 1
-                        slot |= bit
-                        np.add.at(sums, slot, one)
                     np.add.at(plain[half], part[~spelled], 1)
-                    if letter.any():
-                        np.add.at(both[half][0], (slots[0][letter] << 1) | bit[letter], one)
-        for sums, times in zip(both, plain):
+                    for own, first in ((~spelled, 1), (spelled, 0)):
+                        if not own.any():
+                            continue
+                        _, bit, slots = coder.layers(part[own], around[first:, own], spelled[own])
+                        bit = bit.view(np.int32)
+                        for sums, slot in zip(both[half][first:], slots):
+                            slot <<= 1
+                            slot |= bit
+                            sums.add(slot)
+        for drawn, (own, times) in enumerate(zip(both, plain)):
+            sums = np.stack([own.pop(0).total() for _ in range(CONTEXTS)])
             seen = np.flatnonzero(times)
             for at in range(0, len(seen), 1 << 16):
                 part = seen[at : at + (1 << 16)].astype(np.int32)
@@ -453,36 +586,38 @@ def halves(encoded: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 key = (slots[0] << 1) | bit.view(np.int32)
                 weights = np.repeat(times[part], lengths)
                 sums[0] += np.bincount(key, weights, len(sums[0])).astype(np.uint32)
-        for drawn, sums in enumerate(both.reshape(2, -1)):
+            sums = sums.reshape(-1)
             for block in range(counters // _BLOCK):
                 part = sums[block * _BLOCK : (block + 1) * _BLOCK]
                 if drawn and not part.any():
                     continue
-                if part.max(initial=0) < 1 << 16:
+                wide = bool(part.max(initial=0) >> 16)
+                if not wide:
                     part = part.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([block], pa.int32()), pa.array([bool(drawn)]),
-                        pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()),
+                        pa.array([block], pa.int32()), pa.array([bool(drawn)]), pa.array([wide]),
+                        pa.array([squeeze.compress(part, asbytes=True)], pa.binary()),
                     ],
-                    ["block", "drawn", "counts"],
+                    ["block", "drawn", "wide", "counts"],
                 )
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+        now, total, squeeze = None, None, pa.Codec("zstd")
         for batch in batches:
-            for block, drawn, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, drawn, wide, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != now:
                     if now is not None:
                         yield _stretched(now, total)
                     now, total = block, np.zeros((2, _BLOCK), np.uint64)
-                raw = zlib.decompress(packed)
-                total[int(drawn)] += np.frombuffer(raw, np.uint16 if len(raw) == 2 * _BLOCK else np.uint32)
+                size = 4 * _BLOCK if wide else 2 * _BLOCK
+                raw = squeeze.decompress(packed, size)
+                total[int(drawn)] += np.frombuffer(raw, np.uint32 if wide else np.uint16)
         if now is not None:
             yield _stretched(now, total)
 
     made = encoded.select("drawn", "ids", "others").mapInArrow(
-        count, "block int, drawn boolean, counts binary"
+        count, "block int, drawn boolean, wide boolean, counts binary"
     )
     summed = (
         made.repartition("block").sortWithinPartitions("block")
@@ -537,16 +672,16 @@ def lessons(encoded: DataFrame, shared, others_tables: tuple[np.ndarray, np.ndar
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
         sums = np.zeros(CELLS, np.int64)
-        for batch in common.slices(batches, 64):
+        for batch in common.slices(batches):
             for half, texts in _by_half(batch):
                 for part, around in coder.chunks(texts):
-                    spelled = (part >= coder.size + 2).astype(np.int32)
+                    spelled = (part >= coder.size + 2).astype(np.uint16)
                     cell, bit, slots = coder.layers(part, around, spelled)
                     for values, slot in zip(kinds.value[half], slots):
-                        cell *= CLASSES
+                        cell *= np.uint16(CLASSES)  # CELLS are under 2**16
                         cell += values.take(slot, mode="clip")
                     cell <<= 1
-                    cell |= bit.view(np.int32)
+                    cell |= bit.astype(np.uint16)
                     np.add.at(sums, cell, 1)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -569,6 +704,11 @@ class Mixer:
         self.weights[:] = np.array([[0.6], [0.3], [0.3], [0.0]], np.float32)
         self.levels = np.zeros(LEVELS, np.float32)
 
+    def settle(self) -> None:
+        """Copies tables that came with a broadcast to where numpy asks for large pages."""
+        if not self.table.flags.owndata:
+            self.table = self.table.copy()
+
     def start(self, lanes: int) -> list[np.ndarray]:
         return [np.tile(w, lanes) for w in self.weights] + [np.tile(self.levels, lanes)]
 
@@ -580,41 +720,55 @@ class Mixer:
         ``sizes`` are the symbols of each of ``lanes``, one after another. Of the first
         lanes so many have ``ended``: no symbol follows, so their state need not learn.
         """
-        lengths, bit, slots = self.coder.bits(symbol, contexts)
+        if 0 < ended < len(sizes):
+            cut = sum(sizes[:ended])
+            last = lanes[:ended], sizes[:ended], symbol[:cut], contexts[:, :cut], ended
+            more = lanes[ended:], sizes[ended:], symbol[cut:], contexts[:, cut:]
+            return np.concatenate([self.step(state, *last), self.step(state, *more)])
+        order, layers, bit, slots = self.coder.layered(symbol, contexts)
         inputs = [t.take(s, mode="clip") for t, s in zip(self.table, slots)]
-        sure = [np.abs(x) for x in inputs[1:]]
-        gate = (sure[0] > 0).view(np.int8) + (sure[0] > 2).view(np.int8)
-        gate = gate + np.int8(3) * ((sure[1] > 0).view(np.int8) + (sure[1] > 2).view(np.int8))
-        spelled = (symbol >= self.coder.size + 2).astype(np.intp) * 9
-        own = np.repeat(lanes * GATES, sizes) + spelled
-        at = np.repeat(own, lengths)
-        at += gate
-        per_lane = np.add.reduceat(lengths, np.cumsum([0, *sizes[:-1]]))
-        mixed = state[CONTEXTS].take(at, mode="clip")
-        for weight, x in zip(state, inputs):
-            mixed += weight.take(at, mode="clip") * x
-        np.clip(mixed, -11.5, 11.5, out=mixed)
-        level = np.repeat((lanes * LEVELS).astype(np.intp), per_lane)
-        level += (mixed + 12).astype(np.int8)
-        mixed += state[CONTEXTS + 1].take(level, mode="clip")
-        sign = bit.astype(np.float32) * 2 - 1
-        right = 1 / (1 + np.exp(-sign * mixed))
-        found = np.add.reduceat(
-            np.log(np.maximum(right, 1e-7)), np.cumsum([0, *per_lane[:-1]]), dtype=np.float64
-        )
-        if ended == len(sizes):
-            return found
-        going = slice(int(per_lane[:ended].sum()), None)
-        error = sign[going] * (1 - right[going])
-        at, level, inputs = at[going], level[going], [x[going] for x in inputs]
+        lane = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        spelled = symbol[order] >= self.coder.size + 2
+        owner = _spread(lanes[lane] * np.int32(2) + spelled, layers)
         gates, all_levels = len(state[0]), len(state[-1])
-        scale = RATE / np.maximum(1, np.bincount(at, minlength=gates) / 512)
-        for weight, x in zip(state, [*inputs, None]):
-            step = np.bincount(at, error if x is None else error * x, gates)
-            weight += (step * scale).astype(np.float32)
-        scale = REFINE / np.maximum(1, np.bincount(level, minlength=all_levels) / 64)
-        state[-1] += (np.bincount(level, error, all_levels) * scale).astype(np.float32)
-        return found
+        moves = np.zeros((CONTEXTS + 2, gates))
+        refined = np.zeros((2, all_levels))
+        logs = np.empty(len(bit), np.float32)
+        for start in range(0, len(bit), BLOCK):
+            own = slice(start, start + BLOCK)
+            xs = [x[own] for x in inputs]
+            sure = [np.abs(x) for x in xs[1:]]
+            gate = (sure[0] > 0).view(np.int8) + (sure[0] > 2).view(np.int8)
+            gate += np.int8(3) * ((sure[1] > 0).view(np.int8) + (sure[1] > 2).view(np.int8))
+            at = owner[own] * np.intp(GATES // 2)
+            at += gate
+            mixed = state[CONTEXTS].take(at, mode="clip")
+            for weight, x in zip(state, xs):
+                mixed += weight.take(at, mode="clip") * x
+            np.clip(mixed, -11.5, 11.5, out=mixed)
+            level = (owner[own] >> 1) * np.intp(LEVELS)
+            level += (mixed + 12).astype(np.int8)
+            mixed += state[CONTEXTS + 1].take(level, mode="clip")
+            sign = bit[own].astype(np.float32) * 2 - 1
+            right = 1 / (1 + np.exp(-sign * mixed))
+            np.log(np.maximum(right, 1e-7), out=logs[own])
+            if not ended:
+                error = sign * (1 - right)
+                for move, x in zip(moves, [*(error * x for x in xs), error, None]):
+                    move += np.bincount(at, x, gates)
+                for move, x in zip(refined, [error, None]):
+                    move += np.bincount(level, x, all_levels)
+        each, done = np.zeros(len(symbol)), 0
+        for size in layers:
+            each[:size] += logs[done : done + size]
+            done += size
+        if not ended:
+            scale = RATE / np.maximum(1, moves[-1] / 512)
+            for weight, move in zip(state, moves[:-1]):
+                weight += (move * scale).astype(np.float32)
+            scale = REFINE / np.maximum(1, refined[1] / 64)
+            state[-1] += (refined[0] * scale).astype(np.float32)
+        return np.bincount(lane, each, len(sizes))
 
     def teach(self, counts: np.ndarray) -> None:
         """Starting weights and corrections that fit the bits counted by ``lessons`` best.
@@ -683,8 +837,8 @@ class Mixer:
             if end > longest and not last:
                 return at
             lanes = [n for n, c in enumerate(coded) if len(c[0]) > at]
-            # Lanes don't touch each other: so many at once that arrays stay in the cache.
-            width = max(1, CHUNK // (end - at))
+            # Lanes don't touch each other: so many at once that a table is read often in turn.
+            width = max(1, WIDE // (end - at))
             for some in range(0, len(lanes), width):
                 own = lanes[some : some + width]
                 more = (k for k, n in enumerate(own) if not last or len(coded[n][0]) > end)
@@ -759,12 +913,13 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer: Mixer = shared.value
+        mixer.settle()
         part, n = TaskContext.get().partitionId(), 0
         counts = mixer.coder.counts
         logs = np.log10(counts + 1.0)
         known: dict[tuple, tuple] = {}
         size = 0
-        for batch in common.slices(batches, 4 * LANES):
+        for batch in chain.from_iterable(slabs(b, 3, GROUP) for b in batches):
             doc_ids, training, lengths, *coded = batch.columns
             texts = list(zip(*(c.to_pylist() for c in coded)))
             columns: list[list] = [[] for _ in range(8)]
